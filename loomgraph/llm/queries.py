@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import table
+from .decontaminate import contamination
 from .near_dup import near_duplicates
+from .quality import quality_scores
+from .secret_scan import scan_secrets
 from .token_shards import token_shards
 
 
@@ -30,10 +33,25 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_bpe": op2_bpe,
     "op4_near_dup": op4_near_dup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_quality": op9_quality,
 }
 
 #: None of the queries above can be said in SQL: they tokenize, train models or follow links; tests hold them against
