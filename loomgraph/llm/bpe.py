@@ -36,17 +36,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import LETTER, SPACE, IdTable, Runs, map_rows, take_runs
 
 # White space of Unicode, and the pattern of byte-level pre-tokenizers.
 _S = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_S}\p{{L}}\p{{N}}]+", rf"[{_S}]+")]
-#: A space before white space or the end: where a text can't be cut at every space.
-_HARD = re.compile(rf" (?=[{_S}\x1c-\x1f]|$)")
-_CUT = re.compile(rf" (?=[^{_S}\x1c-\x1f])")
-#: Characters read at a time, and characters above which a word is not remembered.
-WINDOW, MEMO_CHARS = 1 << 16, 200
+#: Characters read at a time, and bytes above which a word is not remembered.
+WINDOW, MEMO_BYTES = 1 << 16, 400
+#: Only spaces part words here; bytes after a space that make a text hard.
+SPACE_ONLY = np.full(256, LETTER, np.uint8)
+SPACE_ONLY[32] = SPACE
+ODD_BYTE = np.zeros(256, bool)
+ODD_BYTE[[*range(9, 14), *range(0x1C, 0x21)]] = True
 NO_RULE = 1 << 40
 
 
@@ -224,46 +226,79 @@ class PieceTransducer:
 class Encoder:
     """Texts to ids."""
 
-    MOST = 200_000
-
     def __init__(self, table: MergeTable):
         self.table = table
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        #: ids of a word with the space before it, and the ids in decimal
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def learn(self, texts: Iterable[str | None]) -> None:
-        """Merge the new words of some texts together; they are then in the memo."""
-        needed = set().union(*(t.split(" ") for t in texts if t))
-        new = needed - self.words.keys()
-        if len(self.words) + len(new) > self.MOST:
-            self.words.clear()
-            new = needed
-        if len(self.pieces) > self.MOST:
-            self.pieces.clear()
-        cut = {w: PIECE.findall(" " + w) for w in new if len(w) <= MEMO_CHARS}
-        pieces = list(set().union(*cut.values()) - self.pieces.keys())
-        for i in range(0, len(pieces), 20_000):
-            some = pieces[i : i + 20_000]
-            self.pieces.update(zip(some, self.table.merge_many([p.encode("utf-8", "surrogatepass") for p in some]), strict=True))
-        for w, parts in cut.items():
-            ids = self.pieces[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, parts)))
-            self.words[w] = ids, ",".join(map(str, ids))
-
-    def learned(self, batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
-        """(identifier, text) of a batch; the words of about 2 MB of text are learnt together."""
-        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        size = at = 0
-        for i, (_, text) in enumerate(rows):
-            size += len(text or "")
-            if size > 2_000_000 or i == len(rows) - 1:
-                self.learn([t[:WINDOW * 8] for _, t in rows[at : i + 1] if t])
-                yield from rows[at : i + 1]
-                at, size = i + 1, 0
-
-    def _known(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.slow([text])) if len(text) > MEMO_CHARS else tuple(chain.from_iterable(self.table.merge(p.encode("utf-8", "surrogatepass")) for p in PIECE.findall(text)))
-        return ids, ",".join(map(str, ids))
+        #: ids of a word with the space before it
+        self.words = IdTable()
+
+    def _new_words(self, runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = runs.raw.tobytes()
+        cut = [PIECE.findall(" " + raw[a:b].decode("utf-8")) for a, b in zip(runs.start[at].tolist(), runs.end[at].tolist(), strict=True)]
+        pieces = sorted(set().union(*cut))
+        ids = dict(zip(pieces, self.table.merge_many([p.encode() for p in pieces]), strict=True))
+        found = [[i for p in parts for i in ids[p]] for parts in cut]
+        return np.array([i for x in found for i in x], np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode_column(self, texts: pa.Array) -> Iterator[Iterable[np.ndarray]]:
+        """For each text, its ids in parts.
+
+        A piece never crosses a space before a word, so texts fall into words with the space before them; new ones are
+        merged together, known ones are looked up.  Texts where a space has other company, texts with special tokens
+        or very long words go through parts(), which reads them in windows.
+        """
+        for some in take_runs(texts):
+            runs = Runs(some, SPACE_ONLY)
+            hard = self._hard(some, runs)
+            if hard.any():  # the others only
+                runs = Runs(pa.array([None if h else t for t, h in zip(some.to_pylist(), hard.tolist(), strict=True)], pa.large_string()), SPACE_ONLY)
+            first = runs.of[:-1][np.diff(runs.of) > 0]
+            keys = runs.hash.copy()
+            keys[first] = 0  # first words have no space before them
+            flat, size = self.words.ids(keys, lambda at, runs=runs, keys=keys: self._some_new(runs, keys, at))
+            ends = np.append(0, np.cumsum(size))
+            for i, (a, b) in enumerate(runs):
+                if hard[i]:
+                    yield (np.fromiter(ids, np.int32, len(ids)) for ids in self.parts(some[i].as_py()))
+                elif a < b:
+                    head = self._head(runs.raw[runs.start[a] : runs.end[a]].tobytes().decode("utf-8"))
+                    yield np.array(head, np.int32), flat[ends[a + 1] : ends[b]]
+                else:
+                    yield ()
+
+    def _some_new(self, runs: Runs, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        real = keys[at] != 0
+        flat, size = self._new_words(runs, at[real])
+        sizes = np.zeros(len(at), np.int64)
+        sizes[real] = size
+        return flat, sizes
+
+    def _hard(self, texts: pa.Array, runs: Runs) -> np.ndarray:
+        """Texts that words with a space before them don't make up, or that hold special tokens or long words."""
+        raw, starts = runs.raw, runs.texts
+        hard = np.zeros(len(texts), bool)
+        if not len(raw):
+            return hard
+        then = np.append(raw[1:], 32)
+        then[starts[1:][starts[1:] > 0] - 1] = 32
+        second = np.append(raw[2:], [0, 0])[: len(raw)]
+        odd = ODD_BYTE[then] | ((then == 0xC2) & ((second == 0x85) | (second == 0xA0)))
+        odd |= ((then == 0xE1) & (second == 0x9A)) | ((then == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((then == 0xE3) & (second == 0x80))
+        at = np.flatnonzero((raw == 32) & odd)
+        hard[np.searchsorted(starts, at, "right") - 1] = True
+        full = np.diff(starts) > 0
+        hard[full] |= raw[starts[:-1][full]] == 32
+        long = runs.start[runs.end - runs.start > MEMO_BYTES]
+        hard[np.searchsorted(starts, long, "right") - 1] = True
+        data = raw.tobytes()
+        for s in self.table.special:
+            s, i = s.encode(), data.find(s.encode())
+            while i >= 0:
+                hard[int(np.searchsorted(starts, i, "right")) - 1] = True
+                i = data.find(s, i + 1)
+        return hard
+
+    def _head(self, text: str) -> list[int]:
+        return [i for p in PIECE.findall(text) for i in self.table.merge(p.encode())]
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Text between special tokens, and the special token after it."""
@@ -275,43 +310,19 @@ class Encoder:
             text = text[at:]
         yield text, None
 
-    def parts(self, text: str | None) -> Iterator[tuple[tuple[int, ...], str]]:
-        """Ids of a text in parts, each with its ids in decimal; a part is never empty."""
+    def parts(self, text: str | None) -> Iterator[list[int]]:
+        """Ids of any text in parts, read in windows."""
         for segment, special in self.segments(text or ""):
-            at = 0
-            while at < len(segment):
-                window = segment[at : at + WINDOW]
-                if at + WINDOW < len(segment):  # up to the last space before a word
-                    cut = next((i for i in range(len(window) - 2, 0, -1) if window[i] == " " and _CUT.match(window, i)), 0)
-                    if not cut:
-                        yield from self._blocks(self.slow(segment[i : i + WINDOW] for i in range(at, len(segment), WINDOW)))
-                        break
-                    window = window[:cut]
-                yield from self._window(window)
-                at += len(window)
+            block = []
+            for i in self.slow(segment[at : at + WINDOW] for at in range(0, len(segment), WINDOW)):
+                block.append(i)
+                if len(block) == 4096:
+                    yield block
+                    block = []
             if special is not None:
-                yield (special,), str(special)
-
-    def _window(self, window: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        head, *rest = _CUT.split(window) if _HARD.search(window) else window.split(" ")
-        if head:
-            yield self._known(head)
-        try:
-            yield from list(map(self.words.__getitem__, rest))
-        except KeyError:  # long words, and texts cut otherwise than learn() does
-            for w in rest:
-                yield self.words.get(w) or self._known(" " + w)
-
-    @staticmethod
-    def _blocks(ids: Iterable[int]) -> Iterator[tuple[tuple[int, ...], str]]:
-        block = []
-        for i in ids:
-            block.append(i)
-            if len(block) == 4096:
-                yield tuple(block), ",".join(map(str, block))
-                block = []
-        if block:
-            yield tuple(block), ",".join(map(str, block))
+                block.append(special)
+            if block:
+                yield block
 
     def slow(self, chunks: Iterable[str]) -> Iterator[int]:
         """Any text, chunk by chunk, with what is not settled yet kept: a piece at the end of what was read, and
@@ -363,7 +374,7 @@ class Encoder:
         yield from long.end()
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.parts(text)))
+        return list(chain.from_iterable(self.parts(text)))
 
 
 class Decoder:
@@ -387,8 +398,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         encoder = Encoder(MergeTable(tokenizer_path))
 
         def each(batch):
-            for d, t in encoder.learned(batch):
-                yield d, encoder.encode(t)
+            for d, parts in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1)), strict=True):
+                yield d, [i for part in parts for i in part.tolist()]
 
         return each
 
@@ -423,28 +434,19 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def per_task():
         table = MergeTable(tokenizer_path)
         encoder = Encoder(table)
+        decimal = [str(i).encode() for i in range(max(table.bytes, default=0) + 1)]
 
         def each(batch):
-            for d, t in encoder.learned(batch):
-                decoder, ids, decoded, n, parts = Decoder(table), hashlib.sha256(), hashlib.sha256(), 0, []
-
-                def flush():
-                    if n:
-                        ids.update(b",")
-                    ids.update(",".join([p[1] for p in parts]).encode())
-                    block = list(chain.from_iterable([p[0] for p in parts]))
-                    decoded.update(decoder.push(block).encode("utf-8", "surrogatepass"))
-                    return len(block)
-
-                for p in encoder.parts(t):
-                    parts.append(p)
-                    if len(parts) == 8192:
-                        n += flush()
-                        parts.clear()
-                if parts:
-                    n += flush()
-                decoded.update(decoder.end().encode("utf-8", "surrogatepass"))
-                yield d, n, ids.hexdigest(), decoded.hexdigest()
+            for d, parts in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1)), strict=True):
+                decoder, digest, decoded, n = Decoder(table), hashlib.sha256(), hashlib.sha256(), 0
+                for part in parts:
+                    for at in range(0, len(part), 8192):
+                        ids = part[at : at + 8192].tolist()
+                        digest.update(b"," * bool(n) + b",".join(map(decimal.__getitem__, ids)))
+                        decoded.update(decoder.push(ids).encode())
+                        n += len(ids)
+                decoded.update(decoder.end().encode())
+                yield d, n, digest.hexdigest(), decoded.hexdigest()
 
         return each
 

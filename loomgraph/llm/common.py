@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,18 +147,53 @@ class Runs:
         return zip(self.of[:-1].tolist(), self.of[1:].tolist(), strict=True)
 
 
-class Memo(dict):
-    """key -> make(key), for keys that come again and again; emptied when it holds `most` of them."""
-
-    def __init__(self, make: Callable, most: int = 300_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+def take_runs(column: pa.Array, size: int = 2_000_000) -> Iterator[pa.Array]:
+    """Slices of a column of texts, about `size` bytes each."""
+    at, ends = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column.cast(pa.large_string())), 0), np.int64))
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield column.slice(at, to - at)
+        at = to
+
+
+class IdTable:
+    """Ids of words by their hash, in sorted arrays: about 20 bytes a word.  Emptied when it holds `most` of them."""
+
+    def __init__(self, most: int = 1_500_000):
+        self.most = most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(0, len(self.keys) - 1))
+        return at, (self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool))
+
+    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in order, flat, and how many each word has.  make(i) gives the same for new words, i being
+        places in `hashes`."""
+        keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        at, hit = self._find(keys)
+        if not hit.all():
+            if len(self.keys) + len(keys) > self.most:
+                self._empty()
+                at, hit = self._find(keys)
+            flat, size = make(first[~hit])
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + len(flat)] = flat
+            start = self.used + np.cumsum(size) - size
+            self.used += len(flat)
+            new = at[~hit]
+            self.keys, self.start, self.size = np.insert(self.keys, new, keys[~hit]), np.insert(self.start, new, start), np.insert(self.size, new, size)
+            at, hit = self._find(keys)
+        start, size = self.start[at][back], self.size[at][back].astype(np.int64)
+        ends = np.cumsum(size)
+        place = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return self.pool[place], size
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import table
 from .decontaminate import contamination
+from .language_id import predict_language
 from .near_dup import near_duplicates
+from .neighbours import nearest
 from .quality import quality_scores
 from .secret_scan import scan_secrets
 from .token_shards import token_shards
+from .toxicity import toxicity_scores
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,10 +32,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), n=5, every=50)
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=0.8)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,13 +56,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_bpe": op2_bpe,
+    "op3_neighbours": op3_neighbours,
     "op4_near_dup": op4_near_dup,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality": op9_quality,
+    "op10_language_id": op10_language_id,
 }
 
 #: None of the queries above can be said in SQL: they tokenize, train models or follow links; tests hold them against

@@ -20,6 +20,7 @@ empty table; columns other than the two named are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import unicodedata
 import zlib
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, batches_of, bounded_batches, materialise, shared_dir
+from .common import IdTable, Runs, batches_of, bounded_batches, materialise, shared_dir, take_runs
 
 MAGIC = b"LGSST001"
 FOOTER = struct.Struct("<QQQQQQB7s8s")
@@ -196,77 +197,73 @@ def _open(uri: str):
 
 
 class WordEncoder:
-    """Texts -> ids as bytes, for tokenizers that drop white space and mark the ends of words: the tokenizers library
-    encodes each new word once, and words that come again are remembered, up to MOST of them.
+    """Texts -> ids, for tokenizers that drop white space and mark the ends of words: the tokenizers library encodes
+    each new word once, and words that come again are looked up by their hash.
 
     A word's ids don't depend on its neighbours, for normalisation works on characters and the pre-tokenizer splits
     at white space.  It also splits between letters and . or , so such words are encoded without the mark.  New
     words of letters go to the library many in one text; the word-end marks tell their ids apart.
     """
 
-    MOST, GROUP = 250_000, 256
+    GROUP = 256
 
-    def __init__(self, tokenizer_path: str, width: int):
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), f"<u{width}"
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(max((i for i in self.tokenizer.get_vocab().values()), default=0) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words, self.parts = IdTable(), IdTable()
         self.marks = {m: self._one(m) for m in ".,"}
 
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        plain = [p for p in parts if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p)]
-        groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
-        for group, out in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(out.ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+    def _one(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        """Ids of each part; in groups where the library splits as expected, one by one elsewhere."""
+        found: list = [None] * len(parts)
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p)]
+        for g in range(0, len(plain), self.GROUP):
+            group = plain[g : g + self.GROUP]
+            ids = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in group])], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(group):
-                data, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-                at = [0, *(cuts * width).tolist()]
-                self.parts.update((p, data[i:j]) for p, i, j in zip(group, at, at[1:], strict=False))
-        for p in parts:
-            if p not in self.parts:
-                self.parts[p] = self._one(p)
-
-    def _learn(self, needed: set[str]) -> None:
-        new = needed - self.known.keys()
-        if len(self.known) + len(new) > self.MOST:
-            self.known.clear()
-            new = needed
-        if len(self.parts) > self.MOST:
-            self.parts.clear()
-        split = {}
-        for w in new:
-            if w[-1] in self.marks and w[:-1].isalpha():
-                split[w] = (w[:-1].lower() if w.isascii() else w[:-1], w[-1])
-            else:
-                split[w] = (w.lower() if w.isascii() and w.isalpha() else w, "")
-        self._learn_parts(sorted({p for p, _ in split.values()} - self.parts.keys()))
-        for w, (part, mark) in split.items():
-            self.known[w] = self.parts[part] + self.marks[mark] if mark else self.parts[part]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order; texts are taken about 2 MB at a time."""
-        at = 0
-        while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size < 2_000_000):
-                text = texts[at] or ""
-                odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # str.split() cuts there, the tokenizer doesn't
-                some.append(WORD.findall(text) if odd else text.split())
-                size += len(text)
-                at += 1
-            self._learn(set().union(*some))
-            for words in some:
-                yield b"".join(map(self.known.__getitem__, words))
+                for i, a, b in zip(group, [0, *cuts], cuts, strict=False):
+                    found[i] = ids[a:b]
+        return [self._one(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+
+    def _new_words(self, runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, parts, marks = runs.raw.tobytes(), [], []
+        for a, b in zip(runs.start[at].tolist(), runs.end[at].tolist(), strict=True):
+            w = raw[a:b].decode("utf-8", "replace")
+            mark = w[-1] if w[-1] in self.marks and w[:-1].isalpha() else ""
+            part = w[:-1] if mark else w
+            parts.append(part.lower() if part.isascii() and part.isalpha() else part)
+            marks.append(mark)
+        own = Runs(pa.array(parts, pa.large_string()))
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids = self._encode([parts[i] for i in new.tolist()])
+            return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        flat, size = self.parts.ids(own.hash, make)
+        more = np.array([len(self.marks[m]) if m else 0 for m in marks], np.int64)
+        if more.any():  # the marks' ids go in behind their parts
+            behind = np.repeat(np.cumsum(size), more)
+            flat = np.insert(flat, behind, [i for m in marks if m for i in self.marks[m]])
+        return flat, size + more
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text, in order."""
+        for some in take_runs(texts):
+            runs = Runs(some)
+            flat, size = self.words.ids(runs.hash, lambda at, runs=runs: self._new_words(runs, at))
+            ends = np.append(0, np.cumsum(size))[runs.of]
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                yield flat[a:b]
 
 
 def write_token_shards(
@@ -291,16 +288,16 @@ def write_token_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encoder, writer, end = WordEncoder(tokenizer_path, width), None, end_id.to_bytes(width, "little")
+        encoder, writer, end = WordEncoder(tokenizer_path), None, end_id.to_bytes(width, "little")
         fs, folder = _open(out_dir)
         path = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.sst"
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     stream = fs.open_output_stream(path)
                     writer = ShardWriter(stream, width)
-                writer.add(key_of(doc_id), ids + end)
+                writer.add(key_of(doc_id), ids.astype(f"<u{width}").tobytes() + end)
         if writer is not None:
             writer.close()
             stream.close()
