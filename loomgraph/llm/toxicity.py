@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning (operator 5).
 
-A document is a bag of sentences.  A sentence's logit is a bias and the weights of its distinct words, which fall into
-BUCKETS by hash; the document is toxic if one of its sentences is, by noisy-or: p = 1 - prod(1 - p_s).  Weights are
+A document is a bag of sentences.  A sentence's logit is a bias and the weights of its words: of each word as a whole
+and of its first 4 to 7 bytes, which stand for a stem with any ending; all fall into BUCKETS by hash.  The document is toxic if one of its sentences is, by noisy-or: p = 1 - prod(1 - p_s).  Weights are
 trained from document labels alone, by Adagrad on the documents' log loss, in numpy, on at most SAMPLE labelled
 documents of the training folds (those of least hash).  Words that fewer than LEAST_DOCS of these have get no weight.
 Afterwards the same sentence scores say where a document offends.
@@ -19,36 +19,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, TOKEN_CLASS, Runs, held_out, map_rows, take_runs
+from .common import BYTE_VALUE, LETTER, TOKEN_CLASS, Runs, held_out, map_rows, mix64, take_runs
 from .quality import training_sample
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-SAMPLE = 12_000
+SAMPLE = 8_000
 LEAST_DOCS = 4
-EPOCHS, BATCH, RATE, START, SHRINK = 12, 128, 0.3, -6.0, 2e-5
+BATCH, LEAST_EPOCHS, LEAST_STEPS, RATE, START, SHRINK = 64, 8, 600, 0.3, -6.0, 3e-4
+CALM = 1e-2
+PREFIXES = (4, 5, 6, 7)
+PARTS = len(PREFIXES) + 1
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = True
 
 
 class Bags:
-    """The words of some texts: bucket, and sentence (numbered over all texts) of each; first word of each text."""
+    """The words of some texts: PARTS buckets and the sentence (numbered over all texts) of each; the text of each sentence."""
 
     def __init__(self, texts: pa.Array):
         runs = Runs(texts, TOKEN_CLASS, lower=True)
         word = runs.kind == LETTER
         self.start, self.end = runs.start[word], runs.end[word]
-        self.bucket = (runs.hash[word] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
         self.texts, self.n = runs.texts, len(runs.texts) - 1
-        self.text = np.searchsorted(runs.texts, self.start, "right") - 1
+        text = np.searchsorted(runs.texts, self.start, "right") - 1
         ends = np.cumsum(_ENDS[runs.raw])[self.start] if len(self.start) else np.zeros(0, np.int64)
-        new = np.append(True, (ends[1:] != ends[:-1]) | (self.text[1:] != self.text[:-1]))[: len(self.start)]
+        new = np.append(True, (ends[1:] != ends[:-1]) | (text[1:] != text[:-1]))[: len(self.start)]
         self.sentence = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
-        key = np.unique(self.sentence << BUCKET_BITS | self.bucket)  # a word counts once in a sentence
-        self.word_sentence, self.word = key >> BUCKET_BITS, (key & (BUCKETS - 1)).astype(np.int32)
-        self.sentence_text = self.text[self.first]
+        self.sentence_text = text[self.first]
+        self.parts = np.empty((len(self.start), PARTS), np.int32)
+        self.parts[:, 0] = runs.hash[word] >> np.uint64(64 - BUCKET_BITS)
+        raw, sums = np.append(runs.raw, np.zeros(PREFIXES[-1], np.uint8)), np.zeros(len(self.start), np.uint64)
+        for i in range(PREFIXES[-1]):  # a shorter word's own bytes make its longer prefixes too
+            inside = self.start + i < self.end
+            sums = sums * np.uint64(0x9FB21C651E98DF25) + np.where(inside, BYTE_VALUE.take(raw[self.start + i]), np.uint64(0))
+            if i + 1 in PREFIXES:
+                self.parts[:, 1 + PREFIXES.index(i + 1)] = mix64(sums + np.uint64(i)) >> np.uint64(64 - BUCKET_BITS)
 
 
 class Model:
@@ -57,7 +65,7 @@ class Model:
 
     def sentences(self, bags: Bags) -> np.ndarray:
         """The probability of each sentence."""
-        z = np.bincount(bags.word_sentence, self.w[bags.word], len(bags.first)) + self.bias
+        z = np.bincount(bags.sentence, self.w.take(bags.parts).sum(axis=1), len(bags.first)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def documents(self, bags: Bags, p: np.ndarray) -> np.ndarray:
@@ -67,31 +75,32 @@ class Model:
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11) -> Model:
-    """docs: (sentence, bucket) of each document's distinct words per sentence."""
+    """docs: sentence (n) and buckets (n x PARTS) of each document's words."""
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(BUCKETS), START, float(y.mean()) if len(y) else 0.0)
-    df = np.zeros(BUCKETS, np.int64)
-    for _, word in docs:
-        df[np.unique(word)] += 1
+    df = np.zeros(BUCKETS, np.int32)
+    for _, parts in docs:
+        df[np.unique(parts)] += 1
     known = df >= LEAST_DOCS
-    docs = [(s[k], w[k], int(s.max()) + 1 if len(s) else 0) for s, w in docs for k in (known[w],)]
+    sentences = np.array([int(s[-1]) + 1 if len(s) else 0 for s, _ in docs])
     rng, w, bias = np.random.default_rng(seed), np.zeros(BUCKETS), START
-    square, bias_square = np.full(BUCKETS, 1e-3), 1e-3
-    for _ in range(EPOCHS):
+    square, bias_square = np.full(BUCKETS, CALM), CALM
+    size = min(BATCH, max(8, len(docs) // 8))
+    for _ in range(max(LEAST_EPOCHS, -(-LEAST_STEPS * size // len(docs)))):
         order = rng.permutation(len(docs))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            n = np.array([docs[i][2] for i in some])
+        for at in range(0, len(order), size):
+            some = order[at : at + size]
+            n = sentences[some]
             shift = np.cumsum(n) - n
             sentence = np.concatenate([docs[i][0] + a for i, a in zip(some, shift, strict=True)])
-            word = np.concatenate([docs[i][1] for i in some])
+            parts = np.concatenate([docs[i][1] for i in some])
             of = np.repeat(np.arange(len(some)), n)
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[word], n.sum()) + bias, -30, 30)))
-            doc = 1 - np.exp(np.bincount(of, np.log1p(-p), len(some)))
-            doc = np.clip(doc, 1e-6, 1 - 1e-9)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(sentence, w[parts].sum(axis=1), n.sum()) + bias, -30, 30)))
+            p = np.clip(p, 1e-9, 1 - 1e-9)
+            doc = np.clip(1 - np.exp(np.bincount(of, np.log1p(-p), len(some))), 1e-6, 1 - 1e-9)
             pull = np.where(y[some] > 0, -(1 - doc) / doc, 1.0)  # d loss / d z_s = pull * p_s
             dz = pull[of] * p / len(some)
-            g = np.bincount(word, dz[sentence], BUCKETS)
+            g = np.bincount(parts.ravel(), np.repeat(dz[sentence], PARTS), BUCKETS) * known
             touched = np.flatnonzero(g)
             square[touched] += g[touched] ** 2
             w[touched] -= RATE * g[touched] / np.sqrt(square[touched])
@@ -103,25 +112,24 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
-    """Distinct (sentence, word) pairs of the sample go to the driver, 8 bytes each, and no text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("pairs", pa.binary())])
+    """The sample's words go to the driver as sentence and buckets, 24 bytes each, and no text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("words", pa.binary())])
 
     def per_task():
         def each(batch):
             bags = Bags(batch.column(2))
-            of = bags.sentence_text[bags.word_sentence] if len(bags.word) else np.zeros(0, np.int64)
-            cut = np.searchsorted(of, np.arange(len(batch) + 1))
+            cut = np.searchsorted(bags.start, bags.texts)
             for i, (d, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                s, w = bags.word_sentence[cut[i] : cut[i + 1]], bags.word[cut[i] : cut[i + 1]]
-                yield d, y, np.stack([s - (s[0] if len(s) else 0), w]).astype(np.int32).tobytes()
+                s, parts = bags.sentence[cut[i] : cut[i + 1], None], bags.parts[cut[i] : cut[i + 1]]
+                yield d, y, np.hstack([s - (s[0] if len(s) else 0), parts]).astype(np.int32).tobytes()
 
         return each
 
-    rows = map_rows(training_sample(docs, labels, label, most), "doc_id long, label double, pairs binary", schema, per_task, 200).toArrow()
+    rows = map_rows(training_sample(docs, labels, label, most), "doc_id long, label double, words binary", schema, per_task, 200).toArrow()
     y, ids = rows["label"].to_numpy().astype(np.float64), rows["doc_id"].to_numpy()
-    pairs = [np.frombuffer(x.as_py(), np.int32).reshape(2, -1) for x in rows["pairs"]]
-    order = sorted(range(len(pairs)), key=lambda i: (ids[i], len(pairs[i][0]), pairs[i].tobytes()[:64]))
-    return fit([tuple(pairs[i].astype(np.int64)) for i in order], y[order] if len(y) else y)
+    bags = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 1 + PARTS) for x in rows["words"]]
+    order = sorted(range(len(bags)), key=lambda i: (ids[i], len(bags[i]), bags[i].tobytes()[:64]))
+    return fit([(bags[i][:, 0], bags[i][:, 1:]) for i in order], y[order] if len(y) else y)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_sentences", pa.int64()), ("n_offending", pa.int64())])
