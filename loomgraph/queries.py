@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import graph_queries, scalar_queries, table_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**scalar_queries.QUERIES, **table_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE_SQL = {**scalar_queries.ORACLE_SQL, **table_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}
