@@ -161,8 +161,9 @@ def unused_exports(
     named, stars = reexport_map(exports, aliases), star_reexports(exports, aliases)
 
     def credit(uses: DataFrame) -> DataFrame:
-        by_name = uses.join(named, (uses.scan_id == named.scan_id) & (uses.source == named.barrel) & (uses.name == named.exported)).select(uses.scan_id, F.col("target").alias("source"), F.col("original").alias("name"))
-        by_star = uses.where("name <> '*'").join(stars, (uses.scan_id == stars.scan_id) & (uses.source == stars.barrel)).select(uses.scan_id, F.col("target").alias("source"), "name")
+        at = uses.select("scan_id", F.col("source").alias("barrel"), "name")
+        by_name = at.withColumnRenamed("name", "exported").join(named, ["scan_id", "barrel", "exported"]).select("scan_id", F.col("target").alias("source"), F.col("original").alias("name"))
+        by_star = at.where("name <> '*'").join(stars, ["scan_id", "barrel"]).select("scan_id", F.col("target").alias("source"), "name")
         return by_name.unionByName(by_star).distinct()
 
     more = credit(used)

@@ -169,7 +169,7 @@ def _closed(lines: DataFrame, starts: DataFrame, columns: list[str]) -> DataFram
 
 def _params(text: Column) -> Column:
     """array of struct(name, type) of a parameter list; types only as written."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     kind = lambda p: F.nullif(F.trim(F.regexp_extract(p, r":\s*([^=]+)", 1)), F.lit(""))
     return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(?:\.\.\.)?([\w$]*)", 1).alias("name"), kind(p).alias("type")))
 
@@ -228,7 +228,7 @@ def extract_classes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     g = lambda p, i: F.nullif(F.trim(F.regexp_extract(t, p, i)), F.lit(""))
     starts = lines.where(t.rlike(_CLASS) & (base == 0)).select(
         "scan_id", "file_path", "line", base.alias("base"), g(_CLASS, 2).alias("name"), g(_CLASS, 1).isNotNull().alias("is_exported"), g(_CLASS, 3).alias("extends"),
-        F.transform(F.split(F.coalesce(g(_CLASS, 4), F.lit("")), ","), F.trim).alias("implements"),
+        F.transform(F.split(F.coalesce(g(_CLASS, 4), F.lit("")), ","), lambda p: F.trim(p)).alias("implements"),
     )
     head = _closed(lines, starts, ["name", "is_exported", "extends", F.filter("implements", lambda x: x != "").alias("implements")])
     head = head.withColumn("parent_file_id", file_id(F.col("file_path"))).withColumn("class_id", class_id(F.col("parent_file_id"), F.col("name"), F.col("line")))
@@ -255,7 +255,7 @@ def extract_top_level_references(files: DataFrame, functions: DataFrame, classes
     lines = lines_with_depth(files)
     inside = functions.select("scan_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("b")).unionByName(classes.select("scan_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("b")))
     covered = lines.join(inside, ["scan_id", "file_path"]).where("line between a and b").select("scan_id", "file_path", "line").distinct()
-    free = lines.join(covered, ["scan_id", "file_path", "line"], "left_anti").where(~F.col("text").rlike(r"^\s*(import|export\s*[*{]|export\s+type|type|interface|export\s+interface)\b"))
+    free = lines.join(covered, ["scan_id", "file_path", "line"], "left_anti").where(~F.col("text").rlike(r"^\s*(import\b|export\s*[*{]|(export\s+)?(type|interface)\b)"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
     per = free.groupBy("scan_id", "file_path").agg(text.alias("text"))
     taken = files.select("scan_id", "file_path", F.flatten(F.transform(extract_import_statements(F.col("content")), lambda s: F.regexp_extract_all(s, F.lit(r"(\w+)"), F.lit(1)))).alias("taken"))

@@ -32,7 +32,7 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     while not frontier.isEmpty():
         step, new = frontier, None
         for _ in range(hops):
-            step = step.join(edges, (step[KEY] == edges[KEY]) & (step["node"] == edges["src"])).select(edges[KEY], F.col("dst").alias("node")).distinct()
+            step = step.withColumnRenamed("node", "src").join(edges, [KEY, "src"]).select(KEY, F.col("dst").alias("node")).distinct()
             new = step if new is None else new.unionByName(step)
         frontier = _cut(new.distinct().join(found, [KEY, "node"], "left_anti"))
         found = _cut(found.unionByName(frontier))
@@ -44,7 +44,7 @@ def _spread_min(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     while True:
         now = labels
         for _ in range(hops):
-            came = now.join(edges, (now[KEY] == edges[KEY]) & (now["node"] == edges["src"])).select(edges[KEY], F.col("dst").alias("node"), "label")
+            came = now.withColumnRenamed("node", "src").join(edges, [KEY, "src"]).select(KEY, F.col("dst").alias("node"), "label")
             now = now.unionByName(came).groupBy(KEY, "node").agg(F.min("label").alias("label"))
         now = _cut(now)
         moved = now.join(labels.withColumnRenamed("label", "old"), [KEY, "node"]).where("label <> old")

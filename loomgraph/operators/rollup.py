@@ -147,10 +147,8 @@ def file_class_cards(file_classes: DataFrame, classes: DataFrame) -> DataFrame:
 def connections_for_nodes(connections: DataFrame, nodes: DataFrame) -> DataFrame:
     """scan_id, node_id and the connections that start or end there, each once."""
     n = nodes.select("scan_id", "node_id").distinct()
-    out = connections.join(n, (connections.scan_id == n.scan_id) & (connections.source_id == n.node_id)).drop(n.scan_id)
-    end = connections.where("source_id <> target_id")
-    into = end.join(n, (end.scan_id == n.scan_id) & (end.target_id == n.node_id)).drop(n.scan_id)
-    return out.unionByName(into)
+    ends = [connections.withColumn("node_id", F.col("source_id")), connections.where("source_id <> target_id").withColumn("node_id", F.col("target_id"))]
+    return ends[0].unionByName(ends[1]).join(n, ["scan_id", "node_id"], "left_semi")
 
 
 def warnings_for_nodes(affected: DataFrame, nodes: DataFrame) -> DataFrame:
