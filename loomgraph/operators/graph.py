@@ -4,20 +4,26 @@ counts; each round is written to the shared checkpoint folder, so a lost executo
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "scan_id"
+#: Nodes up to which a graph's closure by squaring is cheaper than rounds of colours.
+SMALL_CORE = 300
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage at a checkpoint in the folder that executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        base = context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        context.setCheckpointDir(base)
-    return df.checkpoint()
+    """Cut lineage at a table in the folder that executors share."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:  # a session on one machine
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -53,11 +59,38 @@ def _spread_min(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
         labels = now
 
 
-def scc(nodes: DataFrame, edges: DataFrame, hops: int = 3, trims: int = 2) -> DataFrame:
+def _trimmed(edges: DataFrame, trims: int) -> DataFrame:
+    """edges without nodes that nothing enters or leaves, as far as rounds of `trims` steps take away a tenth each."""
+    edges = _cut(edges)
+    left = edges.count()
+    while left:
+        now = edges
+        for _ in range(trims):
+            into, out = now.select(KEY, F.col("dst").alias("src")).distinct(), now.select(KEY, F.col("src").alias("dst")).distinct()
+            now = now.join(into, [KEY, "src"], "left_semi").join(out, [KEY, "dst"], "left_semi")
+        edges = _cut(now.select(KEY, "src", "dst"))
+        before, left = left, edges.count()
+        if left > 0.9 * before:
+            break
+    return edges
+
+
+def _closure_components(edges: DataFrame) -> DataFrame:
+    """scan_id, node, component by squaring the relation of a small graph: nodes that reach each other belong together."""
+    reach, n = _cut(edges.select(KEY, "src", "dst").distinct()), -1
+    while (now := reach.count()) != n:
+        n = now
+        step = reach.withColumnRenamed("dst", "mid").join(reach.withColumnRenamed("src", "mid"), [KEY, "mid"]).select(KEY, "src", "dst")
+        reach = _cut(reach.unionByName(step).distinct())
+    back = reach.select(KEY, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reach.join(back, [KEY, "src", "dst"]).groupBy(KEY, F.col("src").alias("node")).agg(F.min(F.least("src", "dst")).alias("component"))
+
+
+def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> DataFrame:
     """scan_id, node, component (least node of the strongly connected component), size, in_cycle.
 
-    nodes: scan_id, node; edges: scan_id, src, dst (those with an unknown end are dropped).  A round trims nodes without
-    edges in or out, colours every node with the least node that reaches it, and walks back from each colour's root;
+    nodes: scan_id, node; edges: scan_id, src, dst (those with an unknown end are dropped).  Nodes without edges in or
+    out are trimmed; a small rest is closed by squaring; else a round colours every node with the least node that reaches it, and walks back from each colour's root;
     what the walk meets is the root's component.  All scans go through the rounds together.
     """
     spark = nodes.sparkSession
@@ -69,14 +102,12 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 3, trims: int = 2) -> Da
     loops = known.where("src = dst").select(KEY, F.col("src").alias("node")).distinct()
     rest = _cut(known.where("src <> dst").select(KEY, "src", "dst"))
     done = _empty(spark, f"{KEY} string, node string, component string")
+    rest = _trimmed(rest, trims)
     while not rest.isEmpty():
-        for _ in range(trims):
-            into, out = rest.select(KEY, F.col("dst").alias("src")).distinct(), rest.select(KEY, F.col("src").alias("dst")).distinct()
-            rest = rest.join(into, [KEY, "src"], "left_semi").join(out, [KEY, "dst"], "left_semi")
-        rest = _cut(rest.select(KEY, "src", "dst"))
-        if rest.isEmpty():
+        ends = participating(rest)
+        if ends.count() <= SMALL_CORE:
+            done = done.unionByName(_cut(_closure_components(rest)))
             break
-        ends = rest.select(KEY, F.col("src").alias("node")).unionByName(rest.select(KEY, F.col("dst").alias("node"))).distinct()
         colour = _spread_min(_cut(ends.withColumn("label", F.col("node"))), rest, hops)
         inside = rest.join(colour.select(KEY, F.col("node").alias("src"), F.col("label").alias("a")), [KEY, "src"])
         inside = inside.join(colour.select(KEY, F.col("node").alias("dst"), F.col("label").alias("b")), [KEY, "dst"]).where("a = b")
@@ -86,7 +117,8 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 3, trims: int = 2) -> Da
         part = _cut(met.join(colour, [KEY, "node"]).select(KEY, "node", F.col("label").alias("component")))
         done = done.unionByName(part)
         gone = part.select(KEY, "node")
-        rest = _cut(rest.join(gone.withColumnRenamed("node", "src"), [KEY, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [KEY, "dst"], "left_anti").select(KEY, "src", "dst"))
+        rest = rest.join(gone.withColumnRenamed("node", "src"), [KEY, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [KEY, "dst"], "left_anti")
+        rest = _trimmed(rest.select(KEY, "src", "dst"), trims)
     named = nodes.join(done, [KEY, "node"], "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy(KEY, "component").agg(F.count("*").alias("size"))
     looped = loops.withColumn("loop", F.lit(True))
