@@ -87,7 +87,8 @@ def upsert_cache(cache: DataFrame, entries: DataFrame) -> DataFrame:
     """The cache with entries in place of those of the same function; of several entries the latest, then the greatest hash."""
     newest = F.max_by(F.struct(*[c for c in entries.columns if c != "function_id"]), F.struct("analyzed_at", "content_hash"))
     latest = entries.groupBy("function_id").agg(newest.alias("e")).select("function_id", "e.*")
-    return cache.join(latest.select("function_id"), "function_id", "left_anti").unionByName(latest.select(cache.columns))
+    kept = cache.join(latest.select("function_id"), "function_id", "left_anti")
+    return kept.select(cache.columns).unionByName(latest.select(cache.columns))
 
 
 def prune_cache(cache: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
