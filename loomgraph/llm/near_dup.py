@@ -13,7 +13,7 @@ Documents are linked when their sets' Jaccard similarity reaches the threshold.
 3. Links within crowded regions: pairs of the first trees are confirmed first, and joined into components; of the
    other pairs, those inside one component can't change the result and are left out.  What a window can't reach in a
    region of more classes than it holds (members that are still in other components than the region's) is compared
-   with all of the region in blocks, by signatures, and confirmed like all else.
+   with all of the region in blocks, by signatures and then by full sets (each pair in the first tree that it shares).
 4. Confirmation compares the full sets as sorted 64-bit hashes.  Components come from star contraction.
 
 Edge cases: null identifiers keep a row but are linked with nothing; null, empty and blank texts have empty sets;
@@ -66,24 +66,25 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint32(13))) >> np.uint32(16)).astype(">u2")
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary()), ("sketch", pa.binary())])
 
 
 def signatures(docs: DataFrame, k: int, lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_key, signature; the last two are null for empty sets."""
+    """doc_id, n_shingles, set_key, signature, sketch (a bit of each hash); the last three are null for empty sets."""
 
     def per_task():
         def each(batch):
             for d, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k, lower), strict=True):
                 if len(s):
-                    yield d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()
+                    low = signature(s)
+                    yield d, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), low.tobytes(), np.packbits(low & 1).tobytes()
                 else:
-                    yield d, 0, None, None
+                    yield d, 0, None, None, None
 
         return each
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, "doc_id long, n_shingles long, set_key binary, signature binary", _SIGNED, per_task)
+    return map_rows(rows, "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary", _SIGNED, per_task)
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32())])
@@ -91,32 +92,37 @@ REGION = f"xxhash64(tree, substring(key, 1, {2 * DEPTH})) AS region"
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """tree, key, cls: the sorted orders, still unsorted."""
-    trees = classes.select("cls", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    """tree, key, sketch, cls: the sorted orders, still unsorted."""
+    trees = classes.select("cls", "signature", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     key = F.expr(f"substring(concat(signature, signature), tree * {2 * DEPTH} + 1, {2 * KEY_HASHES})")
-    return trees.select("tree", key.alias("key"), "cls")
+    return trees.select("tree", key.alias("key"), "sketch", "cls")
 
 
-def neighbours(orders: DataFrame, partitions: int) -> DataFrame:
+def neighbours(orders: DataFrame, partitions: int, threshold: float) -> DataFrame:
     """a < b, tree: candidate pairs from each sorted order.  The orders are dealt by ranges of (tree, key), so a
-    crowded region is cut between its keys."""
+    crowded region is cut between its keys.  Pairs whose sketches differ in more bits than DEVIATIONS allow at the
+    threshold (a bit differs with probability (1 - similarity) / 2) leave at once."""
+    differ = (1 - threshold) / 2
+    most = int(HASHES * differ + DEVIATIONS * (HASHES * differ * (1 - differ)) ** 0.5)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        kept = (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros((0, HASHES // 32), np.uint32), np.zeros(0, np.int64))
         for batch in batches:
             keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").reshape(len(batch), -1)[:, 0]
-            new = (batch.column(0).to_numpy(), keys.astype(np.uint64), batch.column(2).to_numpy())
-            tree, prefix, cls = (np.concatenate(x) for x in zip(kept, new, strict=True))
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(batch), -1)
+            new = (batch.column(0).to_numpy(), keys.astype(np.uint64), bits, batch.column(3).to_numpy())
+            tree, prefix, sketch, cls = (np.concatenate(x) for x in zip(kept, new, strict=True))
             old, found = len(kept[0]), []
             for w in range(1, min(WINDOW, len(tree) - 1) + 1):
                 same = (tree[w:] == tree[:-w]) & (prefix[w:] == prefix[:-w]) & (cls[w:] != cls[:-w])
                 at = np.flatnonzero(same)
                 at = at[at + w >= old]
+                at = at[np.bitwise_count(sketch[at] ^ sketch[at + w]).sum(axis=1) <= most]
                 found.append((cls[at], cls[at + w], tree[at]))
             if found:
                 x, y, t = (np.concatenate(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(t)], schema=_PAIRS)
-            kept = tree[-WINDOW:], prefix[-WINDOW:], cls[-WINDOW:]
+            kept = tree[-WINDOW:], prefix[-WINDOW:], sketch[-WINDOW:], cls[-WINDOW:]
 
     dealt = orders.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key", "cls")
     return dealt.mapInArrow(pairs, "a long, b long, tree int")
@@ -129,11 +135,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def per_task():
         def each(batch):
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if common * 100 >= share * (len(both) - common):
+                if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share):
                     yield a, b
 
         return each
@@ -143,47 +145,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_rows(ends.select("a", "b", "x", "y"), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]), per_task)
 
 
-def _crowded(orders: DataFrame) -> DataFrame:
-    """Regions of more classes than a window reaches: region (tree and first DEPTH hashes), members."""
-    counted = orders.select(F.expr(REGION), "cls").groupBy("region").agg(F.count("*").alias("members"))
-    return counted.where(F.col("members") > WINDOW + 1)
+def crowded(orders: DataFrame) -> DataFrame:
+    """tree, region (tree and first DEPTH hashes), members, cls: classes in regions of more than a window reaches."""
+    named = orders.select("tree", F.expr(REGION), "cls")
+    counted = named.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > WINDOW + 1)
+    return named.join(counted, "region").select("tree", "region", "members", "cls")
 
 
-def strays(orders: DataFrame, classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a crowded region's members in different components, as far as signatures allow a link.
+def strays(member: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between a crowded region's members of different components; member: see crowded().
 
     A region's main component is its most frequent one; strays are members of the others.  Both sides are dealt to
-    blocks of about BLOCK members, and each pair of blocks is compared in one task by array operations, so no task
-    grows with a region.
+    blocks of about BLOCK members, and each pair of blocks is compared in one task, so no task grows with a region:
+    signatures first, then the full sets of those that may be linked.  One link to a component is enough.
     """
-    crowded = _crowded(orders)
-    member = orders.select(F.expr(REGION), "cls").join(crowded, "region")
     member = member.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    member = materialise(member.select("region", "members", "cls", F.coalesce("component", "cls").alias("component")), "region-members")
+    member = materialise(member.select("tree", "region", "members", "cls", F.coalesce("component", "cls").alias("component")), "region-members")
     sizes = member.groupBy("region", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"))
-    mixed = member.join(main.where("parts > 1"), "region")
-    mixed = mixed.join(classes.select("cls", "signature"), "cls")
+    mixed = member.join(main.where("parts > 1"), "region").join(classes.select("cls", "signature"), "cls").join(sets, "cls")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mixed = materialise(mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "region-mixed")
-    left = mixed.where("component <> main").select("region", F.col("block").alias("sblock"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "component", "signature")
-    right = mixed.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sblock"), "block", "cls", "component", "signature")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    columns = ["cls", "component", "signature", "hashes", "tree"]
+    left = mixed.where("component <> main").select("region", F.col("block").alias("sblock"), every.alias("block"), *columns)
+    right = mixed.select("region", every.alias("sblock"), "block", *columns)
     floor = threshold - DEVIATIONS * (threshold * (1 - threshold) / HASHES) ** 0.5
+    share = round(threshold * 100)
 
     def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
         out = []
         if len(x) and len(y):
+            t = x["tree"][0].as_py()
             ys = np.frombuffer(b"".join(y["signature"].to_pylist()), ">u2").reshape(-1, HASHES)
-            yc, yk = y["cls"].to_numpy(), y["component"].to_numpy()
-            for c, k, s in zip(x["cls"].to_pylist(), x["component"].to_pylist(), x["signature"].to_pylist(), strict=True):
-                share = (ys == np.frombuffer(s, ">u2")).mean(axis=1)
-                hit = yc[(share >= floor) & (yk != k)]
-                out += [(min(c, o), max(c, o)) for o in hit.tolist()]
+            yc, yk, yh = y["cls"].to_pylist(), y["component"].to_numpy(), y["hashes"]
+            for c, k, s, h in zip(x["cls"].to_pylist(), x["component"].to_pylist(), x["signature"].to_pylist(), x["hashes"].to_pylist(), strict=True):
+                same = ys == np.frombuffer(s, ">u2")
+                near = (same.mean(axis=1) >= floor) & (yk != k)
+                if t:  # a pair belongs to the first tree whose prefix it shares
+                    near &= ~same[:, : t * DEPTH].reshape(len(ys), t, DEPTH).all(axis=2).any(axis=1)
+                linked, own = set(), np.frombuffer(h, np.uint64)
+                for i in np.flatnonzero(near).tolist():
+                    if yk[i] not in linked and similar(own, np.frombuffer(yh[i].as_py(), np.uint64), share):
+                        linked.add(yk[i])
+                        out.append((min(c, yc[i]), max(c, yc[i])))
         pairs = list(dict.fromkeys(out))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     keys = ["region", "sblock", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    """Whether 100 * intersection >= share * union, for sorted distinct hashes."""
+    if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common * 100 >= share * (len(both) - common)
 
 
 def near_duplicates(
@@ -200,13 +220,14 @@ def near_duplicates(
     keyed = signed.where("doc_id is not null and set_key is not null")
     least = keyed.groupBy("set_key").agg(F.min("doc_id").alias("cls"))
     classes = materialise(
-        keyed.join(least, "set_key").where("doc_id = cls").select("cls", "set_key", "signature").dropDuplicates(["cls", "set_key"]), "classes"
+        keyed.join(least, "set_key").where("doc_id = cls").select("cls", "set_key", "signature", "sketch").dropDuplicates(["cls", "set_key"]), "classes"
     )
     orders = forest(classes)
-    pairs = neighbours(orders, partitions).groupBy("a", "b").agg(F.min("tree").alias("tree"))
+    pairs = neighbours(orders, partitions, threshold).groupBy("a", "b").agg(F.min("tree").alias("tree"))
     pairs = materialise(pairs, "pairs")
 
-    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    member = materialise(crowded(orders), "crowded")
+    named = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(member.select("cls"))
     sets = materialise(class_sets(docs, classes, named.distinct(), k, lower, id_col, text_col), "sets")
     first = pairs.where(F.col("tree") < FIRST_TREES).select("a", "b")
     links = materialise(confirmed(first, sets, threshold), "links-first")
@@ -214,11 +235,9 @@ def near_duplicates(
     rest = apart(pairs.where(F.col("tree") >= FIRST_TREES).select("a", "b"), found)
     links = links.unionByName(materialise(confirmed(rest, sets, threshold), "links-rest"))
     found = components(links)
-    more = materialise(strays(orders, classes, found, threshold), "strays")
-    late = more.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    late = materialise(strays(member, classes, sets, found, threshold), "links-strays")
     if not late.isEmpty():
-        late_links = materialise(confirmed(late, sets, threshold), "links-strays")
-        found = components(links.unionByName(late_links))
+        found = components(links.unionByName(late))
     # an identifier that stands for several sets (repeated rows) ties their classes together
     own = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not own.isEmpty():

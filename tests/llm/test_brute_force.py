@@ -149,3 +149,28 @@ def test_pipeline(spark):
     benchmark = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(b in r.text for r in docs.collect() for b in benchmark)
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_crowded_regions_find_every_link(spark, monkeypatch):
+    """A window of one class and one tree leave most links of a crowd to the comparison of regions."""
+    monkeypatch.setattr(near_dup, "WINDOW", 1)
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(50):
+        t = list(base)
+        for _ in range(r.randrange(0, 16)):
+            t[r.randrange(200)] = f"x{r.random()}"
+        texts.append(t)
+    sets = {i: {tuple(t[j : j + 2]) for j in range(199)} for i, t in enumerate(texts)}
+    up = {}
+    root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+    for a in sets:
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_dup.near_duplicates(df, k=2).collect()} == {i: root(i) for i in sets}
