@@ -12,8 +12,8 @@ shards such that equal windows meet:
 2. Anchors that occur once in the corpus can't name a repeated window; the others are joined back to their documents.
 3. Passages.  The windows of one occurrence of an anchor are consecutive, and their words make a passage.  Equal
    passages are counted and go on as one.  A shard holds all passages of its anchors, so equal windows meet in one
-   shard; anchors of more than CROWD different passages (a line that is in a third of all documents) are cut into
-   single windows, which are dealt by their own hash.
+   shard; anchors of more than CROWD different passages (a line that is in a third of all documents) are judged by
+   counts of ever smaller groups of their windows instead.
 4. A task reads its passages in the order of their anchors, SHARD_WORDS at a time (never parting an anchor), builds a
    suffix automaton with counts of occurrences and streams the passages through it.
 5. What it found goes back to the occurrences and the documents.
@@ -153,7 +153,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("n", pa.int32())])
 _PASSAGES = pa.schema(
-    [("row", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("key", pa.binary()), ("words", pa.binary())]
+    [("row", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("anchor_at", pa.int32()), ("key", pa.binary()), ("words", pa.binary())]
 )
 _FLAGS = pa.schema([("key", pa.binary()), ("flags", pa.binary())])
 
@@ -180,7 +180,7 @@ def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
-    """row, anchor, at (first word), key (of the words), words (32 bits each), for each passage of a repeated anchor;
+    """row, anchor, at (first word), anchor_at (of the anchor, from there), key (of the words), words (32 bits each), for each passage of a repeated anchor;
     rows: row, text, anchors (the repeated ones)."""
 
     def per_task():
@@ -196,16 +196,16 @@ def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
                     for x, y in passages_of(place):
                         if mine[x]:
                             data = short[x : y + least - 1].tobytes()
-                            yield row[at + i], int(low[x].view(np.int64)), x, hashlib.blake2b(data, digest_size=12).digest(), data
+                            yield row[at + i], int(low[x].view(np.int64)), x, int(place[x]) - x, hashlib.blake2b(data, digest_size=12).digest(), data
                 at += len(some)
 
         return each
 
-    return map_rows(rows.select("row", "text", "anchors"), "row long, anchor long, at int, key binary, words binary", _PASSAGES, per_task, 2000)
+    return map_rows(rows.select("row", "text", "anchors"), "row long, anchor long, at int, anchor_at int, key binary, words binary", _PASSAGES, per_task, 2000)
 
 
 def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
-    """key, flags: which windows of a passage occur twice; passages: key, anchor, words, times.  Passages without a
+    """key, flags: which windows of a passage occur twice; passages: key, anchor, anchor_at, words, times.  Passages without a
     repeated window are left out."""
     spark = passages.sparkSession
     crowd = passages.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("anchor")
@@ -244,15 +244,41 @@ def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
     calm = passages.join(crowd, "anchor", "left_anti").select("key", "anchor", "words", "times")
     judged = calm.repartition(n, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(shards, "key binary, flags binary")
 
-    # crowded anchors: their windows one by one, counted as they are
     crowded = passages.join(crowd, "anchor", "left_semi")
-    windows = f"sequence(0, cast(length(words) / 4 as int) - {least})"
-    single = crowded.select("key", "times", F.expr(f"posexplode(transform({windows}, i -> sha2(substring(words, 4 * i + 1, {4 * least}), 224)))").alias("w", "window"))
-    seen = single.groupBy("window").agg(F.sum("times").alias("total")).where("total > 1").select("window")
-    hit = single.join(seen, "window").groupBy("key").agg(F.array_sort(F.collect_list("w")).alias("hit"))
-    again = crowded.select("key", "words").join(hit, "key")
-    bits = F.expr(f"unhex(array_join(transform({windows}, i -> if(array_contains(hit, i), '01', '00')), ''))")
-    return judged.unionByName(again.select("key", bits.alias("flags")))
+    return judged.unionByName(_descend(crowded, least))
+
+
+def _descend(passages: DataFrame, least: int) -> DataFrame:
+    """key, flags of the passages of crowded anchors.
+
+    A passage's windows are halved again and again by where the anchor stands in them (places 0-15, 16-31; then groups
+    of 4; then single ones), so that equal windows stay in equal groups.  A group whose words occur twice is done: all
+    its windows do (one of its kind goes on as a witness for windows that others share with it).  A group whose core (the words that all windows of its place share) occurs once is done too: none
+    does.  Only the others, around the ends of what is common, go on.
+    """
+    width = 4 * least
+    now = passages.select("key", "words", "times", "anchor_at", F.lit(0).alias("x"), F.expr(f"cast(length(words) / 4 as int) - {least}").alias("y"))
+    hits = None
+    for w in (16, 4, 1):
+        groups = now.select("*", F.explode(F.expr(f"sequence((anchor_at - y) div {w}, (anchor_at - x) div {w})")).alias("g"))
+        groups = groups.select(
+            "key", "words", "times", "anchor_at", F.expr(f"cast(greatest(x, anchor_at - g * {w} - {w - 1}) as int)").alias("x"), F.expr(f"cast(least(y, anchor_at - g * {w}) as int)").alias("y"), "g"
+        )
+        groups = materialise(groups.select(
+            "*", F.expr(f"sha2(substring(words, 4 * x + 1, 4 * (y - x) + {width}), 224)").alias("whole"), F.expr(f"sha2(substring(words, cast(4 * (anchor_at - g * {w}) + 1 as int), {width - 4 * (w - 1)}), 224)").alias("core")
+        ).drop("g"), "window-groups")
+        whole = groups.groupBy("whole").agg(F.sum("times").alias("n")).where("n > 1").select("whole", F.lit(True).alias("done"))
+        core = groups.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core")
+        judged = groups.join(whole, "whole", "left").join(core, "core", "left_semi")
+        judged = materialise(judged.select("key", "words", "times", "anchor_at", "x", "y", "whole", "done"), "judged-groups")
+        found = judged.where("done and key is not null").select("key", "x", "y")
+        hits = found if hits is None else hits.unionByName(found)
+        one = judged.where("done").groupBy("whole").agg(F.min(F.struct("words", "anchor_at", "x", "y")).alias("r"))
+        witness = one.select(F.lit(None).cast("binary").alias("key"), "r.words", F.lit(2).cast("long").alias("times"), "r.anchor_at", "r.x", "r.y")
+        now = judged.where("done is null").select("key", "words", "times", "anchor_at", "x", "y").unionByName(witness)
+    spans = hits.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
+    bits = F.expr(f"unhex(array_join(transform(sequence(0, cast(length(words) / 4 as int) - {least}), i -> if(exists(spans, s -> i between s.x and s.y), '01', '00')), ''))")
+    return passages.select("key", "words").join(spans, "key").select("key", bits.alias("flags"))
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -282,7 +308,7 @@ def remove_repeats(docs: DataFrame, least: int = 35, id_col: str = "doc_id", tex
     wanted = anchors.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     touched = materialise(rows.join(wanted, "row"), "touched")
     occurrences = materialise(_passage_rows(touched, least), "passages")
-    passages = occurrences.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.count("*").alias("times"))
+    passages = occurrences.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("anchor_at").alias("anchor_at"), F.first("words").alias("words"), F.count("*").alias("times"))
     flags = repeated_windows(materialise(passages, "distinct-passages"), least)
     found = occurrences.select("row", "at", "key").join(flags, "key").groupBy("row").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
     hit = touched.select("doc_id", "row", "text").join(found, "row")
