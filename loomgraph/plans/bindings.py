@@ -21,9 +21,8 @@ select l_partkey as src_k, l_suppkey as src_s, l_quantity as qty, l_returnflag a
 from {lineitem} window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)""",
     "b_import_edges": """
 select 'corpus' as scan_id, s.file_id as src, d.file_id as dst, count(*) as weight, min(h.flag) = 'A' as is_type_only
-from {b_hops} h join {orders} o on o.o_orderkey = h.ok
-join {b_files} s on s.k = h.src_k join {b_files} d on d.k = h.dst_k
-where h.src_k <> h.dst_k and o.o_orderpriority = '1-URGENT' and o.o_orderstatus = 'P' and h.qty <= 25
+from {b_hops} h join {b_files} s on s.k = h.src_k join {b_files} d on d.k = h.dst_k
+where h.src_k <> h.dst_k
 group by s.file_id, d.file_id""",
     "b_functions": """
 select 'corpus' as scan_id, concat(f.file_id, ':fn:s', cast(l_suppkey as string), ':1') as function_id,
