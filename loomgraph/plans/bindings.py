@@ -51,7 +51,7 @@ from {events}""",
 select 'corpus' as scan_id, concat(s.file_id, ':fn:s', cast(h.src_s as string), ':1') as source_id,
        concat(d.file_id, ':fn:s', cast(h.dst_s as string), ':1') as target_id, count(*) as weight
 from {b_hops} h join {b_files} s on s.k = h.src_k join {b_files} d on d.k = h.dst_k
-where h.qty <= 10 group by s.file_id, h.src_s, d.file_id, h.dst_s""",
+group by s.file_id, h.src_s, d.file_id, h.dst_s""",
     "b_imports": """
 select 'corpus' as scan_id, f.file_id, f.file_path, cast(l_linenumber as int) as stmt_ord,
        case when l_suppkey % 4 = 0 then concat('@/', d.p_type, '/', cast(d.p_partkey as string))

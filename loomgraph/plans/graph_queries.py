@@ -83,6 +83,10 @@ def connections(t: Tables, kind: str):
     return t.b_import_edges.select("scan_id", F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(kind).alias("type"))
 
 
+def calls(t: Tables):
+    return t.b_calls.select("scan_id", "source_id", "target_id", F.lit("function_call").alias("type"))
+
+
 def _shown(df):
     return df.select("category", "level", "title", F.array_join("affected_nodes", ",").alias("nodes"), "confidence")
 
@@ -94,8 +98,7 @@ def _(t: Tables):
 
 @_r.add("function_cycles")
 def _(t: Tables):
-    named = t.b_files.select("scan_id", F.col("file_id").alias("function_id"), "name")
-    return _shown(D.function_cycles(connections(t, "function_call"), named))
+    return _shown(D.function_cycles(calls(t), t.b_functions))
 
 
 @_r.add("import_cycles_typed")

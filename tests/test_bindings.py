@@ -49,3 +49,18 @@ def test_components_and_reach_of_all_hops(spark, tables):
     assert dict(map(tuple, got)) == want == {1: 1, 2: 1, 3: 1, 4: 4}
     (cycle,) = Q.QUERIES["find_cycles"](spark, tables).collect()
     assert cycle.cycle.count(" > ") == 2
+
+
+def fn(file, name):
+    return f"file:Brand#1/T/{file}.ts:fn:s{name}:1"
+
+
+def test_calls_are_all_hops(spark, tables):
+    got = {tuple(r) for r in view(spark, tables, "b_calls").select("source_id", "target_id").collect()}
+    assert got == {(fn(1, 1), fn(2, 2)), (fn(2, 2), fn(3, 3)), (fn(3, 3), fn(1, 1)), (fn(3, 3), fn(4, 4))}
+    assert Q.QUERIES["orphaned_functions"](spark, tables).count() == 0
+
+
+def test_function_cycles_are_of_calls(spark, tables):
+    (f,) = Q.QUERIES["function_cycles"](spark, tables).collect()
+    assert f.nodes == ",".join(fn(n, n) for n in (1, 2, 3)) and f.title == "Circular call: s1 → s2 → s3 → s1"
