@@ -155,11 +155,8 @@ def _(t: Tables):
 USED = f"select distinct {_TARGET} as source, case when n_items = 3 and stmt_ord = 2 then '*' else unnest(['s' || stmt_ord, 's' || (stmt_ord + 20)]) end as name from {{b_imports}}"
 
 
-@_r.add("unused_exports", f"""with u as ({USED}), n as ({NAMED}), st as ({STARS}),
- c as (select source, name from u union select n.target, n.original from u join n on n.barrel = u.source and n.exported = u.name union select st.target, u.name from u join st on st.barrel = u.source where u.name <> '*')
- select 'Unused export: ' || f.name as title, f.parent_file_id as nodes from {{b_functions}} f
- where not exists (select 1 from c where c.source = regexp_replace(f.file_path, '\\.ts$', '') and c.name in ('*', f.name))""")
-def _(t: Tables):
+def imports(t: Tables):
+    """(import statements, the two names each takes or its namespace)."""
     from pyspark.sql import Window as W
 
     n = F.row_number().over(W.partitionBy("file_id").orderBy("stmt_ord", "source"))
@@ -167,7 +164,15 @@ def _(t: Tables):
     names = F.array(F.concat(F.lit("s"), "s"), F.concat(F.lit("s"), F.col("s") + 20))
     space = (F.col("n_items") == 3) & (F.col("s") == 2)
     items = numbered.select("scan_id", "file_id", "stmt_ord", space.alias("is_namespace"), F.lit(False).alias("is_default"), F.posexplode(names).alias("item_ord", "name"))
-    out = D.unused_exports(exports(t), numbered, items, t.b_aliases)
+    return numbered, items
+
+
+@_r.add("unused_exports", f"""with u as ({USED}), n as ({NAMED}), st as ({STARS}),
+ c as (select source, name from u union select n.target, n.original from u join n on n.barrel = u.source and n.exported = u.name union select st.target, u.name from u join st on st.barrel = u.source where u.name <> '*')
+ select 'Unused export: ' || f.name as title, f.parent_file_id as nodes from {{b_functions}} f
+ where not exists (select 1 from c where c.source = regexp_replace(f.file_path, '\\.ts$', '') and c.name in ('*', f.name))""")
+def _(t: Tables):
+    out = D.unused_exports(exports(t), *imports(t), t.b_aliases)
     return out.select("title", F.array_join("affected_nodes", ",").alias("nodes"))
 
 
@@ -310,12 +315,10 @@ def _(t: Tables):
 
 @_r.add("detect_warnings")
 def _(t: Tables):
-    conn = connections(t, "import").unionByName(t.b_calls.select("scan_id", "source_id", "target_id", F.lit("function_call").alias("type")))
+    conn = connections(t, "import").unionByName(calls(t))
     files = t.b_files.withColumn("top_level_references", F.array().cast("array<string>"))
-    config = D.DetectionConfig(detect=frozenset({"orphaned", "large_files"}))
     functions = t.b_functions.withColumn("parent_class_id", F.lit(None).cast("string"))
-    none = exports(t).limit(0)
-    return _shown(D.detect_warnings(files, functions, none, none, none, t.b_aliases, conn, config))
+    return _shown(D.detect_warnings(files, functions, exports(t), *imports(t), t.b_aliases, conn))
 
 
 @_r.add("count_findings_by_source", "select source, category, count(*) as findings from {b_findings} group by 1, 2")

@@ -1,5 +1,7 @@
 """The derived code graph holds every hop of its tables; queries over it against brute force."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ ORDERS = [
 def tables(spark, tmp_path):
     lines = [(o, n, p, s, q, 0.0, 0.0, "N", "F") for o, (_, _, ls) in enumerate(ORDERS) for n, (p, s, q) in enumerate(ls)]
     made = {
-        "part": ([(k, "Brand#1", "T", 50) for k in range(1, 6)], PART), "lineitem": (lines, LINE),
+        "part": ([(k, "Brand#1", "T", 50) for k in (1, 2, 3, 4, 5, 40)], PART), "lineitem": (lines, LINE),
         "orders": ([(o, 1, p, s) for o, (p, s, _) in enumerate(ORDERS)], ORDER),
     }
     for name, (rows, schema) in made.items():
@@ -64,3 +66,18 @@ def test_calls_are_all_hops(spark, tables):
 def test_function_cycles_are_of_calls(spark, tables):
     (f,) = Q.QUERIES["function_cycles"](spark, tables).collect()
     assert f.nodes == ",".join(fn(n, n) for n in (1, 2, 3)) and f.title == "Circular call: s1 → s2 → s3 → s1"
+
+
+def test_detect_warnings_runs_all_detectors(spark, tables):
+    rows = Q.QUERIES["detect_warnings"](spark, tables).collect()
+    large = [f"Large file: {k}.ts" for k in (1, 2, 3, 4, 40, 5)]
+    unused = [f"Unused export: s{k}" for k in (2, 3, 4)]  # file 1 imports its own s1
+    assert sorted(r.title for r in rows) == ["Circular call: s1 → s2 → s3 → s1", "Circular dependency: 1.ts → 2.ts → 3.ts → 1.ts", *large, *unused]
+
+
+def test_external_detection(spark, tables):
+    got = Counter((r.category, r.source) for r in Q.QUERIES["external_detection"](spark, tables).collect())
+    assert got == {
+        ("orphaned_code", "graph"): 5, ("circular_dependency", "graph"): 1, ("orphaned_code", "report"): 1, ("unused_export", "report"): 5,
+        ("circular_dependency", "report"): 4, ("error", "unused"): 1,
+    }
