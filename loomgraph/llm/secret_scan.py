@@ -3,7 +3,7 @@
 Base spans, leftmost and non-overlapping per kind: assignments to a name of a secret, access keys, long hexadecimal
 runs.  The method adds spans of kind `entropy`: in candidate strings (runs of the characters of tokens), the Shannon
 entropy of a window slides along by adding one character's count and taking one away; stretches of windows above the
-threshold of the string's character class are spans, unless the allow-list knows the string.
+threshold of the string's character class are spans, unless the allow-list knows the string or a placeholder in the window.
 
 Edge cases: null and empty texts have no spans; very long strings cost time in proportion to their length; repeated
 rows are scanned each; positions are code points, ends exclusive; other columns are ignored.
@@ -31,11 +31,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 W = 20
 #: Bits a character that a window must reach, by class of the string.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
-#: Strings that look random and aren't secrets: identifiers in a public form, alphabets, placeholders, plain words, rules.
+#: Strings that look random and aren't secrets: identifiers in a public form, plain words, rules.
 ALLOWED = re.compile(
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|.*(?:example|placeholder|changeme|abcdefghij|0123456789|xxxxxx).*"
+    r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
     r"|[A-Za-z]+|[a-z]+(?:[-_/][a-z]+)*|[-_=+/]+|[0-9]+"
 )
+#: Alphabets and placeholders; only the windows that overlap one are let off.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|abcdefghij|0123456789|x{6,}")
 _CLOGC = [0.0, *(n * log2(n) for n in range(1, W + 1))]
 
 
@@ -71,8 +73,11 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         if ALLOWED.fullmatch(string):
             continue
         least = THRESHOLDS[character_class(string)]
+        known = bytearray(len(string))
+        for p in PLACEHOLDER.finditer(string):
+            known[p.start() : p.end()] = b"\1" * (p.end() - p.start())
         for at, bits in window_entropies(string):
-            if bits >= least:
+            if bits >= least and known.find(1, at, at + W) < 0:
                 a, b = m.start() + at, m.start() + at + W
                 if spans and a <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], b)

@@ -162,6 +162,16 @@ def test_bit_parallel_distance_and_pieces():
         assert "".join(x for _, x in decontaminate.pieces(p, k)) == p and len(decontaminate.pieces(p, k)) == k + 1
 
 
+@pytest.mark.parametrize("text, key", [("aGVsbG8/example/Zx9Qw8Er7Ty6Ui5Op4As3Df", "Zx9Qw8Er7Ty6Ui5Op4As3Df"), ("ghp_QwErTyUiOpAsDfGhJkLzXc", "QwErTyUiOpAsDfGhJkLzXc")])
+def test_allow_list_hides_no_key_beside_it(text, key):
+    assert key not in secret_scan.redact(text, secret_scan.find_secrets(text)) and key[-8:] not in secret_scan.redact(text, secret_scan.find_secrets(text))
+
+
+@pytest.mark.parametrize("text", ["0123456789abcdefghij0123", "my-example-0123456789-changeme", "3F2504E0-4F89-41D3-9A0C-0305E82C3301", "plain-words_of_lower/case"])
+def test_allow_list_still_lets_off(text):
+    assert not secret_scan.entropy_spans(text)
+
+
 def test_secrets(odd, empty):
     find = secret_scan.find_secrets
     assert find("password = hunter22 ok") == [("assign", 0, 19)] and find("token: abc") == []
