@@ -3,12 +3,11 @@ counts; each round is written to the shared checkpoint folder, so a lost executo
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialise
+
 KEY = "scan_id"
 #: Nodes up to which a graph's closure by squaring is cheaper than rounds of colours.
 SMALL_CORE = 300
@@ -16,14 +15,7 @@ SMALL_CORE = 300
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cut lineage at a table in the folder that executors share."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:  # a session on one machine
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, "graph")
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
