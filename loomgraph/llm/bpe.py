@@ -1,17 +1,24 @@
 """Byte-level BPE as a streaming transducer, and its decoder (operator 2).
 
-Encoding.  A text is cut into pieces by the pre-tokenizer's pattern, and each piece is merged by the merge list.
-Merging looks to the right: a token can be taken apart from its neighbour only when no later byte can change it.
-MergeTable.lookahead is how many bytes to the right can matter at most.  It is computed from the list alone: rule i =
-(s, z) can take a token s away from what stands left of it; whether z stood there when rule i ran depends on z's own
-bytes and on rules before i that could have taken the tokens at z's right edge, so
+Encoding.  A Transducer reads one text chunk by chunk and lets ids go as soon as they are stable; every text goes
+through one.  Two lookaheads say when:
 
-    reach(i) = len(z) + max(reach(j) : j < i, rule j takes a token of z's right edge),
+* A piece of the pre-tokenizer's pattern is settled when three more characters have been read behind its end, for the
+  pattern looks no further; in plain text (single spaces before words) a word is settled when the next space is read.
+* A piece that is still open is merged by the merge list with a bounded view to the right: a token can leave when no
+  later byte can take it apart.  MergeTable.lookahead is how many bytes to the right can matter at most.  It is
+  computed from the list alone: rule i = (s, z) can take a token s away from what stands left of it; whether z stood
+  there when rule i ran depends on z's own bytes and on rules before i that could have taken the tokens at z's right
+  edge, so
 
-and the lookahead is the greatest reach.  PieceTransducer keeps that many bytes and a block: each token that ends
-`lookahead` bytes or more before the end of what was read is stable and leaves.  So memory is constant, however long
-a text or a piece of it is.  Short pieces are merged at once, and words that come again are remembered in a memo of
-bounded size.
+      reach(i) = len(z) + max(reach(j) : j < i, rule j takes a token of z's right edge),
+
+  and the lookahead is the greatest reach.  PieceTransducer keeps that many bytes and a block; tokens that end
+  `lookahead` bytes or more before the end of what was read leave.
+
+So a transducer's state (`kept` characters, or a PieceTransducer's bytes) is bounded, however long a text or a piece of
+it is.  Batched form: the transducers of many texts take a chunk each in one step, and the words that they settle in it
+are merged together; words that come again are remembered in a table of bounded size.
 
 Decoding is a state machine over ids: bytes of ids in, characters out, with the bytes of an unfinished character as
 its state; malformed bytes become U+FFFD as in the tokenizers library.
@@ -28,7 +35,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +42,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER, SPACE, IdTable, Runs, map_rows, take_runs
+from .common import LETTER, SPACE, IdTable, Runs, map_rows, take_runs, utf8
 
 # White space of Unicode, and the pattern of byte-level pre-tokenizers.
 _S = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_S}\p{{L}}\p{{N}}]+", rf"[{_S}]+")]
-#: Characters read at a time, and bytes above which a word is not remembered.
-WINDOW, MEMO_BYTES = 1 << 16, 400
+#: Characters of a chunk; bytes of a word, and pieces, up to which they are remembered.
+CHUNK, MEMO_BYTES, MEMO_PIECES = 1 << 16, 400, 200_000
 #: Only spaces part words here; bytes after a space that make a text hard.
 SPACE_ONLY = np.full(256, LETTER, np.uint8)
 SPACE_ONLY[32] = SPACE
@@ -223,13 +229,73 @@ class PieceTransducer:
         return ids
 
 
+class Transducer:
+    """The state of one text: what was read and isn't settled."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.kept, self.begun, self.pushes = encoder, "", False, 0
+        #: of an open piece longer than a chunk: its transducer and the pattern of what may go on with it
+        self.long: PieceTransducer | None = None
+        self.run = None
+
+    def push(self, chunk: str) -> list[int]:
+        return self.encoder.step([self], [chunk], False)[0].tolist()
+
+    def end(self) -> list[int]:
+        return self.encoder.step([self], [""], True)[0].tolist()
+
+
 class Encoder:
-    """Texts to ids."""
+    """Steps of transducers, and the words that they remember together."""
 
     def __init__(self, table: MergeTable):
         self.table = table
         #: ids of a word with the space before it
         self.words = IdTable()
+        self.memo: dict[str, list[int]] = {}
+        self.special = [s.encode() for s in table.special]
+
+    def step(self, streams: list[Transducer], chunks: list[str], last: bool) -> list[np.ndarray]:
+        """Each transducer reads its chunk (the last one of its text or not): the ids that became stable."""
+        held = pa.array([t.kept + c for t, c in zip(streams, chunks, strict=True)], pa.large_string())
+        runs = Runs(held, SPACE_ONLY)
+        hard = self._hard(runs, np.array([t.begun for t in streams]))
+        for i, t in enumerate(streams):
+            t.pushes += 1
+            hard[i] |= t.long is not None
+        # the settled words of plain texts: all but the last one, which may grow
+        size = np.diff(runs.of)
+        take = np.ones(len(runs.start), bool)
+        if not last:
+            take[runs.of[1:][size > 0] - 1] = False
+        take[np.repeat(hard, size)] = False
+        first = runs.of[:-1][(size > 0) & ~hard & ~np.array([t.begun for t in streams])]
+        head = first[take[first]]  # words without a space before them
+        take[head] = False
+        at = np.flatnonzero(take)
+        sizes = np.zeros(len(runs.start), np.int64)
+        flat, sizes[at] = self.words.ids(runs.raw, runs.start[at], runs.end[at], runs.hash[at], lambda x: self._new_words(runs, at[x]))
+        ends = np.append(0, np.cumsum(sizes))
+        heads = set(head.tolist())
+        out = []
+        for i, ((a, b), t) in enumerate(zip(runs, streams, strict=True)):
+            if hard[i]:
+                text = held[i].as_py()
+                found = [x for ids in self._pieces(t, text, last) for x in ids]
+                out.append(np.array(found, np.int32))
+                t.begun |= bool(text) and len(t.kept) < len(text)
+                continue
+            ids = flat[ends[a] : ends[b]]
+            if a < b and a in heads:
+                ids = np.concatenate([np.array(self._head(runs.raw[runs.start[a] : runs.end[a]].tobytes().decode("utf-8")), np.int32), ids])
+            if last or a == b:
+                t.kept = "" if last else held[i].as_py()
+            else:
+                space = t.begun or b - a > 1
+                t.kept = (" " if space else "") + runs.raw[runs.start[b - 1] : runs.end[b - 1]].tobytes().decode("utf-8")
+                t.begun |= b - a > 1
+            out.append(ids)
+        return out
 
     def _new_words(self, runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = runs.raw.tobytes()
@@ -239,43 +305,25 @@ class Encoder:
         found = [[i for p in parts for i in ids[p]] for parts in cut]
         return np.array([i for x in found for i in x], np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def encode_column(self, texts: pa.Array) -> Iterator[Iterable[np.ndarray]]:
-        """For each text, its ids in parts.
+    def _head(self, text: str) -> list[int]:
+        return [i for p in PIECE.findall(text) for i in self._merge(p)]
+
+    def _merge(self, piece: str) -> list[int]:
+        ids = self.memo.get(piece)
+        if ids is None:
+            ids = self.table.merge(piece.encode("utf-8", "surrogatepass"))
+            if len(piece) <= MEMO_BYTES:
+                if len(self.memo) >= MEMO_PIECES:
+                    self.memo.clear()
+                self.memo[piece] = ids
+        return ids
 
-        A piece never crosses a space before a word, so texts fall into words with the space before them; new ones are
-        merged together, known ones are looked up.  Texts where a space has other company, texts with special tokens
-        or very long words go through parts(), which reads them in windows.
-        """
-        for some in take_runs(texts):
-            runs = Runs(some, SPACE_ONLY)
-            hard = self._hard(some, runs)
-            if hard.any():  # the others only
-                runs = Runs(pa.array([None if h else t for t, h in zip(some.to_pylist(), hard.tolist(), strict=True)], pa.large_string()), SPACE_ONLY)
-            first = runs.of[:-1][np.diff(runs.of) > 0]
-            keys = runs.hash.copy()
-            keys[first] = 0  # first words have no space before them
-            flat, size = self.words.ids(keys, lambda at, runs=runs, keys=keys: self._some_new(runs, keys, at))
-            ends = np.append(0, np.cumsum(size))
-            for i, (a, b) in enumerate(runs):
-                if hard[i]:
-                    yield (np.fromiter(ids, np.int32, len(ids)) for ids in self.parts(some[i].as_py()))
-                elif a < b:
-                    head = self._head(runs.raw[runs.start[a] : runs.end[a]].tobytes().decode("utf-8"))
-                    yield np.array(head, np.int32), flat[ends[a + 1] : ends[b]]
-                else:
-                    yield ()
-
-    def _some_new(self, runs: Runs, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        real = keys[at] != 0
-        flat, size = self._new_words(runs, at[real])
-        sizes = np.zeros(len(at), np.int64)
-        sizes[real] = size
-        return flat, sizes
-
-    def _hard(self, texts: pa.Array, runs: Runs) -> np.ndarray:
-        """Texts that words with a space before them don't make up, or that hold special tokens or long words."""
+    @staticmethod
+    def _hard(runs: Runs, begun: np.ndarray) -> np.ndarray:
+        """Texts that words with a space before them don't make up, or that hold very long words.  A text that goes on
+        (begun) starts with such a space."""
         raw, starts = runs.raw, runs.texts
-        hard = np.zeros(len(texts), bool)
+        hard = np.zeros(len(starts) - 1, bool)
         if not len(raw):
             return hard
         then = np.append(raw[1:], 32)
@@ -286,95 +334,71 @@ class Encoder:
         at = np.flatnonzero((raw == 32) & odd)
         hard[np.searchsorted(starts, at, "right") - 1] = True
         full = np.diff(starts) > 0
-        hard[full] |= raw[starts[:-1][full]] == 32
+        hard[full] |= (raw[starts[:-1][full]] == 32) != begun[full]
         long = runs.start[runs.end - runs.start > MEMO_BYTES]
         hard[np.searchsorted(starts, long, "right") - 1] = True
-        data = raw.tobytes()
-        for s in self.table.special:
-            s, i = s.encode(), data.find(s.encode())
-            while i >= 0:
-                hard[int(np.searchsorted(starts, i, "right")) - 1] = True
-                i = data.find(s, i + 1)
         return hard
 
-    def _head(self, text: str) -> list[int]:
-        return [i for p in PIECE.findall(text) for i in self.table.merge(p.encode())]
-
-    def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """Text between special tokens, and the special token after it."""
-        if any(s in text for s in self.table.special):
-            at = 0
-            for m in re.finditer("|".join(map(re.escape, sorted(self.table.special, key=len, reverse=True))), text):
-                yield text[at : m.start()], self.table.special[m[0]]
-                at = m.end()
-            text = text[at:]
-        yield text, None
-
-    def parts(self, text: str | None) -> Iterator[list[int]]:
-        """Ids of any text in parts, read in windows."""
-        for segment, special in self.segments(text or ""):
-            block = []
-            for i in self.slow(segment[at : at + WINDOW] for at in range(0, len(segment), WINDOW)):
-                block.append(i)
-                if len(block) == 4096:
-                    yield block
-                    block = []
-            if special is not None:
-                block.append(special)
-            if block:
-                yield block
-
-    def slow(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Any text, chunk by chunk, with what is not settled yet kept: a piece at the end of what was read, and
-        the last three characters, which may grow into another piece."""
-        kept, long, run = "", None, None
-        for chunk in chunks:
-            kept += chunk
-            if long is not None:  # inside a piece longer than a window
-                m = run.match(kept)
-                end = m.end() if m else 0
-                keep = 1 if run is RUNS[3] else 0  # white space leaves its last character to what follows
-                if end == len(kept):
-                    yield from long.push(kept[: end - keep].encode("utf-8", "surrogatepass"))
-                    kept = kept[end - keep :]
-                    continue
-                yield from self._leave(long, kept, end, keep)
-                kept, long = kept[max(0, end - keep) if keep else end :], None
-            done = 0
-            for m in PIECE.finditer(kept):
-                if m.end() > len(kept) - 3:
-                    break
-                yield from self.table.merge(m[0].encode("utf-8", "surrogatepass"))
-                done = m.end()
-            kept = kept[done:]
-            if len(kept) >= WINDOW:
-                m = PIECE.match(kept)
-                run = next(r for r in RUNS if r.match(m[0], len(m[0]) - 1))
-                if m.end() == len(kept):
-                    keep = 1 if run is RUNS[3] else 0
-                    long = PieceTransducer(self.table)
-                    yield from long.push(kept[: len(kept) - keep].encode("utf-8", "surrogatepass"))
-                    kept = kept[len(kept) - keep :]
-        if long is not None:
-            m = run.match(kept)
+    def _pieces(self, t: Transducer, kept: str, last: bool) -> Iterator[Iterable[int]]:
+        """Any text: pieces of the pattern, those of more than a chunk by way of a PieceTransducer."""
+        if t.long is not None:
+            m = t.run.match(kept)
             end = m.end() if m else 0
-            if end == len(kept):
-                yield from long.push(kept.encode("utf-8", "surrogatepass"))
-                yield from long.end()
+            keep = 0 if last and end == len(kept) else t.run is RUNS[3]  # white space leaves its last character to what follows
+            upto = max(0, end - keep)
+            yield t.long.push(kept[:upto].encode("utf-8", "surrogatepass"))
+            if end == len(kept) and not last:
+                t.kept = kept[upto:]
                 return
-            keep = 1 if run is RUNS[3] else 0
-            yield from self._leave(long, kept, end, keep)
-            kept = kept[max(0, end - keep) if keep else end :]
+            yield t.long.end()
+            kept, t.long = kept[upto:], None
+        done = 0
         for m in PIECE.finditer(kept):
-            yield from self.table.merge(m[0].encode("utf-8", "surrogatepass"))
+            if m.end() > len(kept) - 3 and not last:
+                break
+            yield self._merge(m[0])
+            done = m.end()
+        kept = kept[done:]
+        if len(kept) >= CHUNK:
+            m = PIECE.match(kept)
+            if m.end() == len(kept):
+                t.run = next(r for r in RUNS if r.match(m[0], len(m[0]) - 1))
+                t.long, upto = PieceTransducer(self.table), len(kept) - (t.run is RUNS[3])
+                yield t.long.push(kept[:upto].encode("utf-8", "surrogatepass"))
+                kept = kept[upto:]
+        t.kept = kept
+
+    def _segments(self, text: str) -> list[tuple[str, int | None]]:
+        """Text between special tokens, and the special token after it."""
+        out, at = [], 0
+        for m in re.finditer("|".join(map(re.escape, sorted(self.table.special, key=len, reverse=True))), text):
+            out.append((text[at : m.start()], self.table.special[m[0]]))
+            at = m.end()
+        return [*out, (text[at:], None)]
 
-    @staticmethod
-    def _leave(long: PieceTransducer, kept: str, end: int, keep: int) -> Iterator[int]:
-        yield from long.push(kept[: max(0, end - keep)].encode("utf-8", "surrogatepass"))
-        yield from long.end()
+    def encode_column(self, texts: pa.Array) -> Iterator[Iterable[np.ndarray]]:
+        """For each text, its ids in parts.  A text longer than a chunk is read when its parts are."""
+        for some in take_runs(texts):
+            rows = [x or "" for x in some.to_pylist()]
+            raw = utf8(some)[0].tobytes()
+            marked = any(s in raw for s in self.special)
+            if marked or max(map(len, rows), default=0) > CHUNK:
+                yield from map(self.parts, rows)
+            else:
+                yield from ((ids,) for ids in self.step([Transducer(self) for _ in rows], rows, True))
+
+    def parts(self, text: str | None) -> Iterator[np.ndarray]:
+        """The ids of one text, chunk by chunk."""
+        text = text or ""
+        for segment, special in self._segments(text) if any(s in text for s in self.table.special) else [(text, None)]:
+            t = Transducer(self)
+            for at in range(0, len(segment), CHUNK):
+                yield self.step([t], [segment[at : at + CHUNK]], at + CHUNK >= len(segment))[0]
+            if special is not None:
+                yield np.array([special], np.int32)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.parts(text)))
+        return [i for part in self.parts(text) for i in part.tolist()]
 
 
 class Decoder:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialise, shared_dir  # noqa: F401  the operators take them from here
+
 #: Words are runs of anything but space and the control characters 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -30,27 +31,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing (tests, a notebook on one machine) a local folder takes its place.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        # a local session only: cluster sessions set the folder
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it: lineage ends there, and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,10 +44,10 @@ def held_out(doc_id: Column) -> Column:
     return fold_of(doc_id) == 0
 
 
-_RNG = np.random.default_rng(20240229)
-#: One random 64-bit value a byte, and powers of an odd multiplier, for hashes of byte runs.
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+#: Bytes of a run from which on a digest takes the place of the weighted sum.
+LONG_RUN = 1 << 14
+
+
 #: Classes of bytes: white space, letters and digits (all of UTF-8's longer sequences count so), the rest.
 SPACE, LETTER, OTHER = 0, 1, 2
 WORD_CLASS = np.full(256, LETTER, np.uint8)
@@ -77,20 +57,19 @@ TOKEN_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 TOKEN_CLASS[[0x20, *range(9, 14)]] = SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLES: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int, base: int = _BASE) -> np.ndarray:
-    """1, b, b^2, ... modulo 2^64, n of them at least."""
-    have = _TABLES.get(base, np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(base, len(have), 2**64))])
-    _TABLES[base] = have
-    return have
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash, for arrays of np.uint64."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    return _powers(n, pow(_BASE, -1, 2**64))
+#: A random odd weight for each place of a run.
+WEIGHT = np.random.default_rng(20240229).integers(0, 2**63, LONG_RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +86,11 @@ class Runs:
 
     start, end: byte positions; hash: np.uint64 of each run's bytes; of: first run of each text (one entry more
     than texts); kind: class of each run.  Works in blocks of about BLOCK bytes, which stay in the CPU's cache.
+
+    The hash is the sum of the bytes, each times a random weight of its own place, modulo 2^64: two different runs,
+    whatever they are, agree with probability 2^-56 at most over the choice of the weights (no power of one base
+    stands behind it, so there are no pairs that collide for every choice).  Runs of LONG_RUN bytes or more have a
+    blake2b digest instead.
     """
 
     BLOCK = 1 << 16
@@ -133,14 +117,19 @@ class Runs:
             np.not_equal(kinds[1:], kinds[:-1], out=cut[1:])
             cut[starts[starts < len(raw)]] = True
         first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(raw))[: len(first)]
+        if not len(first):
+            return first + shift, first + shift, kinds[:0], np.zeros(0, np.uint64)
+        size = np.diff(first, append=len(raw))
+        place = np.arange(len(raw)) - np.repeat(first, size)
+        long = size >= LONG_RUN
+        if long.any():
+            place = np.minimum(place, LONG_RUN - 1)
+        h = np.add.reduceat(WEIGHT.take(place) * (raw.astype(np.uint64) + np.uint64(1)), first)
+        for i in np.flatnonzero(long).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(raw[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
         real = kinds[first] != SPACE
-        first, last = first[real], last[real]
-        power = _powers(len(raw))
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE.take(raw) * power[: len(raw)], out=sums[1:])
-        h = (sums[last] - sums[first]) * _inverse_powers(len(raw))[first]
-        return first + shift, last + shift, kinds[first], mix64(h + (last - first).astype(np.uint64))
+        first, size = first[real], size[real]
+        return first + shift, first + size + shift, kinds[first], mix64(h[real])
 
     def __iter__(self):
         """(first run, last run + 1) of each text."""
@@ -156,53 +145,92 @@ def take_runs(column: pa.Array, size: int = 2_000_000) -> Iterator[pa.Array]:
         at = to
 
 
+def same_bytes(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether stretches of two byte arrays are equal; size: of each, at least 1."""
+    if not len(size):
+        return np.zeros(0, bool)
+    ends = np.cumsum(size)
+    first = ends - size
+    step = np.arange(ends[-1])
+    differ = x.take(np.repeat(x_start - first, size) + step) != y.take(np.repeat(y_start - first, size) + step)
+    return ~np.logical_or.reduceat(differ, first) if differ.any() else np.ones(len(size), bool)
+
+
 class IdTable:
-    """Ids of words by their hash, in sorted arrays: about 20 bytes a word.  Emptied when it holds `most` of them."""
+    """Ids of words, found by their hash in sorted arrays and confirmed on their bytes: about 30 bytes a word.  Emptied
+    when it holds `most` of them."""
 
     def __init__(self, most: int = 1_500_000):
         self.most = most
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # sorted hashes and the entry of each; entries in the order of their coming: where ids and bytes start, how many
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.rows = np.zeros((4, 1 << 12), np.int64)
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
         near = np.minimum(at, max(0, len(self.keys) - 1))
         return at, (self.keys[near] == keys if len(self.keys) else np.zeros(len(keys), bool))
 
-    def ids(self, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words in order, flat, and how many each word has.  make(i) gives the same for new words, i being
-        places in `hashes`."""
+    def _add(self, at: np.ndarray, keys: np.ndarray, flat: np.ndarray, size: np.ndarray, words: np.ndarray, length: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.filled + len(words) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        n = len(self.keys)
+        while n + len(keys) > self.rows.shape[1]:
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)], axis=1)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.bytes[self.filled : self.filled + len(words)] = words
+        self.rows[:, n : n + len(keys)] = self.used + np.cumsum(size) - size, size, self.filled + np.cumsum(length) - length, length
+        self.used, self.filled = self.used + len(flat), self.filled + len(words)
+        place = at + np.arange(len(at))  # as np.insert does, but once for both
+        old = np.ones(n + len(keys), bool)
+        old[place] = False
+        merged, entry = np.empty(n + len(keys), np.uint64), np.empty(n + len(keys), np.int32)
+        merged[old], merged[place] = self.keys, keys
+        entry[old], entry[place] = self.entry, np.arange(n, n + len(keys))
+        self.keys, self.entry = merged, entry
+
+    def ids(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (bytes raw[start:end] with their hashes) in order, flat, and how many each word has.
+
+        make(i) gives the same for new words, i being places in `hashes`.  A word whose bytes are not those that its
+        hash stands for goes to make() by itself.
+        """
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at, hit = self._find(keys)
         if not hit.all():
             if len(self.keys) + len(keys) > self.most:
                 self._empty()
                 at, hit = self._find(keys)
-            flat, size = make(first[~hit])
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            start = self.used + np.cumsum(size) - size
-            self.used += len(flat)
-            new = at[~hit]
-            self.keys, self.start, self.size = np.insert(self.keys, new, keys[~hit]), np.insert(self.start, new, start), np.insert(self.size, new, size)
+            new = first[~hit]
+            flat, size = make(new)
+            length = end[new] - start[new]
+            begun = np.cumsum(length) - length
+            words = raw.take(np.repeat(start[new] - begun, length) + np.arange(length.sum()))
+            self._add(at[~hit], keys[~hit], flat, size, words, length)
             at, hit = self._find(keys)
-        start, size = self.start[at][back], self.size[at][back].astype(np.int64)
+        length = end - start
+        begin, size, word, stored = self.rows[:, self.entry[at]][:, back] if len(keys) else self.rows[:, :0]
+        mine = stored == length
+        if mine.all():
+            mine = same_bytes(raw, start, self.bytes, word, length)
+        else:
+            mine[mine] = same_bytes(raw, start[mine], self.bytes, word[mine], length[mine])
+        odd = np.flatnonzero(~mine)
+        pool = self.pool
+        if len(odd):
+            flat, own = make(odd)
+            begin[odd], size[odd] = len(pool) + np.cumsum(own) - own, own
+            pool = np.concatenate([pool, flat])
         ends = np.cumsum(size)
-        place = np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-        return self.pool[place], size
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash, for arrays of np.uint64."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        place = np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return pool[place], size
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:

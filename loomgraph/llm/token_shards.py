@@ -198,7 +198,7 @@ def _open(uri: str):
 
 class WordEncoder:
     """Texts -> ids, for tokenizers that drop white space and mark the ends of words: the tokenizers library encodes
-    each new word once, and words that come again are looked up by their hash.
+    each new word once, and words that come again are looked up (by a hash, confirmed on their bytes).
 
     A word's ids don't depend on its neighbours, for normalisation works on characters and the pre-tokenizer splits
     at white space.  It also splits between letters and . or , so such words are encoded without the mark.  New
@@ -249,7 +249,7 @@ class WordEncoder:
             ids = self._encode([parts[i] for i in new.tolist()])
             return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
-        flat, size = self.parts.ids(own.hash, make)
+        flat, size = self.parts.ids(own.raw, own.start, own.end, own.hash, make)
         more = np.array([len(self.marks[m]) if m else 0 for m in marks], np.int64)
         if more.any():  # the marks' ids go in behind their parts
             behind = np.repeat(np.cumsum(size), more)
@@ -260,7 +260,7 @@ class WordEncoder:
         """Ids of each text, in order."""
         for some in take_runs(texts):
             runs = Runs(some)
-            flat, size = self.words.ids(runs.hash, lambda at, runs=runs: self._new_words(runs, at))
+            flat, size = self.words.ids(runs.raw, runs.start, runs.end, runs.hash, lambda at, runs=runs: self._new_words(runs, at))
             ends = np.append(0, np.cumsum(size))[runs.of]
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 yield flat[a:b]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, LETTER, TOKEN_CLASS, Runs, held_out, map_rows, mix64, take_runs
+from .common import LETTER, TOKEN_CLASS, WEIGHT, Runs, held_out, map_rows, mix64, take_runs
 from .quality import training_sample
 
 BUCKET_BITS = 18
@@ -54,7 +54,7 @@ class Bags:
         raw, sums = np.append(runs.raw, np.zeros(PREFIXES[-1], np.uint8)), np.zeros(len(self.start), np.uint64)
         for i in range(PREFIXES[-1]):  # a shorter word's own bytes make its longer prefixes too
             inside = self.start + i < self.end
-            sums = sums * np.uint64(0x9FB21C651E98DF25) + np.where(inside, BYTE_VALUE.take(raw[self.start + i]), np.uint64(0))
+            sums += np.where(inside, WEIGHT[i] * (raw[self.start + i].astype(np.uint64) + np.uint64(1)), np.uint64(0))
             if i + 1 in PREFIXES:
                 self.parts[:, 1 + PREFIXES.index(i + 1)] = mix64(sums + np.uint64(i)) >> np.uint64(64 - BUCKET_BITS)
 
