@@ -18,8 +18,8 @@ shards such that equal windows meet:
    suffix automaton with counts of occurrences and streams the passages through it.
 5. What it found goes back to the occurrences and the documents.
 
-Words are compared by 64-bit hashes in anchors and by 32 of these bits in automata, where only passages of equal
-anchors meet.
+Hashes only route: automata compare words themselves, which a shard numbers in the order of their coming, and passages
+are equal by 128-bit digests of their words.  Halved groups of crowded anchors are compared by 128-bit digests of each word.
 
 Edge cases: null, empty and blank texts have no words; documents shorter than a window keep all their words; repeated
 rows repeat each other's windows and lose them; windows are judged on the input; identifiers may be null or repeat;
@@ -29,20 +29,22 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, batches_of, bounded_batches, gram_hashes, map_rows, materialise, take_runs, words
+from .common import Runs, batches_of, bounded_batches, gram_hashes, map_rows, materialise, take_runs
 
 GRAM = 8
 SHARD_WORDS = 20_000
 CROWD = 300
-#: Ends each passage in an automaton: not a hash of 32 bits.
+#: Ends each passage in an automaton: not the number of a word.
 SEPARATOR = -1
+#: Bytes of a word's digest, and words that a task remembers these of.
+DIGEST, DIGESTS = 16, 200_000
 
 
 class SuffixAutomaton:
@@ -139,113 +141,186 @@ def anchors_of(h: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray,
     return place, low
 
 
-def passages_of(place: np.ndarray) -> Iterator[tuple[int, int]]:
+def passages_of(place: list[int] | np.ndarray) -> Iterator[tuple[int, int]]:
     """(first window, last window + 1) of each run of windows with one anchor place."""
     if len(place):
+        place = np.asarray(place)
         cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True)
 
 
+class Words:
+    """The words of each text of a column, and each text's words joined by one space."""
+
+    def __init__(self, column: pa.Array):
+        self.runs = r = Runs(column)
+        apart = np.ones(len(r.start), bool)  # whether something else than one space is before a word
+        apart[1:] = (r.start[1:] != r.end[:-1] + 1) | (r.raw[r.end[:-1]] != 32) if len(r.start) else False
+        apart[r.of[:-1][np.diff(r.of) > 0]] = False
+        self.apart = np.append(0, np.cumsum(apart))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, Callable[[], tuple[bytes, np.ndarray, np.ndarray]]]]:
+        """(word hashes, function that gives (joined words, start and end of each word in them)) of each text."""
+        for a, b in self.runs:
+            yield self.runs.hash[a:b], lambda a=a, b=b: self._joined(a, b)
+
+    def _joined(self, a: int, b: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        start, end = self.runs.start[a:b], self.runs.end[a:b]
+        if a == b:
+            return b"", start, end
+        if self.apart[a] == self.apart[b]:
+            return self.runs.raw[start[0] : end[-1]].tobytes(), start - start[0], end - start[0]
+        size = end - start
+        at = np.cumsum(size + 1) - size - 1
+        return b" ".join([self.runs.raw[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), at, at + size
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, row: a 128-bit name of both; rows that repeat share it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))))
 
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("n", pa.int32())])
+_SCANNED = pa.schema(
+    [("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
+)
+_ANCHORED = pa.schema([*_SCANNED, ("anchors", pa.list_(pa.int64()))])
 _PASSAGES = pa.schema(
-    [("row", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("anchor_at", pa.int32()), ("key", pa.binary()), ("words", pa.binary())]
+    [("row", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("words", pa.binary())]
 )
 _FLAGS = pa.schema([("key", pa.binary()), ("flags", pa.binary())])
+_RESULT = "doc_id long, row binary, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def _anchor_rows(rows: DataFrame, least: int) -> DataFrame:
-    """anchor, row, n: the anchors of each row and how often they occur in it."""
+def _scanned(rows: DataFrame, least: int, texts: bool) -> DataFrame:
+    """The result of each row if nothing is removed, and its anchors, one for each place."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, at = batch.column(0).to_numpy(), 0
+    def per_task():
+        def each(batch):
+            ids, row, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for some in take_runs(batch.column(1)):
-                runs, out = Runs(some), []
-                for i, (a, b) in enumerate(runs):
-                    place, low = anchors_of(runs.hash[a:b], least)
-                    if len(place):
-                        first = np.append(True, place[1:] != place[:-1])
-                        anchor, n = np.unique(low[first], return_counts=True)
-                        out.append((anchor.view(np.int64), np.full(len(anchor), row[at + i]), n.astype(np.int32)))
-                at += len(some)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_ANCHORS)
+                for h, joined in Words(some):
+                    place, low = anchors_of(h, least)
+                    first = np.append(True, place[1:] != place[:-1])[: len(place)]
+                    data = joined()[0]
+                    yield ids[at], row[at], len(h), 0, hashlib.sha256(data).hexdigest(), data.decode("utf-8") if texts else None, low[first].view(np.int64)
+                    at += 1
+
+        return each
 
-    return rows.select("row", "text").mapInArrow(run, "anchor long, row long, n int")
+    return map_rows(rows.select("doc_id", "text", "row"), _RESULT + ", anchors array<long>", _ANCHORED, per_task, 500)
 
 
 def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
-    """row, anchor, at (first word), anchor_at (of the anchor, from there), key (of the words), words (32 bits each), for each passage of a repeated anchor;
-    rows: row, text, anchors (the repeated ones)."""
+    """row, anchor, at (first word), anchor_at (of the anchor, from there), n (words), key (digest of the words), words
+    (joined by a space), for each passage of a repeated anchor; rows: row, text, anchors (the repeated ones)."""
 
     def per_task():
         def each(batch):
             row, wanted, at = batch.column(0).to_pylist(), batch.column(2), 0
             for some in take_runs(batch.column(1)):
-                runs = Runs(some)
-                for i, (a, b) in enumerate(runs):
-                    h = runs.hash[a:b]
+                for h, joined in Words(some):
                     place, low = anchors_of(h, least)
-                    mine = np.isin(low.view(np.int64), np.asarray(wanted[at + i].values))
-                    short = (h >> np.uint64(32)).astype("<u4")
+                    low = low.view(np.int64)
+                    mine = np.isin(low, np.asarray(wanted[at].values))
+                    data, start, end = joined()
+                    start, end, place, anchor, mine = start.tolist(), end.tolist(), place.tolist(), low.tolist(), mine.tolist()
                     for x, y in passages_of(place):
                         if mine[x]:
-                            data = short[x : y + least - 1].tobytes()
-                            yield row[at + i], int(low[x].view(np.int64)), x, int(place[x]) - x, hashlib.blake2b(data, digest_size=12).digest(), data
-                at += len(some)
+                            own = data[start[x] : end[y + least - 2]]
+                            yield row[at], anchor[x], x, place[x] - x, y + least - 1 - x, hashlib.blake2b(own, digest_size=16).digest(), own
+                    at += 1
 
         return each
 
-    return map_rows(rows.select("row", "text", "anchors"), "row long, anchor long, at int, anchor_at int, key binary, words binary", _PASSAGES, per_task, 2000)
+    schema = "row binary, anchor long, at int, anchor_at int, n int, key binary, words binary"
+    return map_rows(rows.select("row", "text", "anchors"), schema, _PASSAGES, per_task, 2000)
+
+
+def judge(held: list[tuple[bytes, bytes, int]], least: int) -> Iterator[tuple[bytes, bytes]]:
+    """(key, flags) of the passages (key, words, times) of some anchors that have a repeated window."""
+    numbers: dict[bytes, int] = {}
+    automaton, sequences = SuffixAutomaton(), []
+    for key, data, times in held:
+        sequence = [numbers.setdefault(w, len(numbers)) for w in data.split(b" ")]
+        automaton.add([*sequence, SEPARATOR], times)
+        sequences.append((key, sequence))
+    automaton.finish()
+    for key, sequence in sequences:
+        flags = np.array(automaton.statistics(sequence)[least - 1 :]) >= least
+        if flags.any():
+            yield key, flags.astype(np.uint8).tobytes()
 
 
 def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
-    """key, flags: which windows of a passage occur twice; passages: key, anchor, anchor_at, words, times.  Passages without a
-    repeated window are left out."""
-    spark = passages.sparkSession
-    crowd = passages.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("anchor")
-    crowd = materialise(crowd, "crowded-anchors")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """key, flags: which windows of a passage occur twice; passages: key, anchor, anchor_at, n, words, times.  Passages
+    without a repeated window are left out.  The only passage of an anchor needs no automaton: all of it is repeated
+    when it occurs twice, and nothing of it otherwise."""
+    groups = passages.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("anchor")
+    crowd = materialise(groups, "crowded-anchors")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, list[int], int]] = []
+        shard: list[tuple[bytes, bytes, int]] = []
+        own: list[tuple[bytes, bytes, int]] = []  # of the anchor that is being read
         size, last, out = 0, None, []
 
-        def judge():
-            automaton = SuffixAutomaton()
-            for _, sequence, times in held:
-                automaton.add([*sequence, SEPARATOR], times)
-            automaton.finish()
-            for key, sequence, _ in held:
-                flags = np.array(automaton.statistics(sequence)[least - 1 :]) >= least
-                if flags.any():
-                    out.append((key, flags.astype(np.uint8).tobytes()))
+        def settle():
+            nonlocal size
+            if len(own) == 1:
+                key, n, times = own[0][0], own[0][1].count(b" ") + 1, own[0][2]
+                if times > 1:
+                    out.append((key, b"\1" * (n - least + 1)))
+            else:
+                shard.extend(own)
+                size += sum(x[1].count(b" ") + 1 for x in own)
+            own.clear()
+            if size >= SHARD_WORDS:
+                out.extend(judge(shard, least))
+                shard.clear()
+                size = 0
 
         for batch in batches:
             for key, anchor, data, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if anchor != last and size >= SHARD_WORDS:
-                    judge()
-                    held, size = [], 0
-                    if len(out) >= 1000:
-                        yield batches_of(out, _FLAGS)
-                        out.clear()
-                sequence = np.frombuffer(data, "<u4").tolist()
-                held.append((key, sequence, times))
-                size, last = size + len(sequence), anchor
-        judge()
+                if anchor != last:
+                    settle()
+                own.append((key, data, times))
+                last = anchor
+                if len(out) >= 1000:
+                    yield batches_of(out, _FLAGS)
+                    out.clear()
+        settle()
+        out.extend(judge(shard, least))
         if out:
             yield batches_of(out, _FLAGS)
 
     calm = passages.join(crowd, "anchor", "left_anti").select("key", "anchor", "words", "times")
-    judged = calm.repartition(n, "anchor").sortWithinPartitions("anchor", "key").mapInArrow(shards, "key binary, flags binary")
-
+    judged = calm.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(shards, "key binary, flags binary")
     crowded = passages.join(crowd, "anchor", "left_semi")
-    return judged.unionByName(_descend(crowded, least))
+    return judged.unionByName(_descend(_digests(crowded), least))
+
+
+def _digests(passages: DataFrame) -> DataFrame:
+    """key, anchor_at, n, times, words: now a digest of DIGEST bytes for each word."""
+    schema = pa.schema([("key", pa.binary()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("times", pa.int64()), ("words", pa.binary())])
+
+    def per_task():
+        known: dict[bytes, bytes] = {}
+
+        def digest(w: bytes) -> bytes:
+            d = known.get(w)
+            if d is None:
+                if len(known) >= DIGESTS:
+                    known.clear()
+                d = known[w] = hashlib.blake2b(w, digest_size=DIGEST).digest()
+            return d
+
+        def each(batch):
+            for key, at, n, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield key, at, n, times, b"".join(map(digest, data.split(b" ")))
+
+        return each
+
+    return map_rows(passages.select("key", "anchor_at", "n", "times", "words"), "key binary, anchor_at int, n int, times long, words binary", schema, per_task, 1000)
 
 
 def _descend(passages: DataFrame, least: int) -> DataFrame:
@@ -256,19 +331,21 @@ def _descend(passages: DataFrame, least: int) -> DataFrame:
     its windows do (one of its kind goes on as a witness for windows that others share with it).  A group whose core (the words that all windows of its place share) occurs once is done too: none
     does.  Only the others, around the ends of what is common, go on.
     """
-    width = 4 * least
-    now = passages.select("key", "words", "times", "anchor_at", F.lit(0).alias("x"), F.expr(f"cast(length(words) / 4 as int) - {least}").alias("y"))
+    width = DIGEST * least
+    passages = materialise(passages, "crowded-passages")
+    now = passages.select("key", "words", "times", "anchor_at", F.lit(0).alias("x"), F.expr(f"n - {least}").alias("y"))
     hits = None
     for w in (16, 4, 1):
         groups = now.select("*", F.explode(F.expr(f"sequence((anchor_at - y) div {w}, (anchor_at - x) div {w})")).alias("g"))
-        groups = groups.select(
-            "key", "words", "times", "anchor_at", F.expr(f"cast(greatest(x, anchor_at - g * {w} - {w - 1}) as int)").alias("x"), F.expr(f"cast(least(y, anchor_at - g * {w}) as int)").alias("y"), "g"
-        )
-        groups = materialise(groups.select(
-            "*", F.expr(f"sha2(substring(words, 4 * x + 1, 4 * (y - x) + {width}), 224)").alias("whole"), F.expr(f"sha2(substring(words, cast(4 * (anchor_at - g * {w}) + 1 as int), {width - 4 * (w - 1)}), 224)").alias("core")
-        ).drop("g"), "window-groups")
-        whole = groups.groupBy("whole").agg(F.sum("times").alias("n")).where("n > 1").select("whole", F.lit(True).alias("done"))
-        core = groups.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core")
+        x = F.expr(f"cast(greatest(x, anchor_at - g * {w} - {w - 1}) as int)").alias("x")
+        y = F.expr(f"cast(least(y, anchor_at - g * {w}) as int)").alias("y")
+        groups = groups.select("key", "words", "times", "anchor_at", x, y, "g")
+        whole = F.expr(f"sha2(substring(words, {DIGEST} * x + 1, {DIGEST} * (y - x) + {width}), 224)").alias("whole")
+        core = F.expr(f"sha2(substring(words, cast({DIGEST} * (anchor_at - g * {w}) + 1 as int), {width - DIGEST * (w - 1)}), 224)").alias("core")
+        groups = materialise(groups.select("*", whole, core).drop("g"), "window-groups")
+        # counts are written before they are joined, so that a join's large side can be split where a key is common
+        whole = materialise(groups.groupBy("whole").agg(F.sum("times").alias("n")).where("n > 1").select("whole", F.lit(True).alias("done")), "whole")
+        core = materialise(groups.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core"), "core")
         judged = groups.join(whole, "whole", "left").join(core, "core", "left_semi")
         judged = materialise(judged.select("key", "words", "times", "anchor_at", "x", "y", "whole", "done"), "judged-groups")
         found = judged.where("done and key is not null").select("key", "x", "y")
@@ -277,15 +354,8 @@ def _descend(passages: DataFrame, least: int) -> DataFrame:
         witness = one.select(F.lit(None).cast("binary").alias("key"), "r.words", F.lit(2).cast("long").alias("times"), "r.anchor_at", "r.x", "r.y")
         now = judged.where("done is null").select("key", "words", "times", "anchor_at", "x", "y").unionByName(witness)
     spans = hits.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
-    bits = F.expr(f"unhex(array_join(transform(sequence(0, cast(length(words) / 4 as int) - {least}), i -> if(exists(spans, s -> i between s.x and s.y), '01', '00')), ''))")
-    return passages.select("key", "words").join(spans, "key").select("key", bits.alias("flags"))
-
-
-_KEPT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-
-
-def _digest(kept: list[str]) -> str:
-    return hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
+    bits = F.expr(f"unhex(array_join(transform(sequence(0, n - {least}), i -> if(exists(spans, s -> i between s.x and s.y), '01', '00')), ''))")
+    return passages.select("key", "n").join(spans, "key").select("key", bits.alias("flags"))
 
 
 def _removed(n: int, found: list[dict], least: int) -> np.ndarray:
@@ -293,41 +363,47 @@ def _removed(n: int, found: list[dict], least: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     for x in found:
         at = x["at"] + np.flatnonzero(np.frombuffer(x["flags"], np.uint8))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + least, n), -1)
+        edge[at] += 1
+        edge[np.minimum(at + least, n)] -= 1
     return np.cumsum(edge)[:n] > 0
 
 
+def _without(data: bytes, start: np.ndarray, end: np.ndarray, gone: np.ndarray) -> bytes:
+    """The words that are not gone, joined by a space."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], gone, [True]])))
+    return b" ".join([data[start[a] : end[b - 1]] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)])
+
+
 def remove_repeats(docs: DataFrame, least: int = 35, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space); with texts=True also `kept`."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = _rows(docs, id_col, text_col)
-    anchors = materialise(_anchor_rows(rows, least), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    scanned = materialise(_scanned(rows, least, texts), "scanned")
+    anchors = scanned.select("row", F.explode("anchors").alias("anchor"))
+    twice = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     wanted = anchors.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     touched = materialise(rows.join(wanted, "row"), "touched")
     occurrences = materialise(_passage_rows(touched, least), "passages")
-    passages = occurrences.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("anchor_at").alias("anchor_at"), F.first("words").alias("words"), F.count("*").alias("times"))
-    flags = repeated_windows(materialise(passages, "distinct-passages"), least)
+    first = [F.first(c).alias(c) for c in ("anchor", "anchor_at", "n", "words")]
+    passages = occurrences.groupBy("key").agg(*first, F.count("*").alias("times"))
+    flags = materialise(repeated_windows(materialise(passages, "distinct-passages"), least), "flags")
     found = occurrences.select("row", "at", "key").join(flags, "key").groupBy("row").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
     hit = touched.select("doc_id", "row", "text").join(found, "row")
-    schema = pa.schema([*_KEPT, ("kept", pa.string())])
 
     def per_task():
         def each(batch):
-            for d, row, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = words(text)
-                gone = _removed(len(w), found or [], least)
-                kept = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
-                yield d, row, len(w), int(gone.sum()), _digest(kept), " ".join(kept) if texts else None
+            ids, row, hits, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), 0
+            for some in take_runs(batch.column(2)):
+                for h, joined in Words(some):
+                    gone = _removed(len(h), hits[at].as_py(), least)
+                    kept = _without(*joined(), gone)
+                    yield ids[at], row[at], len(h), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None
+                    at += 1
 
         return each
 
-    out = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept string"
-    changed = materialise(map_rows(hit.select("doc_id", "row", "text", "found"), out, schema, per_task, 500), "changed")
-    none = F.lit(None).cast("array<struct<at:int,flags:binary>>")
-    all_rows = map_rows(rows.select("doc_id", "row", "text", none.alias("found")), out, schema, per_task, 500)
-    rest = all_rows.join(changed.select("row").distinct(), "row", "left_anti")
+    changed = materialise(map_rows(hit.select("doc_id", "row", "text", "found"), _RESULT, _SCANNED, per_task, 500), "changed")
+    rest = scanned.drop("anchors").join(changed.select("row").distinct(), "row", "left_anti")
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
     return rest.unionByName(changed).select(columns)
