@@ -7,11 +7,14 @@ the vectors of these cells are ranked by exact cosine.
 
 1. Equal vectors become one class with its KEEP least identifiers: no result needs more of them.  They are
    pre-aggregated by salt, so a vector that is very common meets in no task.
-2. Codebooks come from k-means on at most SAMPLE classes (those of least hash); every class is indexed.
+2. Codebooks come from k-means on a bounded sample of classes (those of least hash), and grow with the table: about one
+   cell for CELL classes, from 24 to 512 centroids a half, SAMPLE classes or 32 for each centroid.  Every class is indexed.
 3. The share to visit is measured: PROBES query classes are held against all classes by brute force, and the least
    share that finds TARGET of their neighbours is taken (the data decide: without structure it is large).
-4. Queries and classes meet by cell.  Cells are dealt in slices of at most SLICE classes, so no task holds more;
-   within one, scores are a matrix product, and each query keeps its best few.
+4. Queries and classes meet by bundles: small cells in a row are packed to about SLICE classes, larger ones are dealt to
+   several bundles.  A query goes to each bundle of its cells once, with the cells' numbers; queries of a bundle are
+   dealt to parts of about QUERIES, so no task holds more than a bundle and a part.  Scores are a matrix product, and
+   each query keeps its best few of its cells.
 
 Edge cases: null vectors, zero vectors, vectors with null or non-finite components or of another length than most take
 no part, and null identifiers neither; of rows that repeat an identifier each counts; ties go to the smaller
@@ -29,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, mix64
 
-CENTROIDS = 24
+CENTROIDS, MOST_CENTROIDS, CELL = 24, 512, 1_000
 SAMPLE, PROBES = 8_000, 100
 TARGET = 0.95
-SALTS, SLICE = 16, 2_000
+SALTS, SLICE, QUERIES = 16, 2_000, 4_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -87,6 +90,33 @@ class MultiIndex:
         return out
 
 
+class Bundles:
+    """Where the classes of each cell are: bundles first[c] .. first[c] + parts[c] - 1."""
+
+    def __init__(self, sizes: np.ndarray, most: int):
+        self.parts = np.maximum(1, -(-sizes // most))
+        self.first = np.zeros(len(sizes), np.int64)
+        bundle, held = 0, 0
+        for c, n in enumerate(sizes.tolist()):
+            if held + n > most and held:
+                bundle, held = bundle + 1, 0
+            self.first[c] = bundle
+            held += n
+            if n > most:  # a cell of several bundles has these to itself
+                bundle, held = bundle + int(self.parts[c]), 0
+
+    def of_classes(self, cells: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        return self.first[cells] + (mix64(cls.astype(np.int64).view(np.uint64)) % self.parts[cells].astype(np.uint64)).astype(np.int64)
+
+    def of_query(self, cells: list[int]) -> dict[int, list[int]]:
+        """The cells to look at in each bundle."""
+        out: dict[int, list[int]] = {}
+        for c in cells:
+            for k in range(int(self.parts[c])):
+                out.setdefault(int(self.first[c]) + k, []).append(c)
+        return out
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 2))
@@ -133,14 +163,16 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, id_col: str = "vec_
     keep = n + 1
     classes = materialise(vector_classes(vectors, keep, every, id_col, vector_col), "vector-classes")
     out = T.StructType([T.StructField(k, t) for k, t in (("query_id", T.LongType()), ("rank", T.IntegerType()), ("vec_id", T.LongType()), ("score", T.DoubleType()))])
-    sample = classes.select("vector").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).toArrow()
+    total = classes.count()
+    centroids = int(min(MOST_CENTROIDS, max(CENTROIDS, (total / CELL) ** 0.5)))
+    sample = classes.select("vector").orderBy(F.xxhash64("cls"), "cls").limit(max(SAMPLE, 32 * centroids)).toArrow()
     if not len(sample):
         return spark.createDataFrame([], out)
     x = unit(_matrix(sample["vector"]))
     half = max(1, x.shape[1] // 2)
     rest = x[:, half:] if x.shape[1] > half else np.zeros((len(x), 1))
     x = np.concatenate([x[:, :half], rest], axis=1)
-    index = MultiIndex(kmeans(x[:, :half], CENTROIDS), kmeans(x[:, half:], CENTROIDS, seed=2))
+    index = MultiIndex(kmeans(x[:, :half], centroids), kmeans(x[:, half:], centroids, seed=2))
 
     def padded(column: pa.Array) -> np.ndarray:
         u = unit(_matrix(column))
@@ -153,45 +185,59 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, id_col: str = "vec_
 
     indexed = materialise(classes.mapInArrow(assign, "cls long, vector array<double>, ids array<long>, asks boolean, cell int"), "vector-index")
     sizes = np.zeros(len(index.books[0]) * len(index.books[1]), np.int64)
-    for r in indexed.groupBy("cell").count().collect():  # one row a cell
+    asked = 0
+    for r in indexed.groupBy("cell").agg(F.count("*"), F.count_if("asks")).collect():  # one row a cell
         sizes[r[0]] = r[1]
+        asked += r[2]
     share = tuned_share(indexed, index, sizes, n, target, padded)
-    slices = np.maximum(1, -(-sizes // SLICE))
-    most = share * sizes.sum()
+    bundles, most, parts = Bundles(sizes, SLICE), share * sizes.sum(), max(1, -(-asked // QUERIES))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["q", "vector", "bundle", "part", "cells"]
         for b in batches:
             if not len(b):
                 continue
             d1, d2 = index.distances(padded(b.column(1)))
-            at, cells = [], []
+            part = (mix64(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+            at, bundle, cells = [], [], []
             for i in range(len(b)):
-                for c in index.visited(d1[i], d2[i], sizes, most):
-                    for s in range(int(slices[c])):
-                        at.append(i)
-                        cells.append((c, s))
-            for lo in range(0, len(at), 5000):
-                t = b.take(pa.array(at[lo : lo + 5000]))
-                c, s = zip(*cells[lo : lo + 5000], strict=True)
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(c, pa.int32()), pa.array(s, pa.int32())], ["q", "vector", "cell", "part"])
-
-    asked = indexed.where("asks").select("cls", "vector").mapInArrow(visit, "q long, vector array<double>, cell int, part int")
-    per_cell = F.element_at(F.array(*[F.lit(int(v)) for v in slices]), F.col("cell") + 1)
-    stored = indexed.withColumn("part", F.pmod(F.xxhash64("cls"), per_cell).cast("int"))
+                for k, c in bundles.of_query(index.visited(d1[i], d2[i], sizes, most)).items():
+                    at.append(i)
+                    bundle.append(k)
+                    cells.append(c)
+                if len(at) >= 5000 or i == len(b) - 1:
+                    t = b.take(pa.array(at, pa.int64()))
+                    columns = [t.column(0), t.column(1), pa.array(bundle, pa.int64()), pa.array(part[at].astype(np.int32), pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    at, bundle, cells = [], [], []
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                own = bundles.of_classes(b.column(3).to_numpy(), b.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], [*b.schema.names, "bundle"])
+
+    questions = indexed.where("asks").select("cls", "vector").mapInArrow(visit, "q long, vector array<double>, bundle long, part int, cells array<int>")
+    stored = indexed.select("cls", "vector", "ids", "cell").mapInArrow(place, "cls long, vector array<double>, ids array<long>, cell int, bundle long")
+    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, float]] = []
         if len(left) and len(right):
-            xs, cls, ids = _matrix(right["vector"]), right["cls"].to_numpy(), right["ids"].to_pylist()
+            xs, cls, cell, ids = _matrix(right["vector"]), right["cls"].to_numpy(), right["cell"].to_numpy(), right["ids"].to_pylist()
+            look = np.zeros(len(sizes), bool)
             for lo in range(0, len(left), 256):
                 some = left.slice(lo, 256)
-                for q, s in zip(some["q"].to_pylist(), _cosine(_matrix(some["vector"]), xs), strict=True):
-                    best = [(-float(s[i]), v, q) for i in _top(s, cls, keep) for v in ids[i]]
+                for q, cells, s in zip(some["q"].to_pylist(), some["cells"].to_pylist(), _cosine(_matrix(some["vector"]), xs), strict=True):
+                    look[cells] = True
+                    mine = np.flatnonzero(look[cell])
+                    look[cells] = False
+                    best = [(-float(s[mine[i]]), v, q) for i in _top(s[mine], cls[mine], keep) for v in ids[mine[i]]]
                     rows += [(q, v, -m) for m, v, q in sorted(best)[:keep]]
         q, v, s = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.table({"q": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    met = asked.groupBy("cell", "part").cogroup(stored.select("cell", "part", "cls", "vector", "ids").groupBy("cell", "part"))
+    met = questions.groupBy("bundle", "part").cogroup(stored.groupBy("bundle", "part"))
     found = met.applyInArrow(rank, "q long, vec_id long, score double")
     # the best of a query class, then those of each of its queries without itself
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "score")))
@@ -211,13 +257,6 @@ def tuned_share(indexed: DataFrame, index: MultiIndex, sizes: np.ndarray, n: int
         return 1.0
     q, own = _matrix(probes["vector"]), probes["cls"].to_numpy()
     d1, d2 = index.distances(padded(probes["vector"]))
-    order = [np.zeros(len(sizes)) for _ in own]
-    for i in range(len(own)):  # share visited before each cell is through
-        held = 0
-        for cell in index.walk(d1[i], d2[i]):
-            order[i][cell] = held
-            held += int(sizes[cell])
-
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[tuple[float, int]]] = [[] for _ in own]
         for b in batches:
@@ -234,7 +273,16 @@ def tuned_share(indexed: DataFrame, index: MultiIndex, sizes: np.ndarray, n: int
 
     found = indexed.select("cls", "vector", "cell").mapInArrow(best, "i int, s double, c int")
     top = found.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "c")), asc=False), 1, n).alias("top")).collect()
-    needed = sorted(order[r["i"]][x["c"]] for r in top for x in r["top"])
+    needed = []
+    for r in top:  # how many classes are visited before the cell of each neighbour is through
+        want, held = [x["c"] for x in r["top"]], 0
+        for cell in index.walk(d1[r["i"]], d2[r["i"]]):
+            needed += [held] * want.count(cell)
+            want = [c for c in want if c != cell]
+            held += int(sizes[cell])
+            if not want:
+                break
     if not needed:
         return 1.0
+    needed.sort()
     return min(1.0, (needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)] + 1) / max(1, sizes.sum()))
