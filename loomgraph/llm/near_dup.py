@@ -4,17 +4,22 @@ A document's set is its distinct k-word shingles (with fewer words, the whole se
 Documents are linked when their sets' Jaccard similarity reaches the threshold.
 
 1. Signatures: one pass makes each document's set, a 128-bit key of the set and a signature of HASHES min-hashes.
-   Documents of equal sets become one class, named by its least identifier: copies cost one row each from here on.
+   Documents of equal sets become one class, named by its least identifier: copies cost one row each from here on,
+   and are pre-aggregated, so that a set which very many documents have meets in no task.
 2. Forest: TREES sorted orders of the classes.  Tree t's key is the signature read from hash DEPTH * t on (and around
    its end), so a sorted order is a trie.  Candidates are neighbours by longest common prefix: each class and the
    WINDOW classes before it in the order, as far as DEPTH hashes agree.  In a region of few classes these are all of
    its pairs; in a crowded one they are the pairs with the deepest prefixes, so depth follows the region.  At
-   similarity s a tree holds a pair's prefix with probability s^DEPTH: at 0.8 all 24 trees miss it with 3e-6.
+   similarity s a tree holds a pair's prefix with probability s^DEPTH: at 0.8 all 24 trees miss it with 3e-6.  A window
+   doesn't cross from one range of an order to the next, so a tree can also miss a pair of the WINDOW classes at
+   either side of such a cut; ranges are few against classes.
 3. Links within crowded regions: pairs of the first trees are confirmed first, and joined into components; of the
    other pairs, those inside one component can't change the result and are left out.  What a window can't reach in a
    region of more classes than it holds (members that are still in other components than the region's) is compared
-   with all of the region in blocks, by signatures and then by full sets (each pair in the first tree that it shares).
-4. Confirmation compares the full sets as sorted 64-bit hashes.  Components come from star contraction.
+   with all of the region in blocks, by signatures and then by full sets (each pair in the first tree that it shares);
+   blocks are bounded in members and in bytes of their sets.
+4. Confirmation compares the full sets as sorted 64-bit hashes of shingles (see Runs: different words share a hash with
+   probability 2^-56 at most, whatever they are).  Components come from star contraction.
 
 Edge cases: null identifiers keep a row but are linked with nothing; null, empty and blank texts have empty sets;
 repeated rows of one identifier are one node; ties go to the least identifier; other columns are ignored.
@@ -39,7 +44,8 @@ WINDOW = 8
 FIRST_TREES = 3
 #: Share of equal hashes below which a pair can't reach the threshold: this many standard deviations off.
 DEVIATIONS = 5.0
-BLOCK = 2000
+#: Members of a crowded region that are compared in one task, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1000, 32_000_000
 
 _R = np.random.default_rng(977)
 _XOR = _R.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -149,6 +155,7 @@ def crowded(orders: DataFrame) -> DataFrame:
     """tree, region (tree and first DEPTH hashes), members, cls: classes in regions of more than a window reaches."""
     named = orders.select("tree", F.expr(REGION), "cls")
     counted = named.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > WINDOW + 1)
+    counted = materialise(counted, "regions")  # written, so that the join can split a region of very many members
     return named.join(counted, "region").select("tree", "region", "members", "cls")
 
 
@@ -163,13 +170,16 @@ def strays(member: DataFrame, classes: DataFrame, sets: DataFrame, found: DataFr
     member = materialise(member.select("tree", "region", "members", "cls", F.coalesce("component", "cls").alias("component")), "region-members")
     sizes = member.groupBy("region", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("parts"))
-    mixed = member.join(main.where("parts > 1"), "region").join(classes.select("cls", "signature"), "cls").join(sets, "cls")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mixed = materialise(mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")), "region-mixed")
+    main = materialise(main.where("parts > 1"), "regions")
+    mixed = member.join(main, "region").join(classes.select("cls", "signature"), "cls").join(sets, "cls")
+    mixed = materialise(mixed, "region-mixed")
+    weight = materialise(mixed.groupBy("region").agg(F.sum(F.length("hashes")).alias("bytes")), "regions")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = mixed.join(weight, "region").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["cls", "component", "signature", "hashes", "tree"]
-    left = mixed.where("component <> main").select("region", F.col("block").alias("sblock"), every.alias("block"), *columns)
-    right = mixed.select("region", every.alias("sblock"), "block", *columns)
+    columns = [F.col(c).alias(c) for c in ("region", "cls", "component", "signature", "hashes", "tree")]  # columns of their own for each side
+    left = mixed.where("component <> main").select(*columns, F.col("block").alias("sblock"), every.alias("block"))
+    right = mixed.select(*columns, every.alias("sblock"), F.col("block").alias("block"))
     floor = threshold - DEVIATIONS * (threshold * (1 - threshold) / HASHES) ** 0.5
     share = round(threshold * 100)
 
@@ -218,10 +228,8 @@ def near_duplicates(
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs, k, lower, id_col, text_col), "signatures")
     keyed = signed.where("doc_id is not null and set_key is not null")
-    least = keyed.groupBy("set_key").agg(F.min("doc_id").alias("cls"))
-    classes = materialise(
-        keyed.join(least, "set_key").where("doc_id = cls").select("cls", "set_key", "signature", "sketch").dropDuplicates(["cls", "set_key"]), "classes"
-    )
+    one = keyed.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("c"))
+    classes = materialise(one.select(F.col("c.doc_id").alias("cls"), "set_key", "c.signature", "c.sketch"), "classes")
     orders = forest(classes)
     pairs = neighbours(orders, partitions, threshold).groupBy("a", "b").agg(F.min("tree").alias("tree"))
     pairs = materialise(pairs, "pairs")
@@ -241,13 +249,16 @@ def near_duplicates(
     # an identifier that stands for several sets (repeated rows) ties their classes together
     own = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not own.isEmpty():
-        twice = keyed.join(own, "doc_id").join(least, "set_key").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
+        twice = keyed.join(own, "doc_id").join(classes.select("set_key", "cls"), "set_key").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
         ends = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(ends.unionByName(twice))
-    labelled = signed.join(least, "set_key", "left").join(found.withColumnRenamed("node", "cls"), "cls", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "cls", "doc_id"))
+    # written, so that a set of very many documents can be split; documents without words stay out of the join
+    of_set = classes.select("set_key", "cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("set_key", F.coalesce("component", "cls").alias("of_set"))
+    worded = keyed.select("doc_id", "n_shingles", "set_key").join(materialise(of_set, "components"), "set_key").select("doc_id", "n_shingles", "of_set")
+    others = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("of_set"))
+    component = F.coalesce("of_set", "doc_id")
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return worded.unionByName(others).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
