@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialise, shared_dir  # noqa: F401  the operators take them from here
@@ -44,6 +44,16 @@ def held_out(doc_id: Column) -> Column:
     return fold_of(doc_id) == 0
 
 
+def bounded_sample(rows: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """At most `most` different rows (doc_id, text and others) and `most_bytes` of their texts: those of least hash, but
+    no text of more than a quarter of the bytes.  Only hashes and lengths meet in one task; copies of a row count once."""
+    named = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    least = named.where(size <= most_bytes // 4).groupBy("h").agg(F.max(size).cast("long").alias("bytes")).orderBy("h").limit(most)
+    upto = least.withColumn("upto", F.sum("bytes").over(Window.orderBy("h"))).where(F.col("upto") <= most_bytes)
+    return named.join(F.broadcast(materialise(upto.select("h"), "sample")), "h").dropDuplicates(["h"]).drop("h")
+
+
 #: Bytes of a run from which on a digest takes the place of the weighted sum.
 LONG_RUN = 1 << 14
 

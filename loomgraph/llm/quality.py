@@ -5,8 +5,8 @@
    vectors of its tokens' neighbours, up to REACH places away, over all documents.  Tasks sum in one integer matrix
    and Spark adds these up, so the result doesn't depend on how the rows are dealt.
 2. Pooling.  Mean, deviation and mean absolute step between neighbours of a document's word vectors, and its length.
-3. Network.  One hidden tanh layer and a sigmoid, trained by Adam in numpy on at most SAMPLE labelled documents of the
-   training folds (those of least hash); a fifth of them sets the temperature of the probabilities.
+3. Network.  One hidden tanh layer and a sigmoid, trained by Adam in numpy on at most SAMPLE labelled rows of the training
+   folds and SAMPLE_BYTES of their texts (those of least hash); a fifth of them sets the temperature of the probabilities.
 
 Edge cases: null and empty texts pool to zeros and get a score like any other; without labels of both kinds all
 scores are the share of label 1 (0.5 without labels); contradicting labels of one identifier count as the greater;
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKEN_CLASS, Runs, bounded_batches, held_out, map_rows
+from .common import TOKEN_CLASS, Runs, bounded_batches, bounded_sample, held_out, map_rows
 
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 2, 2
 FEATURES = 3 * DIM + 1
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 256_000_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 25, 128, 0.004, 1e-4
 
 
@@ -148,13 +148,18 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """label, text of at most `most` labelled documents of the training folds: the identifiers of least hash."""
+def training_sample(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, label, text of at most `most` labelled rows of the training folds and `most_bytes` of their texts.
+
+    The identifiers of least hash are chosen first; then their rows are bounded, as an identifier may stand on many."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id").select("doc_id", "label", "text")
+    rows = texts.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
+    return bounded_sample(rows, most, most_bytes).select("doc_id", "label", "text")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> tuple[np.ndarray, Network]:

@@ -3,7 +3,7 @@
 A document is a bag of sentences.  A sentence's logit is a bias and the weights of its words: of each word as a whole
 and of its first 4 to 7 bytes, which stand for a stem with any ending; all fall into BUCKETS by hash.  The document is toxic if one of its sentences is, by noisy-or: p = 1 - prod(1 - p_s).  Weights are
 trained from document labels alone, by Adagrad on the documents' log loss, in numpy, on at most SAMPLE labelled
-documents of the training folds (those of least hash).  Words that fewer than LEAST_DOCS of these have get no weight.
+rows of the training folds and SAMPLE_BYTES of their texts (those of least hash).  Words that fewer than LEAST_DOCS of these have get no weight.
 Afterwards the same sentence scores say where a document offends.
 
 Sentences end at . ! ? and line ends; words are runs of letters and digits in lower case.
@@ -24,7 +24,7 @@ from .quality import training_sample
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-SAMPLE = 8_000
+SAMPLE, SAMPLE_BYTES = 8_000, 32_000_000
 LEAST_DOCS = 4
 BATCH, LEAST_EPOCHS, LEAST_STEPS, RATE, START, SHRINK = 64, 8, 600, 0.3, -6.0, 3e-4
 CALM = 1e-2
@@ -112,7 +112,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 11
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
-    """The sample's words go to the driver as sentence and buckets, 24 bytes each, and no text."""
+    """The sample's words go to the driver as sentence and buckets, 24 bytes each, and no text: 24 bytes for two of
+    SAMPLE_BYTES at most."""
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("words", pa.binary())])
 
     def per_task():
@@ -125,7 +126,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", mos
 
         return each
 
-    rows = map_rows(training_sample(docs, labels, label, most), "doc_id long, label double, words binary", schema, per_task, 200).toArrow()
+    rows = map_rows(training_sample(docs, labels, label, most, SAMPLE_BYTES), "doc_id long, label double, words binary", schema, per_task, 200).toArrow()
     y, ids = rows["label"].to_numpy().astype(np.float64), rows["doc_id"].to_numpy()
     bags = [np.frombuffer(x.as_py(), np.int32).reshape(-1, 1 + PARTS) for x in rows["words"]]
     order = sorted(range(len(bags)), key=lambda i: (ids[i], len(bags[i]), bags[i].tobytes()[:64]))
