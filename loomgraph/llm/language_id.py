@@ -5,9 +5,10 @@ as the input is one-hot, a filter is a table of one weight a place and byte.  Th
 a window, rectified, feeds a softmax over the languages.  A text's scores are its windows' log-probabilities, averaged
 by the bytes they hold.
 
-Training is in numpy: back-propagation through the place of each maximum, on at most SAMPLE documents of the training
-folds (those of least hash), up to WINDOWS windows spread over each.  Widths 2 to 4 are applied by tables of byte
-pairs, in batches of windows.
+Training is in numpy: back-propagation through the place of each maximum, on all windows of at most SAMPLE rows of the
+training folds and SAMPLE_BYTES of their texts.  Each language has an equal share of the rows (all of its rows, if these
+are fewer): those of least hash.  Only hashes and lengths are gathered to choose them, and no text goes through one task.
+Widths 2 to 4 are applied by tables of byte pairs, in batches of windows.
 
 Edge cases: null texts and texts without a letter get `und` and score 0, and so do all texts when no document of the
 training folds has a language; with one language it is predicted for all; ties go to the first language in order;
@@ -16,20 +17,19 @@ repeated rows are predicted each; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, take_runs, utf8
+from .common import held_out, map_rows, materialise, take_runs, utf8
 
 WINDOW, STRIDE = 259, 256
 WIDTHS, FILTERS = (2, 3, 4), 16
-SAMPLE, WINDOWS = 3000, 3
+SAMPLE, SAMPLE_BYTES = 3000, 8_000_000
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Network:
@@ -112,24 +112,31 @@ def windows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, of, np.minimum(size[of] - at, STRIDE).clip(1)
 
 
-def train_language_id(docs: DataFrame, most: int = SAMPLE) -> Network | None:
+def train_language_id(docs: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Network | None:
     """None when no document of the training folds has a language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = materialise(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    languages = sorted(r[0] for r in sizes.select("lang").collect())
     if not languages:
         return None
-    chosen = known.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    quota, size = max(1, most // len(languages)), F.octet_length("text")
+    # about twice the quota of each language, then exactly: copies of a row count once
+    some = known.join(sizes, "lang").where((F.pmod("h", F.lit(1 << 30)) < (1 << 30) * 2.0 * quota / F.col("n")) & (size <= most_bytes // 4))
+    some = some.groupBy("lang", "h").agg(F.max(size).cast("long").alias("bytes"))
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= quota)
+    some = some.withColumn("upto", F.sum("bytes").over(Window.orderBy("rank", "lang"))).where(F.col("upto") <= most_bytes)
+    chosen = known.join(F.broadcast(materialise(some.select("lang", "h"), "sample")), ["lang", "h"]).dropDuplicates(["lang", "h"])
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("windows", pa.binary())])
 
     def per_task():
         def each(batch):
             for d, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, _, _ = windows_of(pa.array([text]))
-                spread = np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int))
-                yield d, lang, x[spread].tobytes()
+                yield d, lang, windows_of(pa.array([text]))[0].tobytes()
 
         return each
 
+    chosen = chosen.select("doc_id", "lang", "text")
     rows = map_rows(chosen, "doc_id long, lang string, windows binary", schema, per_task, 500).toArrow().sort_by([("doc_id", "ascending"), ("windows", "ascending")])
     x = [np.frombuffer(w.as_py(), np.uint8).reshape(-1, WINDOW) for w in rows["windows"]]
     place = {lang: i for i, lang in enumerate(languages)}
