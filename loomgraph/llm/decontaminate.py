@@ -5,8 +5,9 @@ from a passage by k = floor(error_rate * m) edits.  Cut into k + 1 pieces, one p
 passage within the budget holds an exact piece: an Aho-Corasick automaton finds the pieces of all items in one pass
 over a text, and Myers' bit-parallel distance verifies the surroundings of each hit.
 
-Items are few, but their table may grow: they are dealt to blocks of at most BLOCK_CHARS characters, and each block's
-automaton makes a pass over the documents, so no task holds more.
+Items are few, but their table may grow: they are dealt to blocks of about BLOCK_CHARS characters, which are written to
+the shared folder; tasks read them there, so neither the driver nor the plan holds items.  There is one pass over the
+documents: a task holds the automaton of one block at a time, and about DOC_BYTES of texts that it shows to each block.
 
 Edge cases: null, empty and blank items match nothing, null and empty texts hold nothing; items shorter than
 1 / error_rate need an exact hit; of an item's passages in a document the closest, then the first, is reported;
@@ -15,14 +16,18 @@ repeated rows are searched each; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise
+from .common import batches_of, bounded_batches, materialise, shared_dir
 
 ERROR_RATE = 0.05
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, DOC_BYTES = 4_000_000, 64_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -127,9 +132,6 @@ class Matcher:
         return found
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -137,36 +139,57 @@ def contamination(
     block_chars: int = BLOCK_CHARS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    id_type: str = "long",
 ) -> DataFrame:
-    """doc_id, item_id, distance, start_pos, end_pos: the closest passage of each item in each document."""
+    """doc_id (or id_col), item_id, distance, start_pos, end_pos: the closest passage of each item in each document."""
+    bounded_batches(docs.sparkSession)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = None
-    for block in range(blocks):
-        some = [tuple(r) for r in dealt.where(F.col("block") == block).select("item_id", "text").orderBy("item_id", "text").collect()]
-
-        def per_task(some=some):
-            matcher = Matcher(some, error_rate)
-
-            def each(batch):
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for hit in matcher.search(t):
-                        yield d, *hit
-
-            return each
-
-        hits = map_rows(rows, "doc_id long, item_id long, distance long, start_pos long, end_pos long", _HITS, per_task)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    folder = shared_dir(docs.sparkSession, "items")
+    schema = pa.schema([(id_col, pa.int64() if id_type == "long" else pa.string()), *((c, pa.int64()) for c in ("item_id", "distance", "start_pos", "end_pos"))])
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+
+    def matcher_of(block: int) -> Matcher:
+        fs, path = pafs.FileSystem.from_uri(folder)
+        path = f"{path}/block={block}"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return Matcher([], error_rate)
+        found = pads.dataset(path, filesystem=fs, format="parquet").to_table(columns=["item_id", "text"]).to_pydict()
+        return Matcher(sorted(zip(found["item_id"], found["text"], strict=True), key=str), error_rate)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, matcher, mine = [], 0, None, -1
+
+        def hits():
+            nonlocal matcher, mine
+            for block in range(blocks):
+                if block != mine:
+                    matcher, mine = None, block  # the one before goes first
+                    matcher = matcher_of(block)
+                rows = [(d, *hit) for b in held for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in matcher.search(t)]
+                if rows:
+                    yield batches_of(rows, schema)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if blocks == 1 or size >= DOC_BYTES:
+                yield from hits()
+                held, size = [], 0
+        if held:
+            yield from hits()
+
+    rows = docs.select(F.col(id_col).cast(id_type).alias(id_col), F.col(text_col).alias("text"))
+    return rows.mapInArrow(search, f"{id_col} {id_type}, item_id long, distance long, start_pos long, end_pos long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
-    """The documents that hold no item; null identifiers are judged by their own text.
+    """The documents that hold no item, with all their columns: a text is judged, whatever its identifier.
 
-    Hits are few against the documents, so they are written once and taken away by an anti join.
+    Hits are few against the documents, so digests of their texts are written once and taken away by an anti join.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hits = materialise(contamination(keyed, items, error_rate, id_col="_row").select(F.col("doc_id").alias("_row")).distinct(), "hits")
-    return keyed.join(hits, "_row", "left_anti").drop("_row")
+    name = F.md5(F.col("text").cast("binary"))
+    found = contamination(docs.select(name.alias("name"), "text"), items, error_rate, id_col="name", id_type="string")
+    hits = materialise(found.select(F.col("name").alias("_name")).distinct(), "hits")
+    return docs.join(hits, name == F.col("_name"), "left_anti")
