@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_framework_convention, last_segment, normalize_import_source, normalized_paths, resolve_path_alias
 from ..functions.scalars import cycle_is_runtime_harmless, finding_identity, is_entry_point_name, matches_globs
+from ..shared import materialise
+from ..sources.readers import read_non_ts_files, read_test_files
+from .extract import scan_imports
 from .graph import find_cycles, reachable, scc
 from .rollup import merge_import_maps
 
@@ -157,7 +160,7 @@ def unused_exports(
 ) -> DataFrame:
     """Value exports that no import takes.  A barrel passes the names taken from it on to the files behind it, one level
     (or, with transitive, as far as they go); other_uses (scan_id, source, name) come from tests and other files."""
-    used = used_names(imports, items, aliases)
+    used = materialise(used_names(imports, items, aliases), "used-names")
     named, stars = reexport_map(exports, aliases), star_reexports(exports, aliases)
 
     def credit(uses: DataFrame) -> DataFrame:
@@ -167,7 +170,8 @@ def unused_exports(
         return by_name.unionByName(by_star).distinct()
 
     more = credit(used)
-    used = merge_import_maps(used, more, *([other_uses] if other_uses is not None else []))
+    # read twice below, and it holds the resolution of all imports
+    used = materialise(merge_import_maps(used, more, *([other_uses] if other_uses is not None else [])), "used-names")
     while transitive:
         more = credit(more).join(used, ["scan_id", "source", "name"], "left_anti")
         if more.isEmpty():
@@ -207,17 +211,24 @@ def unused_files(files: DataFrame, edges: DataFrame, config: DetectionConfig = D
     return findings(left, "orphaned_code", F.lit("info"), F.concat(F.lit("Unused file: "), "file_path"), F.array("file_id"), "graph", config.file_confidence)
 
 
+def other_uses(tree: DataFrame, aliases: DataFrame, tests: bool = False) -> DataFrame:
+    """scan_id, source, name: what components and documents (and, when asked for, test files) of a source tree import."""
+    uses = scan_imports(read_non_ts_files(tree), aliases)
+    return uses.unionByName(scan_imports(read_test_files(tree), aliases)).distinct() if tests else uses
+
+
 def detect_warnings(
-    files: DataFrame, functions: DataFrame, exports: DataFrame, imports: DataFrame, items: DataFrame, aliases: DataFrame, connections: DataFrame, config: DetectionConfig = DetectionConfig()
+    files: DataFrame, functions: DataFrame, exports: DataFrame, imports: DataFrame, items: DataFrame, aliases: DataFrame, connections: DataFrame,
+    config: DetectionConfig = DetectionConfig(), other_uses: DataFrame | None = None,
 ) -> DataFrame:
-    """All detectors that the configuration asks for."""
+    """All detectors that the configuration asks for; other_uses: names that files outside the graph take."""
     parts = []
     if "circular" in config.detect:
         parts += [file_cycles(connections, files), function_cycles(connections, functions)]
     if "orphaned" in config.detect:
         parts.append(orphaned_functions(functions, connections, files))
     if "unused_exports" in config.detect:
-        parts.append(unused_exports(exports, imports, items, aliases))
+        parts.append(unused_exports(exports, imports, items, aliases, other_uses))
     if "large_files" in config.detect:
         parts.append(large_files(files, config))
     return union_findings(*parts) if parts else large_files(files.limit(0), config)
@@ -269,7 +280,7 @@ def map_unused_report(parsed: DataFrame, config: DetectionConfig = DetectionConf
 
 
 def map_cycle_report(parsed: DataFrame, config: DetectionConfig = DetectionConfig(), files: DataFrame | None = None) -> DataFrame:
-    """Findings of cycle reports, one for each set of members."""
+    """Findings of cycle reports, one for each set of members: the one that stands first in its report, then the least."""
     v = parsed.where("cycles is not null").select("scan_id", F.posexplode("cycles.summary.violations").alias("ord", "v"))
     v = v.where((F.col("v.rule.name") == "no-circular") | (F.col("v.type") == "cycle"))
     hops = F.transform("v.cycle", lambda h: h["name"])
@@ -277,7 +288,7 @@ def map_cycle_report(parsed: DataFrame, config: DetectionConfig = DetectionConfi
     members = F.filter(members, lambda m: m.isNotNull() & (m != ""))
     rows = v.select("scan_id", "ord", members.alias("members"), cycle_is_runtime_harmless(F.col("v.cycle"), F.col("v.dependencyTypes")).alias("harmless"))
     rows = rows.where(F.size("members") > 0).withColumn("key", F.array_join(F.array_sort("members"), "|"))
-    first = rows.groupBy("scan_id", "key").agg(F.min_by(F.struct("members", "harmless"), "ord").alias("r")).select("scan_id", "key", "r.members", "r.harmless")
+    first = rows.groupBy("scan_id", "key").agg(F.min_by(F.struct("members", "harmless"), F.struct("ord", "members")).alias("r")).select("scan_id", "key", "r.members", "r.harmless")
     hop = _resolved(first.select("scan_id", "key", F.posexplode("members").alias("pos", "path")), files)
     nodes = hop.groupBy("scan_id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda s: s["node"]).alias("nodes"))
     out = first.join(nodes, ["scan_id", "key"])

@@ -185,7 +185,7 @@ def extract_references(code: Column, exclude: Column | None = None) -> Column:
     """Distinct identifiers of a piece of code that no dot precedes: no keywords, declared names or excluded ones.
     Strings and comments are taken out first."""
     bare = F.regexp_replace(code, r"//[^\n]*|/\*(?s:.*?)\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", " ")
-    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![.\w$])([A-Za-z_$][\w$]*)(?!\s*:[^:?])"), F.lit(1)))
+    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![.\w$])([A-Za-z_$][\w$]*+)(?!\s*:[^:?])"), F.lit(1)))
     declared = F.regexp_extract_all(bare, F.lit(r"\b(?:const|let|var|function|class)\s+([A-Za-z_$][\w$]*)"), F.lit(1))
     out = F.array_except(F.array_except(names, declared), F.array(*map(F.lit, _KEYWORDS)))
     return F.array_except(out, exclude) if exclude is not None else out
@@ -275,6 +275,7 @@ def file_rows(files: DataFrame, functions: DataFrame, classes: DataFrame) -> Dat
     return out.select(*base.columns, F.coalesce("function_ids", none).alias("functions"), F.coalesce("class_ids", none).alias("classes"))
 
 
-def parse_file(files: DataFrame, path: str) -> DataFrame:
-    one = files.where(F.col("file_path") == path)
-    return file_rows(one, extract_functions(one), extract_classes(one)[0])
+def parse_file(files: DataFrame, path: str | None = None) -> DataFrame:
+    """The row of one file with its functions and classes, or those of all files."""
+    some = files if path is None else files.where(F.col("file_path") == path)
+    return file_rows(some, extract_functions(some), extract_classes(some)[0])

@@ -67,6 +67,28 @@ from (values ('@/*', 0, './Brand#11/*'), ('@/*', 1, 'other/*'), ('lib1*', 2, 've
 select 'corpus' as scan_id, concat('file:', cast(doc_id as string)) as file_id, concat(source, '/', cast(doc_id as string), '.ts') as file_path,
        concat('f', cast(doc_id as string)) as name, doc_id as k, text as content
 from {documents}""",
+    # the html of pages as lines: a break behind each tag
+    "b_markup": """
+select 'pages' as scan_id, concat('file:', cast(page_id as string)) as file_id, concat('pages/', cast(page_id as string), '.ts') as file_path,
+       page_id as k, replace(html, '>', concat('>', chr(10))) as content
+from {pages}""",
+    # names, numbers and flags that each document's own words and length give
+    "b_words": f"""
+select scan_id, file_id, file_path, k, {", ".join(f"concat('w', regexp_extract(split_part(content, ' ', {i + 2}), '[a-z]+', 0), '_{c}') as {c}" for i, c in enumerate("abcdefhmopqrstuvw"))},
+       cast(length(content) % 4 as int) as n1, cast(length(content) % 3 as int) as n2, cast(length(content) % 5 as int) as n3,
+       length(content) % 2 = 0 as exported, k % 3 = 0 as is_async, k % 4 = 1 as derived, k % 5 <> 2 as typed
+from {{b_code}}""",
+    # a program of them: what stands before each declaration and inside of it varies, and so do all lines
+    "b_program": """
+select *, concat('import « ', h, ' » from ''./', m, ''';', chr(10), repeat(concat('// ', c, chr(10)), n1),
+ case when exported then 'export ' else '' end, case when is_async then 'async ' else '' end, 'function ', a, '(', p, ': string, ', q, case when typed then ': number' else '' end, ') «', chr(10),
+ repeat(concat('  if (', p, ') «', chr(10)), n2), '  return ', h, '(', q, ', ', o, ');', chr(10), repeat(concat('  »', chr(10)), n2), '»', chr(10),
+ 'const ', b, ' = (', r, ': string) => «', chr(10), '  return ', r, ' + ', u, ';', chr(10), '»;', chr(10),
+ 'export class ', d, case when derived then concat(' extends ', w) else '' end, ' implements ', e, ', ', f, ' «', chr(10), '  private readonly ', s, ': number = 0;', chr(10),
+ repeat(concat('  static async ', t, '(id) «', chr(10), '    return id;', chr(10), '  »', chr(10)), n3), '»', chr(10),
+ 'export type ', v, ' = string;', chr(10), 'export « ', b, ', ', a, ' as ', w, ' » from ''./', m, '/x'';', chr(10), case when n1 > 1 then concat('export * from ''./all'';', chr(10)) else '' end,
+ 'export default ', a, ';', chr(10), 'register(', b, ');', chr(10)) as content
+from {b_words}""".replace("«", "', chr(123), '").replace("»", "', chr(125), '"),  # braces name views in this module
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detect as D
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators import history as H
 from . import views as V
 from .registry import Registry, Tables
 from .scalar_queries import LANE, behavioral
@@ -22,6 +23,34 @@ REACH = """with recursive r(a, b) as (select src, dst from {b_import_edges} unio
  s as (select *, count(*) over (partition by component) as size from c) """
 
 
+def cycles_sql(tag: str, edges: str) -> str:
+    """Tables that say which cycles edges (src, dst) have: <tag>_cycles(component, cycle), a shortest one through the least
+    node of each cyclic component, and of these the least; to be put behind WITH RECURSIVE."""
+    return f"""{tag}_r(a, b) as (select src, dst from {edges} union select r.a, e.dst from {tag}_r r join {edges} e on e.src = r.b),
+ {tag}_m as (select x.a as node, min(least(x.a, x.b)) as component from {tag}_r x join {tag}_r y on y.a = x.b and y.b = x.a group by 1),
+ {tag}_i as (select distinct x.component, e.src, e.dst from {edges} e join {tag}_m x on x.node = e.src join {tag}_m y on y.node = e.dst and y.component = x.component),
+ {tag}_w(component, node, path, closed) as (select distinct component, component, [component], false from {tag}_m union all
+  select component, node, list_append(p, node), bool_or(node = component) over (partition by component) from
+   (select w.component, i.dst as node, min(w.path) as p from {tag}_w w join {tag}_i i on i.component = w.component and i.src = w.node where not w.closed group by 1, 2) g),
+ {tag}_cycles as (select component, path[:-2] as cycle from {tag}_w where node = component and len(path) > 1)"""
+
+
+def titled_sql(tag: str, kind: str, names: str, node: str, confidence: str) -> str:
+    """Findings of cycles; names: a table with the names of nodes."""
+    return f"""select 'circular_dependency' as category, 'warning' as level, 'Circular {kind}: ' || string_agg(coalesce(n.name, h.node), ' → ' order by h.pos) || ' → ' || arg_min(coalesce(n.name, h.node), h.pos) as title,
+ array_to_string(h.cycle, ',') as nodes, {confidence}::double as confidence
+ from (select component, cycle, unnest(cycle) as node, generate_subscripts(cycle, 1) as pos from {tag}_cycles) h left join {names} n on n.{node} = h.node group by h.component, h.cycle"""
+
+
+IMPORT_CYCLES = cycles_sql("f", "{b_import_edges}")
+CALL_CYCLES = cycles_sql("c", "(select source_id as src, target_id as dst from {b_calls})")
+FILE_FINDINGS = titled_sql("f", "dependency", "{b_files}", "file_id", "0.7")
+CALL_FINDINGS = titled_sql("c", "call", "{b_functions}", "function_id", "0.6")
+TYPED_FINDINGS = """select 'circular_dependency' as category, case when harmless then 'info' else 'warning' end as level, title, nodes, case when harmless then 0.6::double else 0.85::double end as confidence from
+ (select 'Circular dependency: ' || string_agg(string_split(h.node, '/')[-1], ' → ' order by h.pos) || ' → ' || string_split(h.cycle[1], '/')[-1] as title, array_to_string(h.cycle, ',') as nodes, bool_or(e.is_type_only) as harmless
+  from (select cycle, unnest(cycle) as node, generate_subscripts(cycle, 1) as pos from f_cycles) h join {b_import_edges} e on e.src = h.node and e.dst = h.cycle[h.pos % len(h.cycle) + 1] group by h.cycle)"""
+
+
 def edges(t: Tables):
     return t.b_import_edges.select("scan_id", "src", "dst", "weight", "is_type_only")
 
@@ -62,10 +91,10 @@ def _(t: Tables):
     return n.unionByName(links.select(F.concat_ws(" > ", "src", "dst").alias("id"), F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("circular").alias("flag")))
 
 
-@_r.add("neighbourhood", """with n as (select file_id as node from {b_files} where k % 10 = 1), b as (select src as node, dst as neighbour from {b_import_edges} union select dst, src from {b_import_edges})
+@_r.add("neighbourhood", """with n as (select file_id as node from {b_files}), b as (select src as node, dst as neighbour from {b_import_edges} union select dst, src from {b_import_edges})
  select b.node, b.neighbour from b join n on n.node = b.node union select node, node from n""")
 def _(t: Tables):
-    return G.neighbourhood(edges(t), t.b_files.where("k % 10 = 1").select("scan_id", F.col("file_id").alias("node"))).select("node", "neighbour")
+    return G.neighbourhood(edges(t), t.b_files.select("scan_id", F.col("file_id").alias("node"))).select("node", "neighbour")
 
 
 @_r.add("most_connected", """with d as (select node, count(*) as degree from (select src as node from {b_import_edges} union all select dst from {b_import_edges}) group by 1)
@@ -74,7 +103,7 @@ def _(t: Tables):
     return G.most_connected(edges(t), 25).select("node", "degree", "rank")
 
 
-@_r.add("find_cycles")
+@_r.add("find_cycles", f"with recursive {IMPORT_CYCLES} select component, array_to_string(cycle, ' > ') as cycle from f_cycles")
 def _(t: Tables):
     return G.find_cycles(edges(t), components(t)).select("component", F.array_join("cycle", " > ").alias("cycle"))
 
@@ -91,17 +120,17 @@ def _shown(df):
     return df.select("category", "level", "title", F.array_join("affected_nodes", ",").alias("nodes"), "confidence")
 
 
-@_r.add("file_cycles")
+@_r.add("file_cycles", f"with recursive {IMPORT_CYCLES} {FILE_FINDINGS}")
 def _(t: Tables):
     return _shown(D.file_cycles(connections(t, "import"), t.b_files))
 
 
-@_r.add("function_cycles")
+@_r.add("function_cycles", f"with recursive {CALL_CYCLES} {CALL_FINDINGS}")
 def _(t: Tables):
     return _shown(D.function_cycles(calls(t), t.b_functions))
 
 
-@_r.add("import_cycles_typed")
+@_r.add("import_cycles_typed", f"with recursive {IMPORT_CYCLES} {TYPED_FINDINGS}")
 def _(t: Tables):
     return _shown(D.import_cycles_typed(edges(t)))
 
@@ -221,7 +250,8 @@ def reports(t: Tables):
     hop = lambda c: F.struct(path(F.col(c)).alias("name"), kinds.alias("dependencyTypes"))
     rule = F.struct(F.lit("no-circular").alias("name"), F.lit("warn").alias("severity"))
     v = F.struct(F.lit("cycle").alias("type"), path(F.col("src")).alias("from"), path(F.col("dst")).alias("to"), rule.alias("rule"), F.array(hop("src"), hop("dst")).alias("cycle"))
-    one = t.b_import_edges.groupBy("scan_id").agg(F.array_sort(F.collect_list(v)).alias("violations"))
+    # a report of cycles for each file with imports
+    one = t.b_import_edges.groupBy("scan_id", "src").agg(F.array_sort(F.collect_list(v)).alias("violations"))
     cycles = one.select("scan_id", F.lit("cycles").alias("kind"), F.to_json(F.struct(F.struct("violations").alias("summary"))).alias("content"))
     broken = f.where("k % 10 = 0").select("scan_id", F.lit("unused").alias("kind"), F.lit('{"issues": 3}').alias("content"))
     return unused.unionByName(cycles).unionByName(broken)
@@ -237,8 +267,8 @@ def _(t: Tables):
     return out.select(F.array_join("affected_nodes", ",").alias("nodes"), "title", "confidence")
 
 
-CYCLE_REPORT = """with e as (select src, dst, is_type_only, least(src, dst) || '|' || greatest(src, dst) as key from {b_import_edges}),
- f as (select key, arg_min(src, src) as src, arg_min(dst, src) as dst, arg_min(is_type_only, src) as harmless from e group by key)
+CYCLE_REPORT = """with e as (select src, dst, is_type_only, least(src, dst) || '|' || greatest(src, dst) as key, row_number() over (partition by src order by dst) as o from {b_import_edges}),
+ f as (select key, arg_min(src, (o, src)) as src, arg_min(dst, (o, src)) as dst, arg_min(is_type_only, (o, src)) as harmless from e group by key)
  select src || ',' || dst as nodes, case when harmless then 'info' else 'warning' end as level, case when harmless then 0.6::double else 0.85::double end as confidence from f"""
 
 
@@ -248,12 +278,25 @@ def _(t: Tables):
     return out.select(F.array_join("affected_nodes", ",").alias("nodes"), "level", "confidence")
 
 
-@_r.add("read_engine_reports", "select 'unused' as kind, (select count(*) from {b_files}) as parsed, (select count(*) from {b_files} where k % 10 = 0) as errors union all select 'cycles', 1, 0")
+@_r.add("read_engine_reports", "select 'unused' as kind, (select count(*) from {b_files}) as parsed, (select count(*) from {b_files} where k % 10 = 0) as errors union all select 'cycles', (select count(distinct src) from {b_import_edges}), 0")
 def _(t: Tables):
     return D.read_engine_reports(reports(t)).groupBy("kind").agg(F.count_if(F.col("error").isNull()).alias("parsed"), F.count("error").alias("errors"))
 
 
-@_r.add("external_detection")
+@_r.add("external_detection", f"""with recursive {IMPORT_CYCLES},
+ o_r(node) as (select file_id from {{b_files}} where k % 40 = 0 union select e.dst from o_r r join {{b_import_edges}} e on e.src = r.node),
+ o_k as (select src, dst, is_type_only, least(src, dst) || '|' || greatest(src, dst) as key, row_number() over (partition by src order by dst) as o from {{b_import_edges}}),
+ o_f as (select key, arg_min(src, (o, src)) as src, arg_min(dst, (o, src)) as dst, arg_min(is_type_only, (o, src)) as harmless from o_k group by key)
+ select 'orphaned_code' as category, 'info' as level, 'Unused file: ' || case when k % 40 = 0 then 'bin/' || name else file_path end as title, 'graph' as source, file_id as nodes from {{b_files}} where file_id not in (select node from o_r)
+ union all select category, level, title, 'graph', nodes from ({TYPED_FINDINGS})
+ union all select case when k % 3 = 0 then 'orphaned_code' else 'unused_export' end, 'info', title, 'report', nodes from (select u.*, f.k from ({UNUSED_REPORT}) u join {{b_files}} f on f.file_id = u.nodes where f.k % 40 <> 0)
+ union all select case when k % 3 = 0 then 'orphaned_code' else 'unused_export' end, 'info', case k % 3 when 0 then 'Unused file: ' || file_path when 1 then 'Unused export: e' || k else 'Unused type export: T' || k end, 'report', file_path
+  from {{b_files}} where k % 40 = 0
+ union all select 'circular_dependency', case when harmless then 'info' else 'warning' end,
+  'Circular dependency: ' || string_split(src, '/')[-1] || ' → ' || string_split(dst, '/')[-1] || ' → ' || string_split(src, '/')[-1], 'report',
+  (case when s.k % 40 = 0 then s.file_path else src end) || ',' || (case when d.k % 40 = 0 then d.file_path else dst end)
+  from o_f join {{b_files}} s on s.file_id = src join {{b_files}} d on d.file_id = dst
+ union all select 'error', 'error', 'unexpected report: unused', 'unused', '' from {{b_files}} where k % 10 = 0""")
 def _(t: Tables):
     good, bad = D.external_detection(reports(t), entry_named(t), edges(t))
     rows = good.select("category", "level", "title", "source", F.array_join("affected_nodes", ",").alias("nodes"))
@@ -301,24 +344,43 @@ def _(t: Tables):
     return n.unionByName(calls.select(F.concat_ws(" > ", "source_id", "target_id").alias("id"), F.lit("call").alias("kind"), F.col("weight").alias("position")))
 
 
-@_r.add("build_graph", f"""select 'folders' as view, (select count(*) from ({ROLLUP})) as nodes, 0::bigint as edges union all select 'data-flow', (select count(*) from {{b_functions}}),
+@_r.add("build_graph", f"""select 'folders' as view, (select count(*) from ({ROLLUP})) as nodes, 0::bigint as edges
+ union all select 'folder', (select count(*) from {{b_files}} where file_id in {_IN}), (select count(*) from {{b_import_edges}} where src in {_IN} and dst in {_IN})
+ union all select 'dependencies', (select count(*) from (select src from {{b_import_edges}} union select dst from {{b_import_edges}})), (select count(*) from {{b_import_edges}})
+ union all select 'data-flow', (select count(*) from {{b_functions}}),
  (select count(*) from {{b_calls}} c where c.source_id in (select function_id from {{b_functions}}) and c.target_id in (select function_id from {{b_functions}}))""")
 def _(t: Tables):
     scan = {"files": t.b_files, "functions": behavioral(t), "affected": t.b_finding_nodes, "edges": edges(t), "calls": t.b_calls}
-    out = None
-    for name in ("folders", "data-flow"):
-        n, e = V.build_graph(name, scan)
-        row = n.agg(F.count("*").alias("nodes")).select(F.lit(name).alias("view"), "nodes").join(e.agg(F.count("*").alias("edges")), F.lit(True))
+    folder, out = V.folders_of(t.b_files).agg(F.min("folder")).first()[0], None
+    for name in V.VIEWS:
+        n, e = V.build_graph(name, scan, folder if name == "folder" else None)
+        rows = n.select(F.lit(1).alias("node"), F.lit(0).alias("edge")).unionByName(e.select(F.lit(0).alias("node"), F.lit(1).alias("edge")))
+        row = rows.agg(F.coalesce(F.sum("node"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("edge"), F.lit(0)).alias("edges")).select(F.lit(name).alias("view"), "nodes", "edges")
         out = row if out is None else out.unionByName(row)
     return out
 
 
-@_r.add("detect_warnings")
+def component_files(t: Tables):
+    """For each first import statement a component beside its file, which takes another name from the same place."""
+    i = t.b_imports.where("stmt_ord = 1")
+    text = F.concat(F.lit("<script>\nimport { s"), F.col("n_items") + 40, F.lit(" } from '"), "source", F.lit("';\n</script>"))
+    return i.select("scan_id", F.regexp_replace("file_path", r"\.ts$", ".svelte").alias("file_path"), text.alias("content"))
+
+
+@_r.add("detect_warnings", f"""with recursive {IMPORT_CYCLES}, {CALL_CYCLES}, u as ({USED}), n as ({NAMED}), st as ({STARS}),
+ x as (select source, name from u union select n.target, n.original from u join n on n.barrel = u.source and n.exported = u.name union select st.target, u.name from u join st on st.barrel = u.source where u.name <> '*'
+  union select distinct {_TARGET}, 's' || (n_items + 40) from {{b_imports}} where stmt_ord = 1)
+ {FILE_FINDINGS} union all {CALL_FINDINGS}
+ union all select 'orphaned_code', 'info', 'Potentially unused: ' || name, function_id, 0.3::double from {{b_functions}} where not is_exported and function_id not in (select target_id from {{b_calls}})
+ union all select 'unused_export', 'info', 'Unused export: ' || f.name, f.parent_file_id, 0.4::double from {{b_functions}} f
+  where not exists (select 1 from x where x.source = regexp_replace(f.file_path, '\\.ts$', '') and x.name in ('*', f.name))
+ union all select 'large_file', case when end_line > 1000 then 'warning' else 'info' end, 'Large file: ' || name, file_id, 0.95::double from {{b_files}} where end_line > 500""")
 def _(t: Tables):
     conn = connections(t, "import").unionByName(calls(t))
     files = t.b_files.withColumn("top_level_references", F.array().cast("array<string>"))
     functions = t.b_functions.withColumn("parent_class_id", F.lit(None).cast("string"))
-    return _shown(D.detect_warnings(files, functions, exports(t), *imports(t), t.b_aliases, conn))
+    uses = D.other_uses(component_files(t), t.b_aliases)
+    return _shown(D.detect_warnings(files, functions, exports(t), *imports(t), t.b_aliases, conn, other_uses=uses))
 
 
 @_r.add("count_findings_by_source", "select source, category, count(*) as findings from {b_findings} group by 1, 2")
@@ -326,60 +388,75 @@ def _(t: Tables):
     return findings(t).groupBy("source", "category").agg(F.count("*").alias("findings"))
 
 
-# extraction from documents with code put before them
+# extraction from programs of the documents' words
 
-CODE = """concat('import { helper } from ''./helper'';', chr(10), 'export async function load', cast(k as string), '(a: string, b) {', chr(10), '  if (a) {', chr(10), '    return helper(b, other);', chr(10), '  }', chr(10), '}', chr(10),
- 'const arrow = (x) => {', chr(10), '  return x + outer;', chr(10), '};', chr(10), 'export class Store', cast(k as string), ' extends Base implements One, Two {', chr(10), '  private readonly size: number = 0;', chr(10),
- '  static async get(id) {', chr(10), '    return id;', chr(10), '  }', chr(10), '}', chr(10), 'export type T = string;', chr(10), 'export { a, b as c } from ''./other'';', chr(10), 'export * from ''./all'';', chr(10),
- 'export default load', cast(k as string), ';', chr(10), 'register(arrow);', chr(10), '/* ', content, ' */')"""
+_LINES = """(select *, 2 + n1 as la, 4 + n1 + 2 * n2 as ea, 5 + n1 + 2 * n2 as lb, 7 + n1 + 2 * n2 as eb, 8 + n1 + 2 * n2 as ld, 10 + n1 + 2 * n2 + 3 * n3 as ed from {b_program})"""
 
 
 def code(t: Tables):
-    return t.b_code.select("scan_id", "file_path", "k", F.expr(CODE).alias("content"))
+    return t.b_program.select("scan_id", "file_path", "k", "content")
 
 
 def _k(df):
     return df.withColumn("k", F.regexp_extract("file_path", r"(\d+)\.ts$", 1).cast("long"))
 
 
-@_r.add("extract_functions", """select k, 'load' || k as name, 2 as line, 6 as end_line, true as is_exported, true as is_async, 'helper,other' as refs, 'a,b' as params from {b_code}
- union all select k, 'arrow', 7, 9, false, false, 'outer', 'x' from {b_code}""")
+@_r.add("extract_functions", f"""select k, a as name, la as line, ea as end_line, exported as is_exported, is_async, least(h, o) || ',' || greatest(h, o) as refs, p || ',' || q as params from {_LINES}
+ union all select k, b, lb, eb, false, false, u, r from {_LINES}""")
 def _(t: Tables):
     f = X.extract_functions(code(t))
     names = F.array_join(F.transform("params", lambda p: p["name"]), ",")
     return _k(f).select("k", "name", "line", "end_line", "is_exported", "is_async", F.array_join(F.array_sort("references"), ",").alias("refs"), names.alias("params"))
 
 
-@_r.add("extract_references", "select k, 'helper,other' as refs from {b_code}")
+@_r.add("missing_types", "select k, a as name from {b_program} where not typed")
+def _(t: Tables):
+    return _k(H.missing_types(X.extract_functions(code(t)))).select("k", "name")
+
+
+@_r.add("extract_references", "select k, a as name, least(h, o) || ',' || greatest(h, o) as refs from {b_program} union all select k, b, u from {b_program}")
 def _(t: Tables):
-    f = X.extract_functions(code(t)).where("is_exported")
+    f = X.extract_functions(code(t))
     own = F.concat(F.array("name"), F.transform("params", lambda p: p["name"]))
-    return _k(f).select("k", F.array_join(F.array_sort(X.extract_references(F.col("source"), own)), ",").alias("refs"))
+    return _k(f).select("k", "name", F.array_join(F.array_sort(X.extract_references(F.col("source"), own)), ",").alias("refs"))
 
 
-@_r.add("extract_classes", """select k, 'Store' || k as name, 10 as line, 15 as end_line, true as is_exported, 'Base' as extends, 'One,Two' as implements, 1 as n_methods, 'size' as properties from {b_code}""")
+@_r.add("extract_classes", f"""select k, d as name, ld as line, ed as end_line, true as is_exported, case when derived then w end as extends, e || ',' || f as implements, n3 as n_methods, s as properties from {_LINES}""")
 def _(t: Tables):
     c, _m = X.extract_classes(code(t))
     return _k(c).select("k", "name", "line", "end_line", "is_exported", "extends", F.array_join("implements", ",").alias("implements"), F.size("methods").alias("n_methods"),
                         F.array_join(F.transform("properties", lambda p: p["name"]), ",").alias("properties"))
 
 
-@_r.add("extract_exports", """select k, 'load' || k as name, 'function' as kind, false as is_default, false as is_type_only from {b_code} union all select k, 'Store' || k, 'class', false, false from {b_code}
- union all select k, 'T', 'type', false, true from {b_code} union all select k, 'a', 'reexport', false, false from {b_code} union all select k, 'b', 'reexport', false, false from {b_code}
- union all select k, '*', 'reexport', false, false from {b_code} union all select k, 'load' || k, 'variable', true, false from {b_code}""")
+@_r.add("extract_exports", """select k, a as name, 'function' as kind, false as is_default, false as is_type_only from {b_program} where exported union all select k, d, 'class', false, false from {b_program}
+ union all select k, v, 'type', false, true from {b_program} union all select k, b, 'reexport', false, false from {b_program} union all select k, a, 'reexport', false, false from {b_program}
+ union all select k, '*', 'reexport', false, false from {b_program} where n1 > 1 union all select k, a, 'variable', true, false from {b_program}""")
 def _(t: Tables):
     return _k(X.extract_exports(code(t))).select("k", "name", "kind", "is_default", "is_type_only")
 
 
-@_r.add("extract_top_level_references", "select k, 'arrow,load' || k || ',register' as names from {b_code}")
+@_r.add("extract_top_level_references", "select k, 'register,' || least(a, b) || ',' || greatest(a, b) as names from {b_program}")
 def _(t: Tables):
     files = code(t)
     refs = X.extract_top_level_references(files, X.extract_functions(files), X.extract_classes(files)[0])
     return _k(refs).select("k", F.array_join(F.array_sort("names"), ",").alias("names"))
 
 
-@_r.add("parse_file", "select file_path, 2 as functions, 1 as classes from {b_code} where k = (select min(k) from {b_code})")
+@_r.add("parse_file", "select file_path, 2 as functions, 1 as classes, len(string_split(content, chr(10)))::int as end_line from {b_program}")
 def _(t: Tables):
-    files = code(t)
-    first = files.orderBy("k").select("file_path").first()[0]
-    return X.parse_file(files, first).select("file_path", F.size("functions").alias("functions"), F.size("classes").alias("classes"))
+    return X.parse_file(code(t)).select("file_path", F.size("functions").alias("functions"), F.size("classes").alias("classes"), "end_line")
+
+
+_OPEN = """(select k, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from {b_markup})"""
+DEPTH = f"select k, line::int as line, sum(len(text) - len(replace(text, '{{{{', '')) - len(text) + len(replace(text, '}}}}', ''))) over (partition by k order by line)::bigint as depth from {_OPEN}"
+
+
+@_r.add("brace_depth", DEPTH.replace("'{{'", "chr(123)").replace("'}}'", "chr(125)"))
+def _(t: Tables):
+    return _k(X.lines_with_depth(t.b_markup)).select("k", "line", "depth")
+
+
+@_r.add("deep_nesting", "select scan_id, file_id, depth from (select scan_id, file_id, greatest(1 + n2, case when n3 > 0 then 2 else 1 end)::bigint as depth from {b_program}) where depth > 1")
+def _(t: Tables):
+    lines = X.lines_with_depth(code(t)).join(t.b_program.select("file_path", "file_id"), "file_path")
+    return H.deep_nesting(lines, 1)

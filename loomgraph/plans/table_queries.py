@@ -38,15 +38,15 @@ def dismissed(t: Tables):
 
 
 def classes(t: Tables):
-    return t.b_functions.where("fn_ord % 10 = 3").select(
+    return t.b_functions.select(
         "scan_id", F.concat("parent_file_id", F.lit(":class:C"), "fn_ord").alias("class_id"), F.concat(F.lit("C"), "fn_ord").alias("name"), "file_path", "parent_file_id",
-        F.col("fn_ord").alias("cls_ord"), F.array("function_id").alias("methods"), "is_exported", F.when(F.col("fn_ord") % 20 == 3, F.concat(F.lit("C"), F.col("fn_ord") + 10)).alias("extends"),
+        F.col("fn_ord").alias("cls_ord"), F.array("function_id").alias("methods"), "is_exported", F.when(F.col("fn_ord") % 20 == 3, F.concat(F.lit("C"), F.col("fn_ord") + 1)).alias("extends"),
         F.array().cast("array<string>").alias("implements"),
     )
 
 
 CLASSES = """select file_path, parent_file_id, parent_file_id || ':class:C' || fn_ord as class_id, 'C' || fn_ord as name, fn_ord as cls_ord, is_exported,
- case when fn_ord % 20 = 3 then 'C' || (fn_ord + 10) end as extends from {b_functions} where fn_ord % 10 = 3"""
+ case when fn_ord % 20 = 3 then 'C' || (fn_ord + 1) end as extends from {b_functions}"""
 
 
 # filters
@@ -210,19 +210,19 @@ def _(t: Tables):
     return A.file_class_cards(lists, c).select("file_id", "pos", "class_id", "name", "extends", "n_methods")
 
 
-_SOME = "(select file_id as node_id from {b_files} where k % 10 = 1)"
+_NODES = "(select file_id as node_id from {b_files})"
 
 
-@_r.add("connections_for_node", f"""select n.node_id, e.src as source_id, e.dst as target_id from {{b_import_edges}} e join {_SOME} n on n.node_id = e.src
- union all select n.node_id, e.src, e.dst from {{b_import_edges}} e join {_SOME} n on n.node_id = e.dst where e.src <> e.dst""")
+@_r.add("connections_for_node", f"""select n.node_id, e.src as source_id, e.dst as target_id from {{b_import_edges}} e join {_NODES} n on n.node_id = e.src
+ union all select n.node_id, e.src, e.dst from {{b_import_edges}} e join {_NODES} n on n.node_id = e.dst where e.src <> e.dst""")
 def _(t: Tables):
     c = t.b_import_edges.select("scan_id", F.col("src").alias("source_id"), F.col("dst").alias("target_id"))
-    return A.connections_for_nodes(c, t.b_files.where("k % 10 = 1").select("scan_id", F.col("file_id").alias("node_id"))).select("node_id", "source_id", "target_id")
+    return A.connections_for_nodes(c, t.b_files.select("scan_id", F.col("file_id").alias("node_id"))).select("node_id", "source_id", "target_id")
 
 
-@_r.add("warnings_for_node", f"select w.node_id, w.id from {{b_finding_nodes}} w join {_SOME} n on n.node_id = w.node_id")
+@_r.add("warnings_for_node", f"select w.node_id, w.id from {{b_finding_nodes}} w join {_NODES} n on n.node_id = w.node_id")
 def _(t: Tables):
-    return A.warnings_for_nodes(t.b_finding_nodes, t.b_files.where("k % 10 = 1").select("scan_id", F.col("file_id").alias("node_id"))).select("node_id", "id")
+    return A.warnings_for_nodes(t.b_finding_nodes, t.b_files.select("scan_id", F.col("file_id").alias("node_id"))).select("node_id", "id")
 
 
 @_r.add("node_by_id", "select file_id as node_id, file_path from {b_files} where file_id = (select min(file_id) from {b_files})")
@@ -236,10 +236,10 @@ def _(t: Tables):
     return A.folder_warning_nodes(t.b_finding_nodes, t.b_files, "Brand#1/ECONOMY").select("node_id")
 
 
-@_r.add("explode_nodes", "select function_id as node_id, 'function' as type, name, is_exported from {b_functions} where fn_ord % 10 = 1")
+@_r.add("explode_nodes", "select function_id as node_id, 'function' as type, name, is_exported from {b_functions}")
 def _(t: Tables):
     node = F.struct(F.col("function_id").alias("id"), F.lit("function").alias("type"), "name", F.col("file_path").alias("filePath"), F.col("is_exported").alias("isExported"))
-    doc = t.b_functions.where("fn_ord % 10 = 1").groupBy("parent_file_id").agg(F.map_from_entries(F.collect_list(F.struct("function_id", node))).alias("nodes"))
+    doc = t.b_functions.groupBy("parent_file_id").agg(F.map_from_entries(F.collect_list(F.struct("function_id", node))).alias("nodes"))
     empty = F.array().cast("array<string>")
     text = F.to_json(F.struct(
         F.col("parent_file_id").alias("id"), F.lit("p").alias("projectPath"), F.lit("p").alias("projectName"), F.lit("completed").alias("status"), F.lit("2024-01-01T00:00:00Z").alias("createdAt"),
@@ -293,8 +293,11 @@ def _numbered(t: Tables):
     return t.b_imports.withColumn("ord0", F.col("stmt_ord")).withColumn("stmt_ord", n)
 
 
-@_r.add("import_connections", f"""with r as ({RESOLVED}), n as (select file_id, target_file_id, n_items, row_number() over (partition by file_id order by stmt_ord, source) as o from r where not is_type_only)
- select file_id as source_id, target_file_id as target_id, cast(greatest(arg_min(n_items, o), 1) as bigint) as weight from n where file_id <> target_file_id group by 1, 2""")
+IMPORTED = f"""with r as ({RESOLVED}), n as (select file_id, target_file_id, n_items, row_number() over (partition by file_id order by stmt_ord, source) as o from r where not is_type_only)
+ select file_id as source_id, target_file_id as target_id, cast(greatest(arg_min(n_items, o), 1) as bigint) as weight from n where file_id <> target_file_id group by 1, 2"""
+
+
+@_r.add("import_connections", IMPORTED)
 def _(t: Tables):
     return J.import_connections(_numbered(t), t.b_aliases, file_index(t)).select("source_id", "target_id", "weight")
 
@@ -373,10 +376,11 @@ def _(t: Tables):
 
 
 @_r.add("build_connections", f"""select 'function_call' as type, count(*) as edges, sum(weight)::bigint as weight from ({CALLS})
- union all select 'inheritance', count(*), sum(weight)::bigint from ({INHERITS})""")
+ union all select 'inheritance', count(*), sum(weight)::bigint from ({INHERITS})
+ union all select 'import', count(*), sum(weight)::bigint from ({IMPORTED})""")
 def _(t: Tables):
     full = J.build_connections(t.b_files.withColumn("file_ord", F.col("k")), _numbered(t), items(t), exports(t), callers(t), classes(t), t.b_aliases)
-    return full.where("type <> 'import'").groupBy("type").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
+    return full.groupBy("type").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
 # sources over a listing
@@ -430,19 +434,19 @@ def _(t: Tables):
     return R.scan_errors(source, source.where(~F.col("file_path").contains("7")))
 
 
-_PATHS = 'concat(\'{ // paths\n "compilerOptions": { "paths": { "@/*": ["./src/*", "gen/*"], "~\', cast(k % 3 as string), \'": ["x\', cast(k as string), \'"] } } }\')'
+_PATHS = 'concat(\'{ // paths\n "compilerOptions": { "paths": { "@/*": ["./src/*", "gen/*"], "~\', cast(k % 30 as string), \'": ["x\', cast(k as string), \'"] } } }\')'
 
 
-@_r.add("read_path_aliases", """with c as (select k % 20 as s, k, case when k < 20 then '' else 'pkg' || k || '/' end as folder, 'pkg' || k || '/tsconfig.json' as p from {b_code} where k < 60),
- r as (select s, case when k < 20 then 'tsconfig.json' when k < 40 then 'zpkg/tsconfig.json' else 'zz/tsconfig.json' end as f, case when k < 20 then '' when k < 40 then 'zpkg/' else 'zz/' end as dir, k from c),
- e as (select s, f, 0 as pos, '@/*' as alias, 0 as o, dir || 'src/*' as target from r union all select s, f, 0, '@/*', 1, dir || 'gen/*' from r union all select s, f, 1, '~' || (k % 3), 0, dir || 'x' || k from r),
- m as (select s, alias, min(f || '#' || pos) as first from e group by 1, 2)
- select 'r' || e.s as scan_id, e.alias, row_number() over (partition by e.s order by m.first, e.f desc, e.o) - 1 as alias_ord, e.target from e join m on m.s = e.s and m.alias = e.alias""")
+@_r.add("read_path_aliases", """with c as (select scan_id, k, case k % 3 when 0 then '' when 1 then 'pkg' || k || '/' else 'zz/pkg' || k || '/' end as dir from (select source as scan_id, doc_id as k from {documents})),
+ r as (select scan_id, k, dir, dir || case when k % 3 = 0 then 'tsconfig.' || k || '.json' else 'tsconfig.json' end as f from c),
+ e as (select scan_id, f, k, 0 as pos, '@/*' as alias, 0 as o, dir || 'src/*' as target from r union all select scan_id, f, k, 0, '@/*', 1, dir || 'gen/*' from r union all select scan_id, f, k, 1, '~' || (k % 30), 0, dir || 'x' || k from r),
+ m as (select scan_id, alias, min((f, pos)) as first from e group by 1, 2)
+ select e.scan_id, e.alias, row_number() over (partition by e.scan_id order by m.first, e.f desc, e.o) - 1 as alias_ord, e.target from e join m on m.scan_id = e.scan_id and m.alias = e.alias""")
 def _(t: Tables):
     k = F.col("k")
-    path = F.when(k < 20, "tsconfig.json").when(k < 40, "zpkg/tsconfig.json").otherwise("zz/tsconfig.json")
-    configs = t.b_code.where("k < 60").select(F.concat(F.lit("r"), k % 20).alias("scan_id"), path.alias("file_path"), F.expr(_PATHS).alias("content"))
-    return R.read_path_aliases(configs).withColumn("alias_ord", F.col("alias_ord").cast("long"))
+    name = F.when(k % 3 == 0, F.concat(F.lit("tsconfig."), k, F.lit(".json"))).when(k % 3 == 1, F.concat(F.lit("pkg"), k, F.lit("/tsconfig.json"))).otherwise(F.concat(F.lit("zz/pkg"), k, F.lit("/tsconfig.json")))
+    rows = t.documents.select(F.col("source").alias("scan_id"), F.col("doc_id").alias("k"))
+    return R.read_path_aliases(rows.select("scan_id", name.alias("file_path"), F.expr(_PATHS).alias("content"))).withColumn("alias_ord", F.col("alias_ord").cast("long"))
 
 
 # enrichment
@@ -559,25 +563,6 @@ def _(t: Tables):
     return H.duplicate_code(functions_with_code(t))
 
 
-@_r.add("missing_types", "select function_id from {b_functions} where fn_ord % 3 = 0")
-def _(t: Tables):
-    p = F.array(F.struct(F.lit("a").alias("name"), F.lit("string").alias("type")), F.struct(F.lit("b").alias("name"), F.when(F.col("fn_ord") % 3 != 0, F.lit("number")).alias("type")))
-    return H.missing_types(t.b_functions.withColumn("params", p)).select("function_id")
-
-
-@_r.add("deep_nesting", """select 'corpus' as scan_id, file_id, 5::bigint as depth from {b_code} where k % 3 = 2""")
-def _(t: Tables):
-    body = F.element_at(F.array(F.lit("{ {\n} }"), F.lit("{\n{ {\n{\n}}\n}\n}"), F.lit("a {{\n{ {\n{\n}}}\n}}")), (F.col("k") % 3 + 1).cast("int"))
-    lines = X.lines_with_depth(t.b_code.withColumn("content", F.concat(body, F.lit("\n"), "content")))
-    return H.deep_nesting(lines.withColumn("file_id", X.file_id(F.col("file_path"))).join(t.b_code.select("file_path", F.col("file_id").alias("fid")), "file_path").withColumn("file_id", F.col("fid")), 4)
-
-
-@_r.add("brace_depth", """select k, 1 as line, 2::bigint as depth from {b_code} union all select k, 2, 0::bigint from {b_code}""")
-def _(t: Tables):
-    lines = X.lines_with_depth(t.b_code.withColumn("content", F.lit("f() { if (x) {\n} }")))
-    return lines.select(F.regexp_extract("file_path", r"(\d+)\.ts$", 1).cast("long").alias("k"), "line", "depth")
-
-
 @_r.add("filter_chips", "select function_id from {b_functions} where has_behavioral and (database_read or http_call)")
 def _(t: Tables):
     return H.filter_chips(behavioral(t), "databaseRead", "httpCall").select("function_id")
