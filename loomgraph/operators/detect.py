@@ -13,7 +13,7 @@ from ..functions.scalars import cycle_is_runtime_harmless, finding_identity, is_
 from ..shared import materialise
 from ..sources.readers import read_non_ts_files, read_test_files
 from .extract import scan_imports
-from .graph import find_cycles, reachable, scc
+from .graph import find_cycles, participating, reachable, scc
 from .rollup import merge_import_maps
 
 LARGE_FILE_LINES = 500
@@ -84,8 +84,8 @@ def _cycle_findings(cycles: DataFrame, names: DataFrame, kind: str, confidence:
 
 
 def _cycles(edges: DataFrame) -> DataFrame:
-    nodes = edges.select("scan_id", F.col("src").alias("node")).unionByName(edges.select("scan_id", F.col("dst").alias("node")))
-    return find_cycles(edges, scc(nodes, edges)).select("scan_id", "cycle")
+    edges = materialise(edges.select("scan_id", "src", "dst"), "edges")
+    return find_cycles(edges, materialise(scc(participating(edges), edges), "components")).select("scan_id", "cycle")
 
 
 def _edges_of(connections: DataFrame, kind: str) -> DataFrame:

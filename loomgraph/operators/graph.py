@@ -24,8 +24,11 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """scan_id, node: seeds (scan_id, node) and all that edges (scan_id, src, dst) lead to; `hops` joins between checks."""
-    edges = _cut(edges.select(KEY, "src", "dst").distinct())
-    found = _cut(seeds.select(KEY, "node").distinct())
+    return _spread(_cut(seeds.select(KEY, "node").distinct()), _cut(edges.select(KEY, "src", "dst").distinct()), hops)
+
+
+def _spread(found: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """reachable() over written tables without repeated rows."""
     frontier = found
     while not frontier.isEmpty():
         step, new = frontier, None
@@ -33,10 +36,31 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
             step = step.withColumnRenamed("node", "src").join(edges, [KEY, "src"]).select(KEY, F.col("dst").alias("node")).distinct()
             new = step if new is None else new.unionByName(step)
         frontier = _cut(new.distinct().join(found, [KEY, "node"], "left_anti"))
-        found = _cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)  # each part is a written table
     return found
 
 
+def _turned(edges: DataFrame) -> DataFrame:
+    return edges.select(KEY, F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def _pivot_components(edges: DataFrame, hops: int) -> DataFrame:
+    """scan_id, node, component: for each scan the component of the node with most edges both in and out, which in a
+    graph with one large component is that one: what the node reaches and what reaches it."""
+    out, into = (edges.groupBy(KEY, F.col(c).alias("node")).agg(F.count("*").alias(n)) for c, n in (("src", "o"), ("dst", "i")))
+    both = out.join(into, [KEY, "node"]).groupBy(KEY).agg(F.min(F.struct(-F.least("o", "i"), "node")).alias("p"))
+    pivot = _cut(both.select(KEY, "p.node"))
+    met = _cut(_spread(pivot, edges, hops).join(_spread(pivot, _turned(edges), hops), [KEY, "node"], "left_semi"))
+    return met.join(met.groupBy(KEY).agg(F.min("node").alias("component")), KEY)
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges with neither end among the nodes that are gone (scan_id, node)."""
+    for end in ("src", "dst"):
+        edges = edges.join(gone.select(KEY, F.col("node").alias(end)), [KEY, end], "left_anti")
+    return edges.select(KEY, "src", "dst")
+
+
 def _spread_min(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Least label that reaches each node along edges, to the fixpoint; labels: scan_id, node, label."""
     while True:
@@ -81,20 +105,21 @@ def _closure_components(edges: DataFrame) -> DataFrame:
 def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> DataFrame:
     """scan_id, node, component (least node of the strongly connected component), size, in_cycle.
 
-    nodes: scan_id, node; edges: scan_id, src, dst (those with an unknown end are dropped).  Nodes without edges in or
-    out are trimmed; a small rest is closed by squaring; else a round colours every node with the least node that reaches it, and walks back from each colour's root;
-    what the walk meets is the root's component.  All scans go through the rounds together.
+    nodes: scan_id, node; edges: scan_id, src, dst (those with an unknown end are dropped).  The component of a node with
+    very many edges goes first, by what it reaches and what reaches it.  From the rest, nodes without edges in or out are
+    trimmed; a small rest is closed by squaring; else a round colours every node with the least node that reaches it, and
+    walks back from each colour's root; what the walk meets is the root's component.  All scans go through the rounds
+    together.
     """
-    spark = nodes.sparkSession
     nodes = nodes.select(KEY, "node").distinct()
     known = edges.select(KEY, "src", "dst").distinct()
     for end in ("src", "dst"):
         known = known.join(nodes.withColumnRenamed("node", end), [KEY, end], "left_semi")
     known = _cut(known)
-    loops = known.where("src = dst").select(KEY, F.col("src").alias("node")).distinct()
-    rest = _cut(known.where("src <> dst").select(KEY, "src", "dst"))
-    done = _empty(spark, f"{KEY} string, node string, component string")
-    rest = _trimmed(rest, trims)
+    loops = known.where("src = dst").select(KEY, F.col("src").alias("node"))
+    rest = known.where("src <> dst")
+    done = _cut(_pivot_components(rest, hops))
+    rest = _trimmed(_without(rest, done), trims)
     while not rest.isEmpty():
         ends = participating(rest)
         if ends.count() <= SMALL_CORE:
@@ -103,14 +128,10 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> Da
         colour = _spread_min(_cut(ends.withColumn("label", F.col("node"))), rest, hops)
         inside = rest.join(colour.select(KEY, F.col("node").alias("src"), F.col("label").alias("a")), [KEY, "src"])
         inside = inside.join(colour.select(KEY, F.col("node").alias("dst"), F.col("label").alias("b")), [KEY, "dst"]).where("a = b")
-        back = inside.select(KEY, F.col("dst").alias("src"), F.col("src").alias("dst"))
-        roots = colour.where("node = label").select(KEY, "node")
-        met = reachable(roots, back, hops)
+        met = reachable(colour.where("node = label").select(KEY, "node"), _turned(inside), hops)
         part = _cut(met.join(colour, [KEY, "node"]).select(KEY, "node", F.col("label").alias("component")))
         done = done.unionByName(part)
-        gone = part.select(KEY, "node")
-        rest = rest.join(gone.withColumnRenamed("node", "src"), [KEY, "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), [KEY, "dst"], "left_anti")
-        rest = _trimmed(rest.select(KEY, "src", "dst"), trims)
+        rest = _trimmed(_without(rest, part), trims)
     named = nodes.join(done, [KEY, "node"], "left").withColumn("component", F.coalesce("component", "node"))
     sizes = named.groupBy(KEY, "component").agg(F.count("*").alias("size"))
     looped = loops.withColumn("loop", F.lit(True))
@@ -126,8 +147,9 @@ def circular_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
     return out.withColumn("circular", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
 
 
-def find_cycles(edges: DataFrame, components: DataFrame, most_hops: int = 10_000) -> DataFrame:
-    """scan_id, component, cycle: for each cyclic component, a shortest cycle through its least node, from that node.
+def find_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """scan_id, component, cycle: for each cyclic component, a shortest cycle through its least node, from that node (one
+    of a component; circular_edges marks all edges that lie on some cycle).
 
     Breadth-first search from the roots, one array a reached node (the least path of its length); a component leaves the
     frontier when it is closed.
@@ -138,9 +160,7 @@ def find_cycles(edges: DataFrame, components: DataFrame, most_hops: int = 10_000
     inside = _cut(inside.join(cyclic.select(KEY, F.col("node").alias("dst"), F.col("component").alias("c2")), [KEY, "dst"]).where("component = c2").select(KEY, "component", "src", "dst"))
     seen = _cut(cyclic.where("node = component").select(KEY, "component", "node", F.array("node").alias("path")))
     frontier, closed = seen, _empty(edges.sparkSession, f"{KEY} string, component string, cycle array<string>")
-    for _ in range(most_hops):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         f = frontier.withColumnRenamed("node", "src")
         step = _cut(f.join(inside, [KEY, "component", "src"]).select(KEY, "component", F.col("dst").alias("node"), "path"))
         ends = step.where("node = component").groupBy(KEY, "component").agg(F.min("path").alias("cycle"))

@@ -8,6 +8,7 @@ from ..operators import detect as D
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import history as H
+from ..shared import materialise
 from . import views as V
 from .registry import Registry, Tables
 from .scalar_queries import LANE, behavioral
@@ -55,9 +56,10 @@ def edges(t: Tables):
     return t.b_import_edges.select("scan_id", "src", "dst", "weight", "is_type_only")
 
 
-def components(t: Tables):
-    e = edges(t)
-    return G.scc(G.participating(e), e)
+def graph(t: Tables):
+    """(edges, components), each written once."""
+    e = materialise(edges(t), "edges")
+    return e, materialise(G.scc(G.participating(e), e), "components")
 
 
 @_r.add("participating_files", "select src as node from {b_import_edges} union select dst from {b_import_edges}")
@@ -67,19 +69,19 @@ def _(t: Tables):
 
 @_r.add("scc", REACH + "select node, component, size, in_cycle from s")
 def _(t: Tables):
-    return components(t).select("node", "component", "size", "in_cycle")
+    return graph(t)[1].select("node", "component", "size", "in_cycle")
 
 
 @_r.add("circular_edges", REACH + """select e.src, e.dst, coalesce(x.in_cycle and y.in_cycle and x.component = y.component, false) as circular
  from {b_import_edges} e join s x on x.node = e.src join s y on y.node = e.dst""")
 def _(t: Tables):
-    return G.circular_edges(edges(t), components(t)).select("src", "dst", "circular")
+    return G.circular_edges(*graph(t)).select("src", "dst", "circular")
 
 
 @_r.add("dependency_meta", REACH + """select 'corpus' as scan_id, count(*) as modules, (select count(*) from {b_import_edges}) as imports,
  count(distinct component) filter (in_cycle) as cycles, count(*) filter (in_cycle) as in_cycles from s""")
 def _(t: Tables):
-    return V.dependency_meta(edges(t), components(t))
+    return V.dependency_meta(*graph(t))
 
 
 @_r.add("view_dependencies", REACH + """select node as id, 'node' as kind, component as a, in_cycle as flag from s union all
@@ -105,7 +107,7 @@ def _(t: Tables):
 
 @_r.add("find_cycles", f"with recursive {IMPORT_CYCLES} select component, array_to_string(cycle, ' > ') as cycle from f_cycles")
 def _(t: Tables):
-    return G.find_cycles(edges(t), components(t)).select("component", F.array_join("cycle", " > ").alias("cycle"))
+    return G.find_cycles(*graph(t)).select("component", F.array_join("cycle", " > ").alias("cycle"))
 
 
 def connections(t: Tables, kind: str):

@@ -10,6 +10,7 @@ from ..functions.paths import folder_of, last_segment
 from ..functions.scalars import EFFECT_GROUPS, classify_effect, folder_node_id
 from ..operators.graph import circular_edges, participating, scc
 from ..operators.rollup import files_in_folder, folder_rollup
+from ..shared import materialise
 
 
 def view_folders(files: DataFrame, functions: DataFrame, affected: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def view_folder(files: DataFrame, edges: DataFrame, folder: str) -> tuple[DataFr
 
 def view_dependencies(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(participating files with component, size and in_cycle; edges with circular)."""
-    nodes = participating(edges)
-    components = scc(nodes, edges)
+    edges = materialise(edges, "edges")  # read by all that follows
+    components = materialise(scc(participating(edges), edges), "components")
     return components, circular_edges(edges, components)
 
 
@@ -56,6 +57,12 @@ def lane_position(functions: DataFrame, collate: str | None = None) -> DataFrame
     return out.withColumn("position", F.row_number().over(W.partitionBy("scan_id", "lane_ord").orderBy(*key, "function_id"))).join(lanes, ["scan_id", "lane_ord"])
 
 
+def lane_members(functions: DataFrame) -> DataFrame:
+    """scan_id, lane, lane_ord, file_path, members: the functions of each lane, file by file, by name."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("name", "function_id"))), lambda m: m["function_id"])
+    return with_lane(functions).groupBy("scan_id", "lane", "lane_ord", "file_path").agg(members.alias("members"))
+
+
 def effect_group_counts(functions: DataFrame) -> DataFrame:
     return with_lane(functions).groupBy("scan_id", "lane").agg(F.count("*").alias("functions"), F.bool_or(F.col("behavioral").isNotNull()).alias("has_behavioral"))
 
