@@ -382,10 +382,11 @@ class Encoder:
             rows = [x or "" for x in some.to_pylist()]
             raw = utf8(some)[0].tobytes()
             marked = any(s in raw for s in self.special)
-            if marked or max(map(len, rows), default=0) > CHUNK:
-                yield from map(self.parts, rows)
-            else:
-                yield from ((ids,) for ids in self.step([Transducer(self) for _ in rows], rows, True))
+            alone = [len(x) > CHUNK or marked and any(s in x for s in self.table.special) for x in rows]
+            short = [x for x, a in zip(rows, alone, strict=True) if not a]
+            found = iter(self.step([Transducer(self) for _ in short], short, True))
+            for x, a in zip(rows, alone, strict=True):
+                yield self.parts(x) if a else (next(found),)
 
     def parts(self, text: str | None) -> Iterator[np.ndarray]:
         """The ids of one text, chunk by chunk."""
