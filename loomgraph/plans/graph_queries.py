@@ -366,7 +366,8 @@ def component_files(t: Tables):
     """For each first import statement a component beside its file, which takes another name from the same place."""
     i = t.b_imports.where("stmt_ord = 1")
     text = F.concat(F.lit("<script>\nimport { s"), F.col("n_items") + 40, F.lit(" } from '"), "source", F.lit("';\n</script>"))
-    return i.select("scan_id", F.regexp_replace("file_path", r"\.ts$", ".svelte").alias("file_path"), text.alias("content"))
+    path = F.concat(F.regexp_replace("file_path", r"\.ts$", "-"), F.substring(F.md5("source"), 1, 12), F.lit(".svelte"))
+    return i.select("scan_id", path.alias("file_path"), text.alias("content"))
 
 
 @_r.add("detect_warnings", f"""with recursive {IMPORT_CYCLES}, {CALL_CYCLES}, u as ({USED}), n as ({NAMED}), st as ({STARS}),
