@@ -189,7 +189,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERR
 
     Hits are few against the documents, so digests of their texts are written once and taken away by an anti join.
     """
-    name = F.md5(F.col("text").cast("binary"))
-    found = contamination(docs.select(name.alias("name"), "text"), items, error_rate, id_col="name", id_type="string")
-    hits = materialise(found.select(F.col("name").alias("_name")).distinct(), "hits")
-    return docs.join(hits, name == F.col("_name"), "left_anti")
+    found = contamination(docs.select(F.md5(F.col("text").cast("binary")).alias("name"), "text"), items, error_rate, id_col="name", id_type="string")
+    hits = materialise(found.select("name").distinct(), "hits")
+    return docs.join(hits, F.md5(docs["text"].cast("binary")) == hits["name"], "left_anti")
