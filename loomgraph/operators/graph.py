@@ -184,7 +184,7 @@ def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def most_connected(edges: DataFrame, k: int) -> DataFrame:
-    """The k nodes of most edges (of each scan), both directions counted."""
+    """The k nodes of most edges (of each scan), both directions counted; each task passes on its own k at most."""
     from pyspark.sql import Window as W
 
     ends = edges.select(KEY, F.col("src").alias("node")).unionByName(edges.select(KEY, F.col("dst").alias("node")))

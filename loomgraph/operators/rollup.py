@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import folder_of
 from ..functions.scalars import finding_identity, level_rank
+from ..shared import materialise
 
 LEVELS = ("error", "warning", "info")
 
@@ -18,6 +19,19 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str], last: bool = Fa
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where("_n = 1").drop("_n")
 
 
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the number of each row inside its group, from 1, by tasks that each take a range of the whole order: their
+    counts, a row a range and group, are summed to say where each range begins, so no task holds a group."""
+    dealt = df.repartitionByRange(*map(F.col, group), *order).withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt, "ranges")  # ranges must not be dealt anew between counting and numbering
+    counts = dealt.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy(*group, "_range").orderBy(*order))
+    begun = counts.select(*group, "_range", before.alias("_before"))
+    out = dealt.withColumn("_own", own).join(begun, [*group, "_range"])
+    return out.select(*df.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))
+
+
 def runtime_imports(imports: DataFrame) -> DataFrame:
     return imports.where(~F.col("is_type_only"))
 
@@ -31,7 +45,7 @@ def pending_functions(functions: DataFrame) -> DataFrame:
 
 
 def limit_functions(functions: DataFrame, most: int, order: tuple[str, ...] = ("file_path", "fn_ord")) -> DataFrame:
-    """The first `most` pending functions of each scan."""
+    """The first `most` pending functions of each scan; each task passes on no more than these (a limit of window groups)."""
     n = F.row_number().over(W.partitionBy("scan_id").orderBy(*order, "function_id"))
     return pending_functions(functions).withColumn("_n", n).where(F.col("_n") <= most).drop("_n")
 
@@ -120,8 +134,7 @@ def filter_findings(findings: DataFrame, dismissed: DataFrame, least: float = 0.
     if not show_dismissed:
         marked = marked.where(~F.col("dismissed"))
     name = F.collate("identity", collate) if collate else F.col("identity")
-    order = W.partitionBy("scan_id").orderBy(level_rank(F.col("level")).desc(), F.col("confidence").desc(), name, "id")
-    return marked.withColumn("rank", F.row_number().over(order))
+    return ranked(marked, ["scan_id"], [level_rank(F.col("level")).desc(), F.col("confidence").desc(), name.asc(), F.col("id").asc()])
 
 
 def dismiss(dismissed: DataFrame, more: DataFrame) -> DataFrame:

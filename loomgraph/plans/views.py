@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from ..functions.paths import folder_of, last_segment
 from ..functions.scalars import EFFECT_GROUPS, classify_effect, folder_node_id
 from ..operators.graph import circular_edges, participating, scc
-from ..operators.rollup import files_in_folder, folder_rollup
+from ..operators.rollup import files_in_folder, folder_rollup, ranked
 from ..shared import materialise
 
 
 def view_folders(files: DataFrame, functions: DataFrame, affected: DataFrame) -> DataFrame:
     """One node a folder with its counts, ranked by folder."""
     rows = folder_rollup(files, functions, affected)
-    order = W.partitionBy("scan_id").orderBy("folder")
-    return rows.select("scan_id", folder_node_id(F.col("folder")).alias("node_id"), last_segment(F.col("folder")).alias("label"), "files", "functions", "warnings", F.row_number().over(order).alias("rank"))
+    rows = ranked(rows, ["scan_id"], [F.col("folder").asc()])
+    return rows.select("scan_id", folder_node_id(F.col("folder")).alias("node_id"), last_segment(F.col("folder")).alias("label"), "files", "functions", "warnings", "rank")
 
 
 def view_folder(files: DataFrame, edges: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +54,7 @@ def lane_position(functions: DataFrame, collate: str | None = None) -> DataFrame
     key = [F.collate(c, collate) if collate else F.col(c) for c in ("file_path", "name")]
     out = with_lane(functions)
     lanes = out.select("scan_id", "lane_ord").distinct().withColumn("lane_no", F.row_number().over(W.partitionBy("scan_id").orderBy("lane_ord")))
-    return out.withColumn("position", F.row_number().over(W.partitionBy("scan_id", "lane_ord").orderBy(*key, "function_id"))).join(lanes, ["scan_id", "lane_ord"])
+    return ranked(out, ["scan_id", "lane_ord"], [*(k.asc() for k in key), F.col("function_id").asc()], "position").join(lanes, ["scan_id", "lane_ord"])
 
 
 def lane_members(functions: DataFrame) -> DataFrame:
