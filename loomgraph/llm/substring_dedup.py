@@ -19,7 +19,7 @@ shards such that equal windows meet:
 5. What it found goes back to the occurrences and the documents.
 
 Hashes only route: automata compare words themselves, which a shard numbers in the order of their coming, and passages
-are equal by 128-bit digests of their words.  Halved groups of crowded anchors are compared by 128-bit digests of each word.
+and their halved groups are equal by digests (128 bits and more) of their words.
 
 Edge cases: null, empty and blank texts have no words; documents shorter than a window keep all their words; repeated
 rows repeat each other's windows and lose them; windows are judged on the input; identifiers may be null or repeat;
@@ -29,22 +29,20 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Runs, batches_of, bounded_batches, gram_hashes, map_rows, materialise, take_runs
+from .common import SPACE, WORD_CLASS, Runs, batches_of, bounded_batches, gram_hashes, map_rows, materialise, take_runs
 
 GRAM = 8
 SHARD_WORDS = 20_000
 CROWD = 300
 #: Ends each passage in an automaton: not the number of a word.
 SEPARATOR = -1
-#: Bytes of a word's digest, and words that a task remembers these of.
-DIGEST, DIGESTS = 16, 200_000
 
 
 class SuffixAutomaton:
@@ -122,7 +120,7 @@ class SuffixAutomaton:
 
 
 def anchors_of(h: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of the anchor of each window of a document's word hashes."""
+    """Place and hash of the anchor of each window of a sequence of word hashes."""
     if len(h) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     g = gram_hashes(h, gram)
@@ -141,38 +139,40 @@ def anchors_of(h: np.ndarray, least: int, gram: int = GRAM) -> tuple[np.ndarray,
     return place, low
 
 
-def passages_of(place: list[int] | np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first window, last window + 1) of each run of windows with one anchor place."""
-    if len(place):
-        place = np.asarray(place)
-        cuts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)], strict=True)
-
-
 class Words:
-    """The words of each text of a column, and each text's words joined by one space."""
+    """The words of each text of a column: their anchors, and the words joined by one space.  Hashes, anchors and the
+    places of all texts are worked out together; a window belongs to a text when it ends inside it."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, least: int | None = None):
         self.runs = r = Runs(column)
-        apart = np.ones(len(r.start), bool)  # whether something else than one space is before a word
-        apart[1:] = (r.start[1:] != r.end[:-1] + 1) | (r.raw[r.end[:-1]] != 32) if len(r.start) else False
+        if least is not None:
+            self.least, (self.place, self.low) = least, anchors_of(r.hash, least)
+            self.low = self.low.view(np.int64)
+        self.clean = np.where(WORD_CLASS.take(r.raw) == SPACE, np.uint8(32), r.raw)
+        apart = np.zeros(len(r.start), bool)  # whether more than one byte is before a word
+        apart[1:] = r.start[1:] != r.end[:-1] + 1
         apart[r.of[:-1][np.diff(r.of) > 0]] = False
         self.apart = np.append(0, np.cumsum(apart))
 
-    def __iter__(self) -> Iterator[tuple[np.ndarray, Callable[[], tuple[bytes, np.ndarray, np.ndarray]]]]:
-        """(word hashes, function that gives (joined words, start and end of each word in them)) of each text."""
-        for a, b in self.runs:
-            yield self.runs.hash[a:b], lambda a=a, b=b: self._joined(a, b)
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        """(first word, last word + 1) of each text."""
+        return iter(self.runs)
+
+    def anchors(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place (from the text's first word) and hash of the anchor of each window of a text."""
+        n = max(0, b - a - self.least + 1)
+        return self.place[a : a + n] - a, self.low[a : a + n]
 
-    def _joined(self, a: int, b: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    def joined(self, a: int, b: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The words joined by a space, and where each starts and ends in them."""
         start, end = self.runs.start[a:b], self.runs.end[a:b]
         if a == b:
             return b"", start, end
         if self.apart[a] == self.apart[b]:
-            return self.runs.raw[start[0] : end[-1]].tobytes(), start - start[0], end - start[0]
+            return self.clean[start[0] : end[-1]].tobytes(), start - start[0], end - start[0]
         size = end - start
         at = np.cumsum(size + 1) - size - 1
-        return b" ".join([self.runs.raw[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), at, at + size
+        return b" ".join([self.clean[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)]), at, at + size
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -199,11 +199,12 @@ def _scanned(rows: DataFrame, least: int, texts: bool) -> DataFrame:
         def each(batch):
             ids, row, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), 0
             for some in take_runs(batch.column(1)):
-                for h, joined in Words(some):
-                    place, low = anchors_of(h, least)
+                own = Words(some, least)
+                for a, b in own:
+                    place, low = own.anchors(a, b)
                     first = np.append(True, place[1:] != place[:-1])[: len(place)]
-                    data = joined()[0]
-                    yield ids[at], row[at], len(h), 0, hashlib.sha256(data).hexdigest(), data.decode("utf-8") if texts else None, low[first].view(np.int64)
+                    data = own.joined(a, b)[0]
+                    yield ids[at], row[at], b - a, 0, hashlib.sha256(data).hexdigest(), data.decode("utf-8") if texts else None, low[first]
                     at += 1
 
         return each
@@ -219,16 +220,18 @@ def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
         def each(batch):
             row, wanted, at = batch.column(0).to_pylist(), batch.column(2), 0
             for some in take_runs(batch.column(1)):
-                for h, joined in Words(some):
-                    place, low = anchors_of(h, least)
-                    low = low.view(np.int64)
-                    mine = np.isin(low, np.asarray(wanted[at].values))
-                    data, start, end = joined()
-                    start, end, place, anchor, mine = start.tolist(), end.tolist(), place.tolist(), low.tolist(), mine.tolist()
-                    for x, y in passages_of(place):
-                        if mine[x]:
-                            own = data[start[x] : end[y + least - 2]]
-                            yield row[at], anchor[x], x, place[x] - x, y + least - 1 - x, hashlib.blake2b(own, digest_size=16).digest(), own
+                own = Words(some, least)
+                for a, b in own:
+                    place, low = own.anchors(a, b)
+                    data, start, end = own.joined(a, b)
+                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+                    last = np.append(first[1:], len(place))[: len(first)]
+                    mine = np.isin(low[first], np.asarray(wanted[at].values))
+                    first, last = first[mine], last[mine]
+                    n, begin, finish = last - first + least - 1, start[first], end[last + least - 2]
+                    for anchor, x, p, k, i, j in zip(low[first].tolist(), first.tolist(), (place[first] - first).tolist(), n.tolist(), begin.tolist(), finish.tolist(), strict=True):
+                        words = data[i:j]
+                        yield row[at], anchor, x, p, k, hashlib.blake2b(words, digest_size=16).digest(), words
                     at += 1
 
         return each
@@ -296,31 +299,23 @@ def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
     calm = passages.join(crowd, "anchor", "left_anti").select("key", "anchor", "words", "times")
     judged = calm.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(shards, "key binary, flags binary")
     crowded = passages.join(crowd, "anchor", "left_semi")
-    return judged.unionByName(_descend(_digests(crowded), least))
+    return judged.unionByName(_descend(_with_ends(crowded), least))
 
 
-def _digests(passages: DataFrame) -> DataFrame:
-    """key, anchor_at, n, times, words: now a digest of DIGEST bytes for each word."""
-    schema = pa.schema([("key", pa.binary()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("times", pa.int64()), ("words", pa.binary())])
+def _with_ends(passages: DataFrame) -> DataFrame:
+    """key, anchor_at, n, times, words, off: where each word starts in the words, and where one behind them would."""
+    schema = pa.schema([("key", pa.binary()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("times", pa.int64()), ("words", pa.binary()), ("off", pa.list_(pa.int32()))])
 
     def per_task():
-        known: dict[bytes, bytes] = {}
-
-        def digest(w: bytes) -> bytes:
-            d = known.get(w)
-            if d is None:
-                if len(known) >= DIGESTS:
-                    known.clear()
-                d = known[w] = hashlib.blake2b(w, digest_size=DIGEST).digest()
-            return d
-
         def each(batch):
             for key, at, n, times, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield key, at, n, times, b"".join(map(digest, data.split(b" ")))
+                spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+                yield key, at, n, times, data, np.concatenate([[0], spaces, [len(data) + 1]]).astype(np.int32)
 
         return each
 
-    return map_rows(passages.select("key", "anchor_at", "n", "times", "words"), "key binary, anchor_at int, n int, times long, words binary", schema, per_task, 1000)
+    out = "key binary, anchor_at int, n int, times long, words binary, off array<int>"
+    return map_rows(passages.select("key", "anchor_at", "n", "times", "words"), out, schema, per_task, 1000)
 
 
 def _descend(passages: DataFrame, least: int) -> DataFrame:
@@ -331,28 +326,28 @@ def _descend(passages: DataFrame, least: int) -> DataFrame:
     its windows do (one of its kind goes on as a witness for windows that others share with it).  A group whose core (the words that all windows of its place share) occurs once is done too: none
     does.  Only the others, around the ends of what is common, go on.
     """
-    width = DIGEST * least
     passages = materialise(passages, "crowded-passages")
-    now = passages.select("key", "words", "times", "anchor_at", F.lit(0).alias("x"), F.expr(f"n - {least}").alias("y"))
+    now = passages.select("key", F.lit(False).alias("witness"), "times", F.lit(0).alias("x"), F.expr(f"n - {least}").alias("y"))
     hits = None
-    for w in (16, 4, 1):
-        groups = now.select("*", F.explode(F.expr(f"sequence((anchor_at - y) div {w}, (anchor_at - x) div {w})")).alias("g"))
+    for w in (16, 4, 1):  # only names, places and digests of groups are shuffled; words stay with their passage
+        groups = now.join(passages.select("key", "words", "off", "anchor_at"), "key")
+        groups = groups.select("*", F.explode(F.expr(f"sequence((anchor_at - y) div {w}, (anchor_at - x) div {w})")).alias("g"))
         x = F.expr(f"cast(greatest(x, anchor_at - g * {w} - {w - 1}) as int)").alias("x")
         y = F.expr(f"cast(least(y, anchor_at - g * {w}) as int)").alias("y")
-        groups = groups.select("key", "words", "times", "anchor_at", x, y, "g")
-        whole = F.expr(f"sha2(substring(words, {DIGEST} * x + 1, {DIGEST} * (y - x) + {width}), 224)").alias("whole")
-        core = F.expr(f"sha2(substring(words, cast({DIGEST} * (anchor_at - g * {w}) + 1 as int), {width - DIGEST * (w - 1)}), 224)").alias("core")
-        groups = materialise(groups.select("*", whole, core).drop("g"), "window-groups")
+        groups = groups.select("key", "witness", "times", "words", "off", x, y, F.expr(f"cast(anchor_at - g * {w} as int)").alias("s"))
+        whole = F.expr(f"unhex(sha2(substring(words, off[x] + 1, off[y + {least}] - off[x] - 1), 256))").alias("whole")
+        core = F.expr(f"unhex(sha2(substring(words, off[s] + 1, off[s + {least - w + 1}] - off[s] - 1), 256))").alias("core")
+        groups = materialise(groups.select("key", "witness", "times", "x", "y", whole, core), "window-groups")
         # counts are written before they are joined, so that a join's large side can be split where a key is common
         whole = materialise(groups.groupBy("whole").agg(F.sum("times").alias("n")).where("n > 1").select("whole", F.lit(True).alias("done")), "whole")
         core = materialise(groups.groupBy("core").agg(F.sum("times").alias("n")).where("n > 1").select("core"), "core")
         judged = groups.join(whole, "whole", "left").join(core, "core", "left_semi")
-        judged = materialise(judged.select("key", "words", "times", "anchor_at", "x", "y", "whole", "done"), "judged-groups")
-        found = judged.where("done and key is not null").select("key", "x", "y")
+        judged = materialise(judged.select("key", "witness", "times", "x", "y", "whole", "done"), "judged-groups")
+        found = judged.where("done and not witness").select("key", "x", "y")
         hits = found if hits is None else hits.unionByName(found)
-        one = judged.where("done").groupBy("whole").agg(F.min(F.struct("words", "anchor_at", "x", "y")).alias("r"))
-        witness = one.select(F.lit(None).cast("binary").alias("key"), "r.words", F.lit(2).cast("long").alias("times"), "r.anchor_at", "r.x", "r.y")
-        now = judged.where("done is null").select("key", "words", "times", "anchor_at", "x", "y").unionByName(witness)
+        one = judged.where("done").groupBy("whole").agg(F.min(F.struct("key", "x", "y")).alias("r"))
+        witness = one.select("r.key", F.lit(True).alias("witness"), F.lit(2).cast("long").alias("times"), "r.x", "r.y")
+        now = judged.where("done is null").select("key", "witness", "times", "x", "y").unionByName(witness)
     spans = hits.groupBy("key").agg(F.collect_list(F.struct("x", "y")).alias("spans"))
     bits = F.expr(f"unhex(array_join(transform(sequence(0, n - {least}), i -> if(exists(spans, s -> i between s.x and s.y), '01', '00')), ''))")
     return passages.select("key", "n").join(spans, "key").select("key", bits.alias("flags"))
@@ -395,10 +390,11 @@ def remove_repeats(docs: DataFrame, least: int = 35, id_col: str = "doc_id", tex
         def each(batch):
             ids, row, hits, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), 0
             for some in take_runs(batch.column(2)):
-                for h, joined in Words(some):
-                    gone = _removed(len(h), hits[at].as_py(), least)
-                    kept = _without(*joined(), gone)
-                    yield ids[at], row[at], len(h), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None
+                own = Words(some)
+                for a, b in own:
+                    gone = _removed(b - a, hits[at].as_py(), least)
+                    kept = _without(*own.joined(a, b), gone)
+                    yield ids[at], row[at], b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None
                     at += 1
 
         return each
