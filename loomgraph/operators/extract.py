@@ -1,7 +1,9 @@
 """Extraction of imports, exports, functions, classes and references from source text, in native expressions.
 
-Imports follow the line fold of the import scanner exactly.  The others read declarations by patterns and brace depth;
-code-like text in strings, comments and markup can mislead them, and inferred types stay null.
+Imports follow the line fold of the import scanner exactly.  The others read declarations by patterns and bracket depth:
+a declaration begins on a line outside all brackets, and its head may go on over several lines.  Windows over a file's
+lines say where each one ends, so the work is in proportion to the lines.  Code-like text in block comments, templates
+and markup can mislead them; types are those written in the text, inferred ones stay null.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.paths import last_segment, normalize_import_source, resolve_path_alias
-from ..functions.scalars import COMMON_GLOBALS
 
 _QUOTED = r"""['"]"""
 
@@ -151,27 +152,66 @@ def lines_with_depth(files: DataFrame) -> DataFrame:
     return rows.withColumn("depth", F.sum("delta").over(W.partitionBy("scan_id", "file_path").orderBy("line")))
 
 
-_FUNCTION = r"^\s*(export\s+)?(?:default\s+)?(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)?\s*(?:<[^>]*>)?\s*\(([^)]*)"
-_ARROW = r"^\s*(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(async\s+)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*(?::[^=]*)?=>"
-_CLASS = r"^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?(?:\s+extends\s+([\w$.]+)(?:<[^>]*>)?)?(?:\s+implements\s+([^{]+))?"
+_ARGUMENTS = r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)"
+_FUNCTION_START = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\b"
+_ARROW_START = r"^\s*(?:export\s+)?(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*(?::[^=]*)?=\s*(?:async\s+)?(?:[(<]|[A-Za-z_$][\w$]*\s*=>)"
+_CLASS_START = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+[A-Za-z_$]"
+_FUNCTION = r"(?s)^\s*(export\s+)?(?:default\s+)?(async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)?\s*(?:<[^>(]*>)?\s*" + _ARGUMENTS + r"\s*(?::\s*([^{};]+))?"
+_ARROW = r"(?s)^\s*(export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(async\s+)?(?:<[^>(]*>\s*)?(?:" + _ARGUMENTS + r"|([A-Za-z_$][\w$]*))\s*(?::\s*([^={}]+))?\s*=>"
+_CLASS = r"(?s)^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?(?:\s+extends\s+([\w$.]+)(?:<[^>]*>)?)?(?:\s+implements\s+([^{]+))?"
 _METHOD = r"^\s*(?:(public|private|protected)\s+)?(static\s+)?(async\s+)?([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\s*\(([^)]*)\)[^;=]*\{"
 _PROPERTY = r"^\s*(?:(public|private|protected)\s+)?(static\s+)?(readonly\s+)?([A-Za-z_$#][\w$]*)\s*[?!]?\s*(?::\s*([^=;]+))?(?:=[^;]*)?;"
-
-
-def _closed(lines: DataFrame, starts: DataFrame, columns: list[str]) -> DataFrame:
-    """starts (scan_id, file_path, line, base: depth before the line) with end_line: the first line from which depth is
-    back at the base, after the block opened."""
-    later = starts.join(lines.select("scan_id", "file_path", F.col("line").alias("l"), F.col("depth").alias("d"), F.col("text").alias("t")), ["scan_id", "file_path"]).where("l >= line and d <= base")
-    opened = later.where((F.col("l") > F.col("line")) | F.col("t").contains("}") | ~F.col("t").contains("{"))
-    ends = opened.groupBy("scan_id", "file_path", "line").agg(F.min("l").alias("end_line"))
-    return starts.join(ends, ["scan_id", "file_path", "line"], "left").select("scan_id", "file_path", "line", F.coalesce("end_line", "line").alias("end_line"), *columns)
+_QUIET = r"//.*$|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\""
+
+
+def _declarations(files: DataFrame, start: str, arrows: bool) -> DataFrame:
+    """scan_id, file_path, line, end_line, head (the lines up to the body's opening), body (array of line, text) of each
+    declaration that starts at a pattern outside all brackets."""
+    quiet = F.regexp_replace("text", _QUIET, "")
+    delta = F.regexp_count(quiet, F.lit(r"[(\[{]")) - F.regexp_count(quiet, F.lit(r"[)\]}]"))
+    lines = files.select("scan_id", "file_path", F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    round_ = F.regexp_count(quiet, F.lit(r"\(")) - F.regexp_count(quiet, F.lit(r"\)"))
+    lines = lines.select("scan_id", "file_path", (F.col("pos") + 1).alias("line"), "text", delta.alias("delta"), round_.alias("round"))
+    w = W.partitionBy("scan_id", "file_path").orderBy("line")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    on = W.partitionBy("scan_id", "file_path").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, 0)  # this line and those behind it
+    lines = lines.withColumn("open", F.sum("delta").over(w)).withColumn("round", F.sum("round").over(w))
+    # where brackets are closed again, from each line on; and the next line that opens a body (outside of parameters),
+    # with its own closing
+    lines = lines.withColumn("closed", F.min(F.when(F.col("open") <= 0, F.col("line"))).over(on))
+    opens = F.col("text").contains("{") | (F.col("text").contains("=>") if arrows else F.lit(False))
+    lines = lines.withColumn("body", F.min(F.when(opens & (F.col("round") <= 0), F.struct("line", "closed"))).over(on))
+    bare = F.col("text").rlike(_ARROW_START) if arrows else F.lit(False)  # an arrow's body may have no braces
+    bodiless = F.col("text").rlike(r";\s*$")  # an overload or a declared function
+    first = F.col("text").rlike(start) & (F.col("open") - F.col("delta") == 0)
+    end = F.when(bare | bodiless, F.col("closed")).otherwise(F.coalesce("body.closed", "closed"))
+    mark = F.struct(F.col("line").alias("line"), F.coalesce(end, "line").alias("end"), F.coalesce("body.line", "line").alias("head"))
+    lines = lines.withColumn("at", F.last(F.when(first, mark), ignorenulls=True).over(upto)).where("line <= at.end")
+    part = F.array_sort(F.collect_list(F.struct("line", "text")))
+    out = lines.groupBy("scan_id", "file_path", "at").agg(part.alias("body"))
+    head = F.array_join(F.transform(F.filter("body", lambda x: x["line"] <= F.col("at.head")), lambda x: x["text"]), "\n")
+    return out.select("scan_id", "file_path", F.col("at.line").alias("line"), F.col("at.end").alias("end_line"), head.alias("head"), "body")
+
+
+# One parameter: no comma outside brackets.
+_ONE = r"((?:=>|[^,(){}\[\]<>=]+|=|\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|<[^<>]*(?:<[^<>]*>[^<>]*)*>)++)"
+_NAME = r"^(?:\.\.\.)?([\w$]+|\{[^{}]*\}|\[[^\[\]]*\])"
+_TYPE = r"^(?:\.\.\.)?(?:[\w$]+|\{[^{}]*\}|\[[^\[\]]*\])\??\s*:\s*([^=]+(?:=>[^=]*)*)"
 
 
 def _params(text: Column) -> Column:
-    """array of struct(name, type) of a parameter list; types only as written."""
-    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
-    kind = lambda p: F.nullif(F.trim(F.regexp_extract(p, r":\s*([^=]+)", 1)), F.lit(""))
-    return F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"^(?:\.\.\.)?([\w$]*)", 1).alias("name"), kind(p).alias("type")))
+    """array of struct(name, type, is_optional, default_value) of a parameter list, all as written; a parameter with a
+    default or of the rest is optional."""
+    parts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(_ONE), F.lit(1)), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    some = lambda p, pattern: F.nullif(F.trim(F.regexp_extract(p, pattern, 1)), F.lit(""))
+    default = lambda p: some(p, r"(?s)(?<![=!<>])=(?![=>])\s*(.*)$")
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            F.regexp_extract(p, _NAME, 1).alias("name"), some(p, _TYPE).alias("type"),
+            (p.rlike(_NAME + r"\s*\?") | p.startswith("...") | default(p).isNotNull()).alias("is_optional"), default(p).alias("default_value"),
+        ),
+    )
 
 
 _KEYWORDS = (
@@ -199,23 +239,23 @@ def slice_function_source(content: Column, line: Column, end_line: Column) -> Co
 def extract_functions(files: DataFrame) -> DataFrame:
     """Top-level functions and arrow constants: scan_id, function_id, name, file_path, line, end_line, parent_file_id,
     parent_class_id, fn_ord, params, return_type, is_exported, is_async, source, references, behavioral (null)."""
-    lines = lines_with_depth(files)
-    t, base = F.col("text"), F.col("depth") - F.col("delta")
-    plain, arrow = t.rlike(_FUNCTION), t.rlike(_ARROW)
-    either = lambda i, j: F.when(plain, F.regexp_extract(t, _FUNCTION, i)).otherwise(F.regexp_extract(t, _ARROW, j))
-    name = either(3, 2)
-    starts = lines.where((plain | arrow) & (base == 0)).select(
-        "scan_id", "file_path", "line", base.alias("base"), F.when(name != "", name).otherwise("anonymous").alias("name"), (either(1, 1) != "").alias("is_exported"),
-        (either(2, 3) != "").alias("is_async"), _params(F.when(plain | (F.regexp_extract(t, _ARROW, 4) != ""), either(4, 4)).otherwise(F.regexp_extract(t, _ARROW, 5))).alias("params"),
+    rows = _declarations(files, f"{_FUNCTION_START}|{_ARROW_START}", True)
+    head = F.col("head")
+    plain, arrow = head.rlike(_FUNCTION), head.rlike(_ARROW)
+    either = lambda i, j: F.when(plain, F.regexp_extract(head, _FUNCTION, i)).otherwise(F.regexp_extract(head, _ARROW, j))
+    name, given = either(3, 2), either(4, 4)
+    rows = rows.where(plain | arrow).select(
+        "scan_id", "file_path", "line", "end_line", F.when(name != "", name).otherwise("anonymous").alias("name"), (either(1, 1) != "").alias("is_exported"), (either(2, 3) != "").alias("is_async"),
+        _params(F.when(plain | (given != ""), given).otherwise(F.regexp_extract(head, _ARROW, 5))).alias("params"), F.nullif(F.trim(either(5, 6)), F.lit("")).alias("return_type"),
+        F.array_join(F.transform("body", lambda x: x["text"]), "\n").alias("source"), file_id(F.col("file_path")).alias("parent_file_id"),
     )
-    rows = _closed(lines, starts, ["name", "is_exported", "is_async", "params"]).join(files.select("scan_id", "file_path", "content"), ["scan_id", "file_path"])
-    rows = rows.withColumn("source", slice_function_source(F.col("content"), F.col("line"), F.col("end_line"))).withColumn("parent_file_id", file_id(F.col("file_path")))
-    own = F.concat(F.array("name"), F.transform("params", lambda p: p["name"]))
+    bound = F.flatten(F.transform("params", lambda p: F.regexp_extract_all(p["name"], F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))))  # a pattern binds several names
+    own = F.concat(F.array("name"), bound)
     order = F.row_number().over(W.partitionBy("scan_id", "file_path").orderBy("line"))
     none = F.lit(None).cast("string")
     return rows.select(
         "scan_id", function_id(F.col("parent_file_id"), F.col("name"), F.col("line")).alias("function_id"), "name", "file_path", "line", "end_line", "parent_file_id", none.alias("parent_class_id"),
-        order.alias("fn_ord"), "params", none.alias("return_type"), "is_exported", "is_async", "source", extract_references(F.col("source"), own).alias("references"),
+        order.alias("fn_ord"), "params", "return_type", "is_exported", "is_async", "source", extract_references(F.col("source"), own).alias("references"),
         F.lit(None).cast("struct<summary:string,source:string,analyzed_at:timestamp,flags:struct<" + ",".join(f"{f}:boolean" for f in (
             "databaseRead", "databaseWrite", "httpCall", "fileRead", "fileWrite", "sendsNotification", "modifiesGlobalState", "hasSideEffects")) + ">>").alias("behavioral"),
     )
@@ -223,17 +263,18 @@ def extract_functions(files: DataFrame) -> DataFrame:
 
 def extract_classes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes with their methods' ids and properties, methods: class_id, method_id, name, line, visibility, is_static, is_async)."""
-    lines = lines_with_depth(files)
-    t, base = F.col("text"), F.col("depth") - F.col("delta")
-    g = lambda p, i: F.nullif(F.trim(F.regexp_extract(t, p, i)), F.lit(""))
-    starts = lines.where(t.rlike(_CLASS) & (base == 0)).select(
-        "scan_id", "file_path", "line", base.alias("base"), g(_CLASS, 2).alias("name"), g(_CLASS, 1).isNotNull().alias("is_exported"), g(_CLASS, 3).alias("extends"),
-        F.transform(F.split(F.coalesce(g(_CLASS, 4), F.lit("")), ","), lambda p: F.trim(p)).alias("implements"),
+    rows, t = _declarations(files, _CLASS_START, False), F.col("text")
+    g = lambda p, i, c=t: F.nullif(F.trim(F.regexp_extract(c, p, i)), F.lit(""))
+    top = F.col("head")
+    head = rows.where(top.rlike(_CLASS)).select(
+        "scan_id", "file_path", "line", "end_line", g(_CLASS, 2, top).alias("name"), g(_CLASS, 1, top).isNotNull().alias("is_exported"), g(_CLASS, 3, top).alias("extends"),
+        F.filter(F.transform(F.split(F.coalesce(g(_CLASS, 4, top), F.lit("")), ","), lambda p: F.trim(p)), lambda x: x != "").alias("implements"), "body",
     )
-    head = _closed(lines, starts, ["name", "is_exported", "extends", F.filter("implements", lambda x: x != "").alias("implements")])
     head = head.withColumn("parent_file_id", file_id(F.col("file_path"))).withColumn("class_id", class_id(F.col("parent_file_id"), F.col("name"), F.col("line")))
-    body = lines.withColumnRenamed("line", "l").join(head.select("scan_id", "file_path", "class_id", "line", "end_line"), ["scan_id", "file_path"])
-    body = body.where("l > line and l <= end_line").where(base == 1)
+    body = head.select("scan_id", "file_path", "class_id", F.col("line").alias("first"), F.explode("body").alias("b")).select("scan_id", "file_path", "class_id", "first", F.col("b.line").alias("l"), F.col("b.text").alias("text"))
+    before = F.coalesce(F.sum(brace_delta(t)).over(W.partitionBy("scan_id", "class_id").orderBy("l").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    body = body.withColumn("before", before).where("l > first and before = 1")
+    head = head.drop("body")
     is_method = t.rlike(_METHOD) & ~F.regexp_extract(t, _METHOD, 4).isin("if", "for", "while", "switch", "catch", "return")
     methods = body.where(is_method).select(
         "scan_id", "class_id", method_id(F.col("class_id"), F.regexp_extract(t, _METHOD, 4), F.col("l")).alias("method_id"), F.regexp_extract(t, _METHOD, 4).alias("name"), F.col("l").alias("line"),
@@ -252,20 +293,18 @@ def extract_classes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract_top_level_references(files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
     """scan_id, file_path, names: identifiers of lines outside functions, classes, imports, exports and types."""
-    lines = lines_with_depth(files)
-    inside = functions.select("scan_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("b")).unionByName(classes.select("scan_id", "file_path", F.col("line").alias("a"), F.col("end_line").alias("b")))
-    covered = lines.join(inside, ["scan_id", "file_path"]).where("line between a and b").select("scan_id", "file_path", "line").distinct()
-    free = lines.join(covered, ["scan_id", "file_path", "line"], "left_anti").where(~F.col("text").rlike(r"^\s*(import\b|export\s*[*{]|(export\s+)?(type|interface)\b)"))
+    lines = files.select("scan_id", "file_path", F.posexplode(F.split("content", "\n")).alias("pos", "text")).withColumn("line", F.col("pos") + 1)
+    starts = [df.select("scan_id", "file_path", "line", "end_line") for df in (functions, classes)]
+    starts = starts[0].unionByName(starts[1]).groupBy("scan_id", "file_path", "line").agg(F.max("end_line").alias("end"))
+    reach = F.max("end").over(W.partitionBy("scan_id", "file_path").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    lines = lines.join(starts, ["scan_id", "file_path", "line"], "left").withColumn("covered", F.coalesce(reach, F.lit(0)) >= F.col("line"))
+    free = lines.where(~F.col("covered") & ~F.col("text").rlike(r"^\s*(import\b|export\s*[*{]|(export\s+)?(type|interface)\b)"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
     per = free.groupBy("scan_id", "file_path").agg(text.alias("text"))
     taken = files.select("scan_id", "file_path", F.flatten(F.transform(extract_import_statements(F.col("content")), lambda s: F.regexp_extract_all(s, F.lit(r"(\w+)"), F.lit(1)))).alias("taken"))
     return per.join(taken, ["scan_id", "file_path"]).select("scan_id", "file_path", extract_references(F.col("text"), F.col("taken")).alias("names"))
 
 
-def without_globals(names: Column) -> Column:
-    return F.array_except(names, F.array(*map(F.lit, COMMON_GLOBALS)))
-
-
 def file_rows(files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
     """scan_id, file_id, name, file_path, end_line, functions and classes (ids in order)."""
     ids = lambda df, i, o: df.groupBy("scan_id", F.col("parent_file_id").alias("file_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(o, i))), lambda s: s[i]).alias(i + "s"))

@@ -117,12 +117,3 @@ def build_connections(
     scope = import_scope(imports, items, aliases, index)
     out = import_connections(imports, aliases, index)
     return out.unionByName(call_connections(functions, exports, scope)).unionByName(inheritance_connections(classes, scope))
-
-
-def source_key(source: str = "source", importer: str = "file_path", aliases: DataFrame | None = None, df: DataFrame | None = None) -> DataFrame:
-    """df with `target`: the normalised path that an import names."""
-    return resolve_path_alias(df, aliases, source).withColumn("target", normalize_import_source(F.col("resolved"), F.col(importer))).drop("resolved")
-
-
-def bare_path(df: DataFrame) -> DataFrame:
-    return df.withColumn("bare", normalize_file_path(F.col("file_path")))

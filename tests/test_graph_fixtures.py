@@ -178,3 +178,60 @@ def test_import_statements_fold(spark):
 def test_extraction_survives_odd_rows(spark):
     src = spark.createDataFrame([("s", "a.ts", None), ("s", "b.ts", ""), ("s", "c.ts", "}}} {")], "scan_id string, file_path string, content string")
     assert X.extract_functions(src).count() == 0 and X.extract_exports(src).count() == 0 and X.extract_imports(src)[0].count() == 0
+
+
+PROGRAM = """import { z } from 'z';
+// a ( in a comment
+export async function load(
+  id: string,
+  { a, b }: Options,
+  limit?: number,
+  mode = 'fast',
+  ...rest: string[]
+): Promise<Map<string, number>> {
+  if (id) {
+    return z(a, b, outer);
+  }
+}
+
+function declared(x: number): string;
+const add = (a: number, b: number): number => a + b;
+export const later = async (
+  { id }: Props
+) => {
+  return fetch(id);
+};
+const one = x => x * factor;
+export class Store<T>
+  extends Base<T>
+  implements One, Two {
+  private size: number = 0;
+  get(id: string) {
+    if (id) {
+      return id;
+    }
+  }
+}
+function tail() {
+}
+use(add);
+"""
+
+
+def test_extraction_of_declarations_over_several_lines(spark):
+    src = project(spark, {"a.ts": PROGRAM})
+    got = {r.name: r for r in X.extract_functions(src).collect()}
+    assert {n: (r.line, r.end_line, r.is_exported, r.is_async) for n, r in got.items()} == {
+        "load": (3, 13, True, True), "declared": (15, 15, False, False), "add": (16, 16, False, False), "later": (17, 21, True, True), "one": (22, 22, False, False), "tail": (33, 34, False, False)
+    }
+    assert [tuple(p) for p in got["load"].params] == [
+        ("id", "string", False, None), ("{ a, b }", "Options", False, None), ("limit", "number", True, None), ("mode", None, True, "'fast'"), ("rest", "string[]", True, None)
+    ]
+    assert got["load"].return_type == "Promise<Map<string, number>>" and got["add"].return_type == "number" and got["tail"].return_type is None
+    assert sorted(got["load"].references) == ["Map", "Options", "Promise", "outer", "z"] and got["one"].references == ["factor"]
+    classes, methods = X.extract_classes(src)
+    (c,) = classes.collect()
+    assert (c.name, c.line, c.end_line, c.extends, c.implements, c.is_exported) == ("Store", 23, 32, "Base", ["One", "Two"], True)
+    assert [p.name for p in c.properties] == ["size"] and [m.name for m in methods.collect()] == ["get"]
+    (top,) = X.extract_top_level_references(src, X.extract_functions(src), classes).collect()
+    assert sorted(top.names) == ["add", "use"]
