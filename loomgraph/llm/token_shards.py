@@ -225,7 +225,7 @@ class WordEncoder:
     def _encode(self, parts: list[str]) -> list[list[int]]:
         """Ids of each part; in groups where the library splits as expected, one by one elsewhere."""
         found: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p.isalpha() and p.lower().isalpha() and unicodedata.is_normalized("NFC", p)]
+        plain = [i for i, p in enumerate(parts) if p.isalpha() and (p.isascii() or (p.lower().isalpha() and unicodedata.is_normalized("NFC", p)))]
         for g in range(0, len(plain), self.GROUP):
             group = plain[g : g + self.GROUP]
             ids = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in group])], add_special_tokens=False)[0].ids
@@ -233,14 +233,19 @@ class WordEncoder:
             if len(cuts) == len(group):
                 for i, a, b in zip(group, [0, *cuts], cuts, strict=False):
                     found[i] = ids[a:b]
-        return [self._one(p) if x is None else x for p, x in zip(parts, found, strict=True)]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for g in range(0, len(rest), self.GROUP):
+            some = rest[g : g + self.GROUP]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = e.ids
+        return found
 
     def _new_words(self, runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, parts, marks = runs.raw.tobytes(), [], []
         for a, b in zip(runs.start[at].tolist(), runs.end[at].tolist(), strict=True):
-            w = raw[a:b].decode("utf-8", "replace")
-            mark = w[-1] if w[-1] in self.marks and w[:-1].isalpha() else ""
-            part = w[:-1] if mark else w
+            part, mark = raw[a:b].decode("utf-8", "replace"), ""
+            if part[-1] in ".," and part[:-1].isalpha():
+                part, mark = part[:-1], part[-1]
             parts.append(part.lower() if part.isascii() and part.isalpha() else part)
             marks.append(mark)
         own = Runs(pa.array(parts, pa.large_string()))
