@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .language_id import predict_language
 from .near_dup import near_duplicates
 from .neighbours import nearest
+from .periodic_runs import periodic_runs, run_digests, with_repeats
 from .quality import quality_scores
 from .secret_scan import scan_secrets
 from .substring_dedup import remove_repeats
@@ -65,6 +66,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents")), least=24, times=3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_bpe": op2_bpe,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 #: None of the queries above can be said in SQL: they tokenize, train models or follow links; tests hold them against
