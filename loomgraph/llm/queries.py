@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_round_trip
 from .common import table
 from .decontaminate import contamination
+from .interpolated_lm import language_model_scores
 from .language_id import predict_language
 from .near_dup import near_duplicates
 from .neighbours import nearest
@@ -66,6 +67,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op11_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"), order=2)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents")), least=24, times=3))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_language_id": op10_language_id,
+    "op11_interpolated_lm": op11_interpolated_lm,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
