@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Runs, bounded_batches, materialise, mix64
 
-PIECE_BYTES = 16_000_000
+PIECE_BYTES = 8_000_000
 #: Text whose n-grams of one order go to one bucket, about.
 BUCKET_BYTES = 16_000_000
 LEVELS, CELLS = 32, 64
