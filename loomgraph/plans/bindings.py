@@ -78,16 +78,17 @@ select scan_id, file_id, file_path, k, {", ".join(f"concat('w', regexp_extract(s
        cast(length(content) % 4 as int) as n1, cast(length(content) % 3 as int) as n2, cast(length(content) % 5 as int) as n3,
        length(content) % 2 = 0 as exported, k % 3 = 0 as is_async, k % 4 = 1 as derived, k % 5 <> 2 as typed
 from {{b_code}}""",
-    # a program of them: what stands before each declaration and inside of it varies, and so do all lines
+    # a program of them: what stands before each declaration and inside of it varies, and so do all lines; comments,
+    # templates and strings hold what looks like code, heads go over lines, lists export what is declared elsewhere
     "b_program": """
-select *, concat('import « ', h, ' » from ''./', m, ''';', chr(10), repeat(concat('// ', c, chr(10)), n1),
- case when exported then 'export ' else '' end, case when is_async then 'async ' else '' end, 'function ', a, '(', p, ': string, ', q, case when typed then ': number' else '' end, ') «', chr(10),
- repeat(concat('  if (', p, ') «', chr(10)), n2), '  return ', h, '(', q, ', ', o, ');', chr(10), repeat(concat('  »', chr(10)), n2), '»', chr(10),
- 'const ', b, ' = (', r, ': string) => «', chr(10), '  return ', r, ' + ', u, ';', chr(10), '»;', chr(10),
+select *, concat('import « ', h, ' » from ''./', m, ''';', chr(10), repeat(concat('// ', c, ' « "(', chr(10)), n1), '/** ', c, ' « [', chr(10), ' function ', c, '() « */', chr(10),
+ case when exported then 'export ' else '' end, case when is_async then 'async ' else '' end, 'function ', a, '(', chr(10), '  ', p, ': string,', chr(10), '  ', q, case when typed then ': number' else '' end, chr(10), ') «', chr(10),
+ repeat(concat('  if (', p, ') «', chr(10)), n2), '  const ', c, ' = `$« ', c, ' » function ', d, '() « `;', chr(10), '  return ', h, '(', q, ', ', o, '.', v, ' as ', e, ');', chr(10), repeat(concat('  »', chr(10)), n2), '»', chr(10),
+ 'const ', b, ' = (', r, ': string) => «', chr(10), '  return ', r, ' + ', u, '(''»'');', chr(10), '», ', b, '2 = ', r, ' => ', r, ';', chr(10),
  'export class ', d, case when derived then concat(' extends ', w) else '' end, ' implements ', e, ', ', f, ' «', chr(10), '  private readonly ', s, ': number = 0;', chr(10),
- repeat(concat('  static async ', t, '(id) «', chr(10), '    return id;', chr(10), '  »', chr(10)), n3), '»', chr(10),
- 'export type ', v, ' = string;', chr(10), 'export « ', b, ', ', a, ' as ', w, ' » from ''./', m, '/x'';', chr(10), case when n1 > 1 then concat('export * from ''./all'';', chr(10)) else '' end,
- 'export default ', a, ';', chr(10), 'register(', b, ');', chr(10)) as content
+ repeat(concat('  static async ', t, '(', chr(10), '    ', p, ': string,', chr(10), '  ): Promise<', e, '> «', chr(10), '    return ', a, '(', p, ', « ', o, ': ', h, ' »);', chr(10), '  »', chr(10)), n3), '»', chr(10),
+ 'export type ', v, ' = string;', chr(10), 'export « ', b, ', ', a, ' as ', w, ' » from ''./', m, '/x'';', chr(10), 'export «', chr(10), '  ', b, ',', chr(10), '  ', d, ' as ', q, ',', chr(10), '»;', chr(10),
+ case when n1 > 1 then concat('export * from ''./all'';', chr(10)) else '' end, 'export default ', a, ';', chr(10), 'register(', b, ');', chr(10)) as content
 from {b_words}""".replace("«", "', chr(123), '").replace("»", "', chr(125), '"),  # braces name views in this module
 }
 

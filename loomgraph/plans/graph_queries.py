@@ -8,6 +8,7 @@ from ..operators import detect as D
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import history as H
+from ..operators import resolve as J
 from ..shared import materialise
 from . import views as V
 from .registry import Registry, Tables
@@ -393,63 +394,96 @@ def _(t: Tables):
 
 # extraction from programs of the documents' words
 
-_LINES = """(select *, 2 + n1 as la, 4 + n1 + 2 * n2 as ea, 5 + n1 + 2 * n2 as lb, 7 + n1 + 2 * n2 as eb, 8 + n1 + 2 * n2 as ld, 10 + n1 + 2 * n2 + 3 * n3 as ed from {b_program})"""
+_LINES = """(select *, concat('file:', file_path) as path_id, 4 + n1 as la, 10 + n1 + 2 * n2 as ea, 11 + n1 + 2 * n2 as lb, 13 + n1 + 2 * n2 as eb, 14 + n1 + 2 * n2 as ld, 16 + n1 + 2 * n2 + 5 * n3 as ed from {b_program})"""
+#: A class's methods by number.
+_METHODS = f"""(select *, ld + 2 + 5 * i as lt from {_LINES}, (values (0), (1), (2), (3)) as numbers(i) where i < n3)"""
 
 
 def code(t: Tables):
-    return t.b_program.select("scan_id", "file_path", "k", "content")
+    # programs cost far more than reading them does: they are dealt evenly, whatever the files' row groups
+    return t.b_program.select("scan_id", "file_path", "k", "content").repartition("file_path")
 
 
 def _k(df):
     return df.withColumn("k", F.regexp_extract("file_path", r"(\d+)\.ts$", 1).cast("long"))
 
 
-@_r.add("extract_functions", f"""select k, a as name, la as line, ea as end_line, exported as is_exported, is_async, least(h, o) || ',' || greatest(h, o) as refs, p || ',' || q as params from {_LINES}
- union all select k, b, lb, eb, false, false, u, r from {_LINES}""")
+def _refs():
+    return F.array_join(F.array_sort("references"), ",").alias("refs")
+
+
+def _names(c):
+    return F.array_join(F.transform(c, lambda p: p["name"]), ",")
+
+
+@_r.add("extract_functions", f"""select k, a as name, la as line, ea as end_line, true as is_exported, is_async, least(h, o) || ',' || greatest(h, o) as refs, p || ',' || q as params from {_LINES}
+ union all select k, b, lb, eb, true, false, u, r from {_LINES} union all select k, b || '2', eb, eb, false, false, '', r from {_LINES}""")
 def _(t: Tables):
     f = X.extract_functions(code(t))
-    names = F.array_join(F.transform("params", lambda p: p["name"]), ",")
-    return _k(f).select("k", "name", "line", "end_line", "is_exported", "is_async", F.array_join(F.array_sort("references"), ",").alias("refs"), names.alias("params"))
+    return _k(f).select("k", "name", "line", "end_line", "is_exported", "is_async", _refs(), _names("params").alias("params"))
 
 
-@_r.add("missing_types", "select k, a as name from {b_program} where not typed")
+@_r.add("extract_methods", f"""select k, path_id || ':class:' || d || ':' || cast(ld as varchar) as class_id, t as name, lt as line, lt + 4 as end_line, 'Promise<' || e || '>' as return_type, 'string' as first_type, true as is_static, true as is_async,
+ 'public' as visibility, least(a, h) || ',' || greatest(a, h) as refs, md5('static async ' || t || '(' || chr(10) || '    ' || p || ': string,' || chr(10) || '  ): Promise<' || e || '> ' || chr(123) || chr(10) || '    return ' || a || '(' || p || ', ' || chr(123) || ' ' || o || ': ' || h || ' ' || chr(125) || ');' || chr(10) || '  ' || chr(125)) as source_md5,
+ i + 1 as fn_ord from {_METHODS}""")
+def _(t: Tables):
+    m = _k(X.extract_methods(code(t)))
+    return m.select("k", F.col("parent_class_id").alias("class_id"), "name", "line", "end_line", "return_type", F.get("params", F.lit(0))["type"].alias("first_type"), "is_static", "is_async", "visibility", _refs(), F.md5("source").alias("source_md5"), "fn_ord")
+
+
+@_r.add("calls_of_programs", f"""select path_id || ':class:' || d || ':' || cast(ld as varchar) || ':method:' || t || ':' || cast(lt as varchar) as source_id, path_id || ':fn:' || a || ':' || cast(la as varchar) as target_id, 1::bigint as weight from {_METHODS}""")
+def _(t: Tables):
+    files = code(t)
+    functions = materialise(X.all_functions(files), "functions")  # joined three times
+    scope = t.spark.createDataFrame([], "scan_id string, file_id string, local_name string, target_file_id string, original_name string, is_default boolean")
+    return J.call_connections(functions, X.extract_exports(files), scope).select("source_id", "target_id", F.col("weight").cast("long").alias("weight"))
+
+
+@_r.add("missing_types", "select k, a as name from {b_program} where not typed union all select k, b || '2' from {b_program}")
 def _(t: Tables):
     return _k(H.missing_types(X.extract_functions(code(t)))).select("k", "name")
 
 
-@_r.add("extract_references", "select k, a as name, least(h, o) || ',' || greatest(h, o) as refs from {b_program} union all select k, b, u from {b_program}")
+@_r.add("extract_references", f"""select k, a as name, least(h, o) || ',' || greatest(h, o) as refs from {_LINES} union all select k, b, u from {_LINES} union all select k, b || '2', '' from {_LINES}
+ union all select k, t, least(a, h) || ',' || greatest(a, h) from {_METHODS}""")
 def _(t: Tables):
-    f = X.extract_functions(code(t))
-    own = F.concat(F.array("name"), F.transform("params", lambda p: p["name"]))
-    return _k(f).select("k", "name", F.array_join(F.array_sort(X.extract_references(F.col("source"), own)), ",").alias("refs"))
+    return _k(X.all_functions(code(t))).select("k", "name", _refs())
 
 
-@_r.add("extract_classes", f"""select k, d as name, ld as line, ed as end_line, true as is_exported, case when derived then w end as extends, e || ',' || f as implements, n3 as n_methods, s as properties from {_LINES}""")
+@_r.add("extract_classes", f"""select k, d as name, ld as line, ed as end_line, true as is_exported, case when derived then w end as extends, e || ',' || f as implements, n3 as n_methods, s as properties, 'private' as visibility from {_LINES}""")
 def _(t: Tables):
     c, _m = X.extract_classes(code(t))
     return _k(c).select("k", "name", "line", "end_line", "is_exported", "extends", F.array_join("implements", ",").alias("implements"), F.size("methods").alias("n_methods"),
-                        F.array_join(F.transform("properties", lambda p: p["name"]), ",").alias("properties"))
+                        _names("properties").alias("properties"), F.array_join(F.transform("properties", lambda p: p["visibility"]), ",").alias("visibility"))
 
 
 @_r.add("extract_exports", """select k, a as name, 'function' as kind, false as is_default, false as is_type_only from {b_program} where exported union all select k, d, 'class', false, false from {b_program}
  union all select k, v, 'type', false, true from {b_program} union all select k, b, 'reexport', false, false from {b_program} union all select k, a, 'reexport', false, false from {b_program}
- union all select k, '*', 'reexport', false, false from {b_program} where n1 > 1 union all select k, a, 'variable', true, false from {b_program}""")
+ union all select k, '*', 'reexport', false, false from {b_program} where n1 > 1 union all select k, a, 'function', true, false from {b_program}
+ union all select k, b, 'variable', false, false from {b_program} union all select k, q, 'class', false, false from {b_program}""")
 def _(t: Tables):
     return _k(X.extract_exports(code(t))).select("k", "name", "kind", "is_default", "is_type_only")
 
 
-@_r.add("extract_top_level_references", "select k, 'register,' || least(a, b) || ',' || greatest(a, b) as names from {b_program}")
+@_r.add("extract_top_level_references", "select k, 'register,' || b as names from {b_program}")
 def _(t: Tables):
-    files = code(t)
-    refs = X.extract_top_level_references(files, X.extract_functions(files), X.extract_classes(files)[0])
+    refs = X.extract_top_level_references(code(t))
     return _k(refs).select("k", F.array_join(F.array_sort("names"), ",").alias("names"))
 
 
-@_r.add("parse_file", "select file_path, 2 as functions, 1 as classes, len(string_split(content, chr(10)))::int as end_line from {b_program}")
+@_r.add("parse_file", "select file_path, 3 as functions, 1 as classes, len(string_split(content, chr(10)))::int as end_line from {b_program}")
 def _(t: Tables):
     return X.parse_file(code(t)).select("file_path", F.size("functions").alias("functions"), F.size("classes").alias("classes"), "end_line")
 
 
+@_r.add("file_rows", f"""select path_id as file_id, string_split(file_path, '/')[-1] as name, len(string_split(content, chr(10)))::int as end_line, path_id || ':class:' || d || ':' || cast(ld as varchar) as classes,
+ path_id || ':fn:' || a || ':' || cast(la as varchar) || ',' || path_id || ':fn:' || b || ':' || cast(lb as varchar) || ',' || path_id || ':fn:' || b || '2:' || cast(eb as varchar) as functions from {_LINES}""")
+def _(t: Tables):
+    files = code(t)
+    rows = X.file_rows(files, X.all_functions(files), X.extract_classes(files)[0])
+    return rows.select("file_id", "name", "end_line", F.array_join("classes", ",").alias("classes"), F.array_join("functions", ",").alias("functions"))
+
+
 _OPEN = """(select k, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) as line from {b_markup})"""
 DEPTH = f"select k, line::int as line, sum(len(text) - len(replace(text, '{{{{', '')) - len(text) + len(replace(text, '}}}}', ''))) over (partition by k order by line)::bigint as depth from {_OPEN}"
 
@@ -461,5 +495,6 @@ def _(t: Tables):
 
 @_r.add("deep_nesting", "select scan_id, file_id, depth from (select scan_id, file_id, greatest(1 + n2, case when n3 > 0 then 2 else 1 end)::bigint as depth from {b_program}) where depth > 1")
 def _(t: Tables):
-    lines = X.lines_with_depth(code(t)).join(t.b_program.select("file_path", "file_id"), "file_path")
+    bare = X.lexed(code(t)).withColumn("content", F.col("code"))
+    lines = X.lines_with_depth(bare).join(t.b_program.select("file_path", "file_id"), "file_path")
     return H.deep_nesting(lines, 1)

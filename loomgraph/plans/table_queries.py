@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import last_segment
 from ..functions.scalars import content_hash, finding_identity
 from ..operators import enrich as E
 from ..operators import extract as X
@@ -573,12 +572,3 @@ def _(t: Tables):
 def _(t: Tables):
     said = lambda n, s: t.b_functions.where(F.col("fn_ord") % n == 0).select("scan_id", "function_id", F.lit(s).alias("summary"))
     return H.summary_overrides(behavioral(t), said(5, "by hand"), said(3, "doc")).select("function_id", "summary", "summary_source")
-
-
-@_r.add("file_rows", "select file_id, string_split(file_path, '/')[-1] as name, len(string_split(content, chr(10)))::int as end_line from {b_code}")
-def _(t: Tables):
-    files = t.b_code.select("scan_id", "file_path", "content", "file_id")
-    none = functions_with_code(t).limit(0).withColumn("parent_file_id", F.col("function_id"))
-    no_class = none.select("scan_id", F.col("function_id").alias("class_id"), "parent_file_id", F.col("fn_ord").alias("cls_ord"))
-    rows = X.file_rows(files, none, no_class).join(files.select("file_path", F.col("file_id").alias("fid")), "file_path")
-    return rows.select(F.col("fid").alias("file_id"), last_segment(F.col("file_path")).alias("name"), "end_line")
