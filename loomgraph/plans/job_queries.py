@@ -68,14 +68,20 @@ def _(t: Tables):
     return R.parse_scans(documents).where("error is null").select(F.col("scan.id").alias("scan_id"), F.size("scan.nodes").cast("long").alias("nodes"))
 
 
-@_r.add("write_scan", "select source as scan_id, doc_id as node_id, n_chars as size from {documents} where source <> 'src1' union all select source, doc_id, n_chars + 1 from {documents} where source = 'src1'")
+@_r.add("write_scan", """select source as scan_id, doc_id as node_id, n_chars as size, 'node' as kind from {documents} where source not in ('src1', 'src2') union all select source, doc_id, n_chars + 1, 'node' from {documents} where source = 'src1'
+ union all select source, doc_id, n_chars, 'finding' from {documents} where source not in ('src1', 'src2', 'src3')""")
 def _(t: Tables):
-    """All scans, then one of them again with other sizes: it replaces itself alone."""
+    """All scans; then one of them again with other sizes, and one that has become empty: each replaces itself alone, and one
+    that is written again without findings keeps none."""
     path = shared_dir(t.spark, "scans")
     nodes = t.documents.select(F.col("source").alias("scan_id"), F.col("doc_id").alias("node_id"), F.col("n_chars").alias("size"))
-    R.write_scan({"nodes": nodes}, path)
-    R.write_scan({"nodes": nodes.where("scan_id = 'src1'").withColumn("size", F.col("size") + 1)}, path)
-    return t.spark.read.schema("node_id long, size " + nodes.schema["size"].dataType.simpleString() + ", scan_id string").parquet(f"{path}/nodes").select("scan_id", "node_id", "size")
+    of = lambda scan: nodes.where(F.col("scan_id") == scan)
+    R.write_scan({"nodes": nodes, "findings": nodes}, path)
+    R.write_scan({"nodes": of("src1").withColumn("size", F.col("size") + 1), "findings": nodes.limit(0)}, path)
+    R.write_scan({"nodes": nodes.limit(0), "findings": nodes.limit(0)}, path, of("src2").select("scan_id").distinct())
+    R.write_scan({"nodes": of("src3"), "findings": nodes.limit(0)}, path)
+    read = lambda table, kind: R.read_scan(t.spark, path, table).withColumn("kind", F.lit(kind)).select("scan_id", "node_id", "size", "kind")
+    return read("nodes", "node").unionByName(read("findings", "finding"))
 
 
 @_r.add("save_cache", f"select {_FID} as function_id, left(sha256(case when k % 4 = 0 then content || 'old' else content end), 16) as content_hash, 2 as version from {{b_code}} where k % 3 < 2")
@@ -134,9 +140,10 @@ def _(t: Tables):
 
 @_r.add("ingest_scans", "select parent_file_id as scan_id, function_id as node_id, name from {b_functions}")
 def _(t: Tables):
-    """The batch twin of the stream, given each document twice: a scan that comes again replaces itself."""
+    """The batch twin of the stream, given each document twice in a batch and half of them again: a scan that comes again
+    replaces itself, one that comes twice counts once."""
     path = shared_dir(t.spark, "ingested")
     documents = scan_documents(t).withColumn("batch", F.pmod(F.xxhash64("scan"), F.lit(2))).select("document", "batch")
-    for part in (documents, documents.where("batch = 1")):
+    for part in (documents.unionAll(documents), documents.where("batch = 1")):
         T.ingest_batch(part, path)
-    return t.spark.read.schema("node_id string, name string, scan_id string").parquet(f"{path}/nodes").select("scan_id", "node_id", "name")
+    return R.read_scan(t.spark, path, "nodes").select("scan_id", "node_id", "name")

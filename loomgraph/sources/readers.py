@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.rollup import ranked
+from .snapshots import commit, snapshot
+
 # What a scan reads and leaves out.
 SOURCE = r"\.(ts|tsx|js|jsx)$"
 SOURCE_SKIP = r"(^|/)(node_modules|dist|build|\.git|\.next|\.turbo|\.vercel|coverage)/|\.(test|spec)\.tsx?$|\.d\.ts$|\.min\.js$"
@@ -104,10 +108,22 @@ def explode_findings(scans: DataFrame) -> DataFrame:
     return rows.select("scan_id", "w.id", "w.category", "w.level", "w.title", F.col("w.affectedNodes").alias("affected_nodes"), "w.source", "w.confidence", "w.dismissible")
 
 
-def write_scan(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """Each table below path, one folder a scan; a scan that is written again replaces its own folders only."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").format(fmt).save(f"{path}/{name}")
+def write_scan(tables: dict[str, DataFrame], path: str, scans: DataFrame | None = None, token: str | None = None) -> None:
+    """The tables of scans below path as one commit: each scan replaces itself wholly (see `snapshots`).  scans: scan_id of
+    all that are written, those without rows in any table too."""
+    commit(tables, path, scans, token)
+
+
+def read_scan(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A table that write_scan wrote, as the last commit of each scan left it."""
+    return snapshot(spark, path, table)
+
+
+def last_of_scans(scans: DataFrame) -> DataFrame:
+    """One document of each scan id: the one that was completed, else made, last; documents without a scan fall away."""
+    order = [F.col("scan.completedAt").desc_nulls_last(), F.col("scan.createdAt").desc_nulls_last(), F.xxhash64("document")]
+    rows = scans.where("scan.id is not null").withColumn("_n", F.row_number().over(W.partitionBy("scan.id").orderBy(*order)))
+    return rows.where("_n = 1").drop("_n")
 
 
 def load_cache(cache: DataFrame) -> DataFrame:
@@ -130,10 +146,8 @@ def read_path_aliases(configs: DataFrame) -> DataFrame:
     rows = entry.select("scan_id", "file_path", "pos", F.col("e.key").alias("alias"), "folder", F.posexplode("e.value").alias("t_ord", "target"))
     rows = rows.withColumn("target", F.concat("folder", F.regexp_replace("target", r"^\./", "")))
     first = rows.groupBy("scan_id", "alias").agg(F.min(F.struct("file_path", "pos")).alias("first"))
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("scan_id").orderBy("first", F.col("file_path").desc(), "t_ord")
-    return rows.join(first, ["scan_id", "alias"]).select("scan_id", "alias", (F.row_number().over(order) - 1).alias("alias_ord"), "target")
+    numbered = ranked(rows.join(first, ["scan_id", "alias"]), ["scan_id"], [F.col("first").asc(), F.col("file_path").desc(), F.col("t_ord").asc()], "alias_ord")
+    return numbered.select("scan_id", "alias", (F.col("alias_ord") - 1).alias("alias_ord"), "target")
 
 
 def load_dismissed(stored: Column) -> Column:
