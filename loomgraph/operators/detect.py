@@ -13,7 +13,7 @@ from ..functions.scalars import cycle_is_runtime_harmless, finding_identity, is_
 from ..shared import materialise
 from ..sources.readers import read_non_ts_files, read_test_files
 from .extract import scan_imports
-from .graph import find_cycles, participating, reachable, scc
+from .graph import edge_cycles, find_cycles, participating, reachable, scc
 from .rollup import merge_import_maps
 
 LARGE_FILE_LINES = 500
@@ -83,27 +83,29 @@ def _cycle_findings(cycles: DataFrame, names: DataFrame, kind: str, confidence:
     return findings(named, "circular_dependency", F.lit("warning"), shown, F.col("cycle"), "graph", confidence)
 
 
-def _cycles(edges: DataFrame) -> DataFrame:
+def _cycles(edges: DataFrame, every_edge: bool = False) -> DataFrame:
     edges = materialise(edges.select("scan_id", "src", "dst"), "edges")
-    return find_cycles(edges, materialise(scc(participating(edges), edges), "components")).select("scan_id", "cycle")
+    found = edge_cycles if every_edge else find_cycles
+    return found(edges, materialise(scc(participating(edges), edges), "components")).select("scan_id", "cycle")
 
 
 def _edges_of(connections: DataFrame, kind: str) -> DataFrame:
     return connections.where(F.col("type") == kind).select("scan_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
 
 
-def file_cycles(connections: DataFrame, files: DataFrame, confidence: float = 0.7) -> DataFrame:
-    return _cycle_findings(_cycles(_edges_of(connections, "import")), files.select("scan_id", F.col("file_id").alias("node"), "name"), "dependency", confidence)
+def file_cycles(connections: DataFrame, files: DataFrame, confidence: float = 0.7, every_edge: bool = False) -> DataFrame:
+    """A finding for one cycle of each component; every_edge: for cycles that hold every circular edge."""
+    return _cycle_findings(_cycles(_edges_of(connections, "import"), every_edge), files.select("scan_id", F.col("file_id").alias("node"), "name"), "dependency", confidence)
 
 
-def function_cycles(connections: DataFrame, functions: DataFrame, confidence: float = 0.6) -> DataFrame:
-    return _cycle_findings(_cycles(_edges_of(connections, "function_call")), functions.select("scan_id", F.col("function_id").alias("node"), "name"), "call", confidence)
+def function_cycles(connections: DataFrame, functions: DataFrame, confidence: float = 0.6, every_edge: bool = False) -> DataFrame:
+    return _cycle_findings(_cycles(_edges_of(connections, "function_call"), every_edge), functions.select("scan_id", F.col("function_id").alias("node"), "name"), "call", confidence)
 
 
-def import_cycles_typed(edges: DataFrame, config: DetectionConfig = DetectionConfig()) -> DataFrame:
+def import_cycles_typed(edges: DataFrame, config: DetectionConfig = DetectionConfig(), every_edge: bool = False) -> DataFrame:
     """Cycles over all imports; one with a type-only edge between its members does no harm at run time.
-    edges: scan_id, src, dst, is_type_only."""
-    cycles = _cycles(edges)
+    edges: scan_id, src, dst, is_type_only; every_edge: see file_cycles."""
+    cycles = _cycles(edges, every_edge)
     hops = cycles.select("scan_id", "cycle", F.posexplode("cycle").alias("pos", "src"))
     hops = hops.withColumn("dst", F.element_at("cycle", (F.pmod(F.col("pos") + 1, F.size("cycle")) + 1).cast("int")))
     typed = hops.join(edges.groupBy("scan_id", "src", "dst").agg(F.bool_and("is_type_only").alias("t")), ["scan_id", "src", "dst"])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..shared import materialise
 
 KEY = "scan_id"
-#: Nodes up to which a graph's closure by squaring is cheaper than rounds of colours.
-SMALL_CORE = 300
+#: Nodes up to which a graph's closure by squaring is cheaper than rounds of colours; and those of a scan among many.
+SMALL_CORE, SMALL_SCAN = 300, 64
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> Da
 
     nodes: scan_id, node; edges: scan_id, src, dst (those with an unknown end are dropped).  The component of a node with
     very many edges goes first, by what it reaches and what reaches it.  From the rest, nodes without edges in or out are
-    trimmed; a small rest is closed by squaring; else a round colours every node with the least node that reaches it, and
+    trimmed; a small rest, and each small scan, is closed by squaring; else a round colours every node with the least node that reaches it, and
     walks back from each colour's root; what the walk meets is the root's component.  All scans go through the rounds
     together.
     """
@@ -121,10 +121,16 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> Da
     done = _cut(_pivot_components(rest, hops))
     rest = _trimmed(_without(rest, done), trims)
     while not rest.isEmpty():
-        ends = participating(rest)
-        if ends.count() <= SMALL_CORE:
+        sizes = _cut(participating(rest).groupBy(KEY).agg(F.count("*").alias("n")))
+        if sizes.agg(F.sum("n")).first()[0] <= SMALL_CORE:
             done = done.unionByName(_cut(_closure_components(rest)))
             break
+        small = sizes.where(F.col("n") <= min(SMALL_SCAN, SMALL_CORE)).select(KEY)
+        if not small.isEmpty():  # work in proportion to their number
+            done = done.unionByName(_cut(_closure_components(rest.join(small, KEY, "left_semi"))))
+            rest = _cut(rest.join(small, KEY, "left_anti"))
+            continue
+        ends = participating(rest)
         colour = _spread_min(_cut(ends.withColumn("label", F.col("node"))), rest, hops)
         inside = rest.join(colour.select(KEY, F.col("node").alias("src"), F.col("label").alias("a")), [KEY, "src"])
         inside = inside.join(colour.select(KEY, F.col("node").alias("dst"), F.col("label").alias("b")), [KEY, "dst"]).where("a = b")
@@ -149,7 +155,7 @@ def circular_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 def find_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """scan_id, component, cycle: for each cyclic component, a shortest cycle through its least node, from that node (one
-    of a component; circular_edges marks all edges that lie on some cycle).
+    of a component; edge_cycles gives cycles that hold every circular edge).
 
     Breadth-first search from the roots, one array a reached node (the least path of its length); a component leaves the
     frontier when it is closed.
@@ -172,6 +178,48 @@ def find_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     return closed
 
 
+def _paths(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """scan_id, component, node, path: a shortest path from its component's root to each node (of several the one whose
+    beginning is least), by breadth-first search; roots: scan_id, component, node, path."""
+    frontier = seen = roots
+    while not frontier.isEmpty():
+        step = frontier.withColumnRenamed("node", "src").join(edges, [KEY, "component", "src"])
+        new = step.groupBy(KEY, "component", F.col("dst").alias("node")).agg(F.min("path").alias("path")).join(seen.select(KEY, "component", "node"), [KEY, "component", "node"], "left_anti")
+        frontier = _cut(new.select(KEY, "component", "node", F.concat("path", F.array("node")).alias("path")))
+        seen = seen.unionByName(frontier)  # each part is a written table
+    return _cut(seen)
+
+
+def edge_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """scan_id, component, cycle: simple cycles, from their least node, in which every edge of a cyclic component lies.
+
+    An edge from u to v is closed by the way from v back to the component's root and on to u, along two trees of shortest
+    paths (into the root and out of it).  Where these two ways meet for the first time, seen from v, the first is left for
+    the second, so no node comes twice.  The same cycle found from several edges counts once; cycles of the same nodes in
+    another order stay apart, as they hold other edges.
+    """
+    cyclic = components.where("in_cycle").select(KEY, "node", "component")
+    inside = edges.select(KEY, "src", "dst").distinct().join(cyclic.withColumnRenamed("node", "src"), [KEY, "src"])
+    inside = _cut(inside.join(cyclic.select(KEY, F.col("node").alias("dst"), F.col("component").alias("c2")), [KEY, "dst"]).where("component = c2").select(KEY, "component", "src", "dst"))
+    roots = _cut(cyclic.where("node = component").select(KEY, "component", "node", F.array("node").alias("path")))
+    there = _paths(roots, inside).select(KEY, "component", F.col("node").alias("src"), F.col("path").alias("there"))
+    turned = inside.select(KEY, "component", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = _paths(roots, turned).select(KEY, "component", F.col("node").alias("dst"), F.reverse("path").alias("back"))
+    both = inside.join(there, [KEY, "component", "src"]).join(back, [KEY, "component", "dst"])
+    meet = F.get(F.array_intersect("back", "there"), F.lit(0))
+    both = both.withColumn("meet", meet)
+    way = F.concat(F.slice("back", F.lit(1), F.array_position("back", F.col("meet")).cast("int")), F.expr("slice(there, cast(array_position(there, meet) as int) + 1, size(there))"))
+    both = both.withColumn("way", way).withColumn("first", F.array_position("way", F.array_min("way")).cast("int"))
+    turned_to = F.concat(F.expr("slice(way, first, size(way))"), F.expr("slice(way, 1, first - 1)"))
+    return both.select(KEY, "component", turned_to.alias("cycle")).distinct()
+
+
+def hops_of(cycles: DataFrame) -> DataFrame:
+    """scan_id, src, dst: the edges of cycles, each once."""
+    rows = cycles.select(KEY, "cycle", F.posexplode("cycle").alias("pos", "src"))
+    return rows.select(KEY, "src", F.get("cycle", F.pmod(F.col("pos") + 1, F.size("cycle"))).alias("dst")).distinct()
+
+
 def participating(edges: DataFrame) -> DataFrame:
     return edges.select(KEY, F.col("src").alias("node")).unionByName(edges.select(KEY, F.col("dst").alias("node"))).distinct()
 

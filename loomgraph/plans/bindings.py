@@ -33,6 +33,15 @@ select 'corpus' as scan_id, concat(f.file_id, ':fn:s', cast(l_suppkey as string)
        min(l_linestatus) = 'O' as has_side_effects, min(l_suppkey) as fn_ord
 from {lineitem} join {b_files} f on f.k = l_partkey
 group by f.file_id, f.file_path, l_suppkey""",
+    # many scans of few files each: ten orders, their lines' suppliers call each other in turn
+    "b_scan_edges": """
+select distinct scan_id, concat(scan_id, '/', src) as src, concat(scan_id, '/', dst) as dst, flag
+from (select concat('r', cast(cast(floor(ok / 10) as int) as string)) as scan_id, case when src_s % 29 = 0 then 'src/index.ts' else concat('src/n', cast(src_s % 29 as string), '.ts') end as src,
+             case when dst_s % 29 = 0 then 'src/index.ts' else concat('src/n', cast(dst_s % 29 as string), '.ts') end as dst, min(flag) = 'A' as flag
+      from {b_hops} where dst_s is not null group by 1, 2, 3) e""",
+    "b_scan_files": """
+select scan_id, file_id, substring(file_id, length(scan_id) + 2) as file_path, concat('f', substring(file_id, length(scan_id) + 6)) as name
+from (select scan_id, src as file_id from {b_scan_edges} union select scan_id, dst from {b_scan_edges}) n""",
     "b_findings": """
 select 'corpus' as scan_id, 'corpus' as project, concat('w', cast(o_orderkey as string)) as id,
        case when o_orderstatus = 'P' then 'circular_dependency' when o_orderstatus = 'F' then 'large_file' else 'unused_export' end as category,
