@@ -12,8 +12,8 @@ from loomgraph.shared import materialise
 
 def random_edges(seed: int) -> list[tuple[str, str, str]]:
     rnd = random.Random(seed)
-    out = {(s, f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for s, n, m in (("a", 12, 16), ("b", 30, 60), ("c", 9, 6), ("d", 1, 1)) for _ in range(m)}
-    out |= {("ring", f"n{i:02d}", f"n{(i + 1) % 17:02d}") for i in range(17)} | {("ring", "n05", "n02")}
+    out = {(s, f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for s, n, m in (("a", 9, 14), ("c", 6, 5), ("d", 1, 1)) for _ in range(m)}
+    out |= {("ring", f"n{i:02d}", f"n{(i + 1) % 5:02d}") for i in range(5)} | {("ring", "n03", "n01")}
     return sorted(out)
 
 
@@ -24,7 +24,7 @@ def reach(edges):
     return found
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_every_circular_edge_lies_in_a_cycle(spark, seed):
     edges = random_edges(seed)
     df = materialise(spark.createDataFrame(edges, "scan_id string, src string, dst string"), "e")
@@ -44,7 +44,7 @@ def test_every_circular_edge_lies_in_a_cycle(spark, seed):
 def test_small_scans_are_closed_together(spark, monkeypatch):
     monkeypatch.setattr(G, "SMALL_CORE", 10)
     rnd = random.Random(8)
-    edges = sorted({(f"s{k}", f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for k in range(12) for _ in range(18)})
+    edges = sorted({(f"s{k}", f"n{rnd.randrange(14)}", f"n{rnd.randrange(14)}") for k in range(4) for _ in range(18)})
     df = materialise(spark.createDataFrame(edges, "scan_id string, src string, dst string"), "e")
     way = reach(edges)
     nodes = {(s, x) for s, a, b in edges for x in (a, b)}
