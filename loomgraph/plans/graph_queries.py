@@ -442,8 +442,9 @@ _METHODS = f"""(select *, ld + 2 + 5 * i as lt from {_LINES}, (values (0), (1),
 
 
 def code(t: Tables):
-    # programs cost far more than reading them does: they are dealt evenly, whatever the files' row groups
-    return t.b_program.select("scan_id", "file_path", "k", "content").repartition("file_path")
+    # programs cost far more than their bytes say: they are dealt evenly to all cores, whatever the files' row groups
+    tasks = max(t.spark.sparkContext.defaultParallelism, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return t.b_program.select("scan_id", "file_path", "k", "content").repartition(tasks, "file_path")
 
 
 def _k(df):
