@@ -17,8 +17,10 @@ through one.  Two lookaheads say when:
   `lookahead` bytes or more before the end of what was read leave.
 
 So a transducer's state (`kept` characters, or a PieceTransducer's bytes) is bounded, however long a text or a piece of
-it is.  Batched form: the transducers of many texts take a chunk each in one step, and the words that they settle in it
-are merged together; words that come again are remembered in a table of bounded size.
+it is.  Chunks are of CHUNK characters for every text, so all texts but the shortest leave most of their ids before their
+end is read, and a piece that is still open after a chunk goes by the merge list's lookahead.  Batched form: the
+transducers of many texts take a chunk each in one step, and the words that they settle in it are merged together; words
+that come again are remembered in tables of bounded size.
 
 Decoding is a state machine over ids: bytes of ids in, characters out, with the bytes of an unfinished character as
 its state; malformed bytes become U+FFFD as in the tokenizers library.
@@ -49,7 +51,9 @@ _S = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_S}\p{{L}}\p{{N}}]+", rf"[{_S}]+")]
 #: Characters of a chunk; bytes of a word, and pieces, up to which they are remembered.
-CHUNK, MEMO_BYTES, MEMO_PIECES = 1 << 16, 400, 200_000
+CHUNK, MEMO_BYTES, MEMO_PIECES = 2048, 400, 200_000
+#: Words of a step from which on they are remembered in the large table, which is dear to add to.
+MANY_WORDS = 10_000
 #: Only spaces part words here; bytes after a space that make a text hard.
 SPACE_ONLY = np.full(256, LETTER, np.uint8)
 SPACE_ONLY[32] = SPACE
@@ -239,10 +243,10 @@ class Transducer:
         self.run = None
 
     def push(self, chunk: str) -> list[int]:
-        return self.encoder.step([self], [chunk], False)[0].tolist()
+        return self.encoder.step([self], [chunk], [False])[0].tolist()
 
     def end(self) -> list[int]:
-        return self.encoder.step([self], [""], True)[0].tolist()
+        return self.encoder.step([self], [""], [True])[0].tolist()
 
 
 class Encoder:
@@ -252,11 +256,13 @@ class Encoder:
         self.table = table
         #: ids of a word with the space before it
         self.words = IdTable()
+        self.few_words = IdTable(50_000)
         self.memo: dict[str, list[int]] = {}
         self.special = [s.encode() for s in table.special]
 
-    def step(self, streams: list[Transducer], chunks: list[str], last: bool) -> list[np.ndarray]:
+    def step(self, streams: list[Transducer], chunks: list[str], ends: list[bool]) -> list[np.ndarray]:
         """Each transducer reads its chunk (the last one of its text or not): the ids that became stable."""
+        last = np.array(ends, bool)
         held = pa.array([t.kept + c for t, c in zip(streams, chunks, strict=True)], pa.large_string())
         runs = Runs(held, SPACE_ONLY)
         hard = self._hard(runs, np.array([t.begun for t in streams]))
@@ -266,30 +272,30 @@ class Encoder:
         # the settled words of plain texts: all but the last one, which may grow
         size = np.diff(runs.of)
         take = np.ones(len(runs.start), bool)
-        if not last:
-            take[runs.of[1:][size > 0] - 1] = False
+        take[runs.of[1:][(size > 0) & ~last] - 1] = False
         take[np.repeat(hard, size)] = False
         first = runs.of[:-1][(size > 0) & ~hard & ~np.array([t.begun for t in streams])]
         head = first[take[first]]  # words without a space before them
         take[head] = False
         at = np.flatnonzero(take)
         sizes = np.zeros(len(runs.start), np.int64)
-        flat, sizes[at] = self.words.ids(runs.raw, runs.start[at], runs.end[at], runs.hash[at], lambda x: self._new_words(runs, at[x]))
-        ends = np.append(0, np.cumsum(sizes))
+        known = self.words if len(at) >= MANY_WORDS else self.few_words
+        flat, sizes[at] = known.ids(runs.raw, runs.start[at], runs.end[at], runs.hash[at], lambda x: self._new_words(runs, at[x]))
+        upto = np.append(0, np.cumsum(sizes))
         heads = set(head.tolist())
         out = []
         for i, ((a, b), t) in enumerate(zip(runs, streams, strict=True)):
             if hard[i]:
                 text = held[i].as_py()
-                found = [x for ids in self._pieces(t, text, last) for x in ids]
+                found = [x for ids in self._pieces(t, text, ends[i]) for x in ids]
                 out.append(np.array(found, np.int32))
                 t.begun |= bool(text) and len(t.kept) < len(text)
                 continue
-            ids = flat[ends[a] : ends[b]]
+            ids = flat[upto[a] : upto[b]]
             if a < b and a in heads:
                 ids = np.concatenate([np.array(self._head(runs.raw[runs.start[a] : runs.end[a]].tobytes().decode("utf-8")), np.int32), ids])
-            if last or a == b:
-                t.kept = "" if last else held[i].as_py()
+            if ends[i] or a == b:
+                t.kept = "" if ends[i] else held[i].as_py()
             else:
                 space = t.begun or b - a > 1
                 t.kept = (" " if space else "") + runs.raw[runs.start[b - 1] : runs.end[b - 1]].tobytes().decode("utf-8")
@@ -376,17 +382,28 @@ class Encoder:
             at = m.end()
         return [*out, (text[at:], None)]
 
-    def encode_column(self, texts: pa.Array) -> Iterator[Iterable[np.ndarray]]:
-        """For each text, its ids in parts.  A text longer than a chunk is read when its parts are."""
+    def encode_column(self, texts: pa.Array) -> Iterator[list[np.ndarray] | Iterator[np.ndarray]]:
+        """For each text, its ids in parts, one for each chunk.  Texts of a run are read together; one that fills a run
+        by itself, or holds special tokens, is read when its parts are."""
         for some in take_runs(texts):
             rows = [x or "" for x in some.to_pylist()]
             raw = utf8(some)[0].tobytes()
             marked = any(s in raw for s in self.special)
-            alone = [len(x) > CHUNK or marked and any(s in x for s in self.table.special) for x in rows]
-            short = [x for x, a in zip(rows, alone, strict=True) if not a]
-            found = iter(self.step([Transducer(self) for _ in short], short, True))
+            alone = [len(rows) == 1 or marked and any(s in x for s in self.table.special) for x in rows]
+            found = iter(self._together([x for x, a in zip(rows, alone, strict=True) if not a]))
             for x, a in zip(rows, alone, strict=True):
-                yield self.parts(x) if a else (next(found),)
+                yield self.parts(x) if a else next(found)
+
+    def _together(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """Parts of each text; in each step all texts that go on read a chunk."""
+        streams, parts = [Transducer(self) for _ in texts], [[] for _ in texts]
+        live, at = list(range(len(texts))), 0
+        while live:
+            ends = [at + CHUNK >= len(texts[i]) for i in live]
+            for i, ids in zip(live, self.step([streams[i] for i in live], [texts[i][at : at + CHUNK] for i in live], ends), strict=True):
+                parts[i].append(ids)
+            live, at = [i for i, end in zip(live, ends, strict=True) if not end], at + CHUNK
+        return parts
 
     def parts(self, text: str | None) -> Iterator[np.ndarray]:
         """The ids of one text, chunk by chunk."""
@@ -394,7 +411,7 @@ class Encoder:
         for segment, special in self._segments(text) if any(s in text for s in self.table.special) else [(text, None)]:
             t = Transducer(self)
             for at in range(0, len(segment), CHUNK):
-                yield self.step([t], [segment[at : at + CHUNK]], at + CHUNK >= len(segment))[0]
+                yield self.step([t], [segment[at : at + CHUNK]], [at + CHUNK >= len(segment)])[0]
             if special is not None:
                 yield np.array([special], np.int32)
 
@@ -449,12 +466,16 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return map_rows(rows, "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), per_task, 200)
 
 
-_DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_DIGEST = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    + [("n_steps", pa.int64()), ("n_early", pa.int64())]
+)
 
 
-def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", steps: bool = False) -> DataFrame:
     """Encode and decode each whole text in one pass that keeps neither ids nor text: doc_id, n_tokens, ids_sha256
-    (decimal ids joined by commas), decoded_sha256 (the decoded text in UTF-8)."""
+    (decimal ids joined by commas), decoded_sha256 (the decoded text in UTF-8); with steps also n_steps (chunks
+    that the transducer read) and n_early (ids that left before the last of them)."""
 
     def per_task():
         table = MergeTable(tokenizer_path)
@@ -463,17 +484,20 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         def each(batch):
             for d, parts in zip(batch.column(0).to_pylist(), encoder.encode_column(batch.column(1)), strict=True):
-                decoder, digest, decoded, n = Decoder(table), hashlib.sha256(), hashlib.sha256(), 0
+                decoder, digest, decoded = Decoder(table), hashlib.sha256(), hashlib.sha256()
+                n = read = early = 0
                 for part in parts:
+                    read, early = read + 1, n
                     for at in range(0, len(part), 8192):
                         ids = part[at : at + 8192].tolist()
                         digest.update(b"," * bool(n) + b",".join(map(decimal.__getitem__, ids)))
                         decoded.update(decoder.push(ids).encode())
                         n += len(ids)
                 decoded.update(decoder.end().encode())
-                yield d, n, digest.hexdigest(), decoded.hexdigest()
+                yield d, n, digest.hexdigest(), decoded.hexdigest(), read, early
 
         return each
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _DIGEST, per_task)
+    found = map_rows(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_steps long, n_early long", _DIGEST, per_task)
+    return found if steps else found.drop("n_steps", "n_early")

@@ -96,6 +96,43 @@ def test_every_text_goes_through_a_transducer(monkeypatch):
     assert len(made) >= 4 and sum(t.pushes for t in made) >= 1 + 1 + 4 + 9
 
 
+def test_query_reads_in_chunks_and_lets_ids_go_early(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").join(QUERIES["op2_bpe"](spark, SF), "doc_id").collect()
+    assert bpe.CHUNK <= 4096 and all(r.n_steps == max(1, -(-len(r.text or "") // bpe.CHUNK)) for r in rows)
+    long = [r for r in rows if r.n_steps > 1]
+    assert len(long) > len(rows) // 3
+    for r in long:  # all but the last chunk's ids and what an open piece may hold back leave before the end
+        assert r.n_early > 0 and r.n_tokens - r.n_early <= bpe.CHUNK + 1024
+    assert sum(r.n_early for r in long) > sum(r.n_tokens for r in rows) / 3
+
+
+def test_state_is_bounded_at_production_constants(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, pushed, most = tokenizer_path("byte_bpe_50k.json"), [], [0]
+    push, step = bpe.PieceTransducer.push, bpe.Encoder.step
+
+    def counted_push(self, data):
+        pushed.append(len(data))
+        return push(self, data)
+
+    def watched_step(self, streams, chunks, ends):
+        out = step(self, streams, chunks, ends)
+        most[0] = max([most[0], *(len(t.kept) + len(t.long.pending if t.long else b"") for t in streams)])
+        return out
+
+    monkeypatch.setattr(bpe.PieceTransducer, "push", counted_push)
+    monkeypatch.setattr(bpe.Encoder, "step", watched_step)
+    table = bpe.MergeTable(path)
+    library, encoder, rnd = Tokenizer.from_file(path), bpe.Encoder(table), random.Random(8)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).collect()]
+    texts += ["".join(rnd.choice("abcdefgh") for _ in range(60_000)), " " * 9_000 + "x", "é" * 7_000 + " and 5" + "7" * 5_000, "=-" * 20_000]
+    got = [[i for part in parts for i in part.tolist()] for parts in encoder.encode_column(pa.array(texts))]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(pushed) >= 60 and max(pushed) <= 8 * bpe.CHUNK
+    assert most[0] <= 2 * bpe.CHUNK + table.lookahead + 4096
+
+
 def test_pushes_give_ids_before_the_end_and_keep_little():
     encoder = bpe.Encoder(bpe.MergeTable(tokenizer_path("byte_bpe_50k.json")))
     text = "some words that come one after the other, don't they?  " * 40
