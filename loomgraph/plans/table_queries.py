@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_hash, finding_identity
+from ..operators import clones as C
 from ..operators import enrich as E
 from ..operators import extract as X
 from ..operators import history as H
@@ -562,6 +563,29 @@ def _(t: Tables):
     return H.duplicate_code(functions_with_code(t))
 
 
+_RESERVED = ", ".join(f"'{w}'" for w in C.RESERVED)
+_MASK = f"case when regexp_matches(x, '^[\\p{{{{L}}}}_$]') and x not in ({_RESERVED}) then {{}} when regexp_matches(x, '^\\p{{{{N}}}}') then '0' else x end"
+_TOKENS = "regexp_extract_all({}, '" + C.TOKEN.replace("{", "{{").replace("}", "}}") + "')"
+
+
+@_r.add("renamed_copies", f"""with f as (select {_FID} as function_id, content as code from {{b_code}} union all select {_FID} || ':r', replace(content, 'e', 'ee') from {{b_code}} where k % 3 = 0),
+ x as (select function_id, code, {_TOKENS.format("code")} as t from f), s as (select function_id, sha256(code) as text, sha256(array_to_string(list_transform(t, lambda x: {_MASK.format("'#' || list_position(t, x)")}), ' ')) as shape_hash from x where len(t) >= 10)
+ select shape_hash, count(*) as copies, count(distinct text) as texts, min(function_id) as first_id from s group by 1 having count(*) > 1""")
+def _(t: Tables):
+    """Every third text comes a second time with other names."""
+    own = t.b_code.select(F.concat("file_id", F.lit(":fn:"), "name", F.lit(":1")).alias("function_id"), F.col("content").alias("code"), "k")
+    again = own.where("k % 3 = 0").select(F.concat("function_id", F.lit(":r")).alias("function_id"), F.replace("code", F.lit("e"), F.lit("ee")).alias("code"))
+    return C.renamed_copies(own.drop("k").unionByName(again))
+
+
+@_r.add("copied_stretches", f"""with x as (select file_id as function_id, list_transform({_TOKENS.format("content")}, lambda x: {_MASK.format("'i'")}) as t from {{b_markup}}),
+ p as (select function_id, t, unnest(range(0, len(t) - 49)) as s from x where len(t) >= 50), w as (select function_id, s, array_to_string(t[s + 1:s + 50], ' ') as d from p),
+ h as (select function_id, s from w where d in (select d from w group by d having count(*) > 1)), c as (select function_id, least(50, coalesce(lead(s) over (partition by function_id order by s) - s, 50)) as n from h)
+ select x.function_id, len(x.t)::bigint as n_tokens, coalesce((select sum(n) from c where c.function_id = x.function_id), 0)::bigint as n_copied from x where len(x.t) >= 50""")
+def _(t: Tables):
+    return C.copied_stretches(t.b_markup.select(F.col("file_id").alias("function_id"), F.col("content").alias("code")))
+
+
 @_r.add("filter_chips", "select function_id from {b_functions} where has_behavioral and (database_read or http_call)")
 def _(t: Tables):
     return H.filter_chips(behavioral(t), "databaseRead", "httpCall").select("function_id")
