@@ -138,6 +138,13 @@ def _(t: Tables):
     return E.analyze_behavior(functions_with_code(t), cache(t), provider).select("function_id", "summary", F.col("flags.httpCall").alias("http_call"))
 
 
+@_r.add("analysis_failures", f"""select 'corpus' as scan_id, case when name like '%7' then 'RuntimeError: no answer' else '{E.NO_SUMMARY}' end as error, count(*) as functions, min({_FID}) as first_id
+ from {{b_code}} where content <> '' and (name like '%7' or name like '%8') group by 2""")
+def _(t: Tables):
+    provider = E.Provider("answers", "m1", describe=_answer)
+    return E.failures(E.attempts(functions_with_code(t), cache(t), provider))
+
+
 @_r.add("ingest_scans", "select parent_file_id as scan_id, function_id as node_id, name from {b_functions}")
 def _(t: Tables):
     """The batch twin of the stream, given each document twice in a batch and half of them again: a scan that comes again

@@ -73,6 +73,21 @@ def test_provider_failure_leaves_a_function_out(spark):
     assert sorted(r.summary for r in out.collect()) == ["pureAdd", "readUser", "writeUser"]
 
 
+def test_attempts_say_why(spark):
+    def describe(name, code, path):
+        if name == "callApi":
+            raise ValueError("no answer " + "x" * 900)
+        return {"pureAdd": "no json", "readUser": None}.get(name, json.dumps({"summary": name}))
+
+    tried = E.attempts(functions(spark), spark.createDataFrame([], CACHE), E.Provider("own", "m", describe, 2)).collect()
+    errors = {r.function_id: r.error for r in tried}
+    assert errors["writeUser"] is None and errors["pureAdd"] == errors["readUser"] == E.NO_SUMMARY
+    assert errors["callApi"].startswith("ValueError: no answer") and len(errors["callApi"]) == E.ERROR_CHARS
+    counts = {r.error[:5]: (r.functions, r.first_id) for r in E.failures(spark.createDataFrame(tried, E.attempts(functions(spark), spark.createDataFrame([], CACHE)).schema)).collect()}
+    assert counts == {"Value": (1, "callApi"), E.NO_SUMMARY[:5]: (2, "pureAdd")}
+    assert E.attempts(functions(spark).limit(0), spark.createDataFrame([], CACHE), E.Provider("own", "m", describe)).count() == 0
+
+
 @pytest.mark.parametrize("files, size, limit, expected", [(2, 75, 1000, "ok"), (1, 500, 100, "too_large"), (5, 1, 1000, "too_many_files")])
 def test_repo_limits(spark, files, size, limit, expected):
     listing = spark.createDataFrame([("s", f"{i}.ts", size) for i in range(files)], "scan_id string, file_path string, size_bytes long")
