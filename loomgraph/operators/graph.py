@@ -11,6 +11,8 @@ from ..shared import materialise
 KEY = "scan_id"
 #: Nodes up to which a graph's closure by squaring is cheaper than rounds of colours; and those of a scan among many.
 SMALL_CORE, SMALL_SCAN = 300, 64
+#: Edges of one node that a task may hold; those of a node with more are dealt to several parts.
+HUB = 1_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -22,6 +24,33 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+class Dealt:
+    """Edges (scan_id, src, dst) for joins on src.  The edges of a hub are dealt to parts of about HUB edges by their other
+    end, and what is joined to them comes once for each part (a vertex cut); where no node has so many, nothing changes.
+    Hubs are fewer than edges / HUB."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges, self.hubs = edges, None
+        if edges.count() > HUB:
+            hubs = edges.groupBy(KEY, "src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+            self.hubs = _cut(hubs)
+            if self.hubs.isEmpty():
+                self.hubs = None
+        if self.hubs is not None:
+            part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+            self.edges = _cut(edges.join(self.hubs, [KEY, "src"], "left").select(*edges.columns, part.alias("part")))
+
+    def join(self, rows: DataFrame, how: str = "inner") -> DataFrame:
+        """rows (scan_id, src, ...) joined with the edges from there; left_semi: the edges whose src is among rows."""
+        on, edges = [KEY, "src"], self.edges
+        if self.hubs is not None:
+            parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+            rows = rows.join(self.hubs, on, "left").withColumn("part", parts).drop("parts")
+            on = [*on, "part"]
+        out = edges.join(rows.select(on), on, "left_semi") if how == "left_semi" else rows.join(edges, on)
+        return out.drop("part")
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
     """scan_id, node: seeds (scan_id, node) and all that edges (scan_id, src, dst) lead to; `hops` joins between checks."""
     return _spread(_cut(seeds.select(KEY, "node").distinct()), _cut(edges.select(KEY, "src", "dst").distinct()), hops)
@@ -29,11 +58,11 @@ def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
 
 def _spread(found: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """reachable() over written tables without repeated rows."""
-    frontier = found
+    frontier, dealt = found, Dealt(edges)
     while not frontier.isEmpty():
         step, new = frontier, None
         for _ in range(hops):
-            step = step.withColumnRenamed("node", "src").join(edges, [KEY, "src"]).select(KEY, F.col("dst").alias("node")).distinct()
+            step = dealt.join(step.withColumnRenamed("node", "src")).select(KEY, F.col("dst").alias("node")).distinct()
             new = step if new is None else new.unionByName(step)
         frontier = _cut(new.distinct().join(found, [KEY, "node"], "left_anti"))
         found = found.unionByName(frontier)  # each part is a written table
@@ -63,10 +92,11 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _spread_min(labels: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Least label that reaches each node along edges, to the fixpoint; labels: scan_id, node, label."""
+    dealt = Dealt(edges)
     while True:
         now = labels
         for _ in range(hops):
-            came = now.withColumnRenamed("node", "src").join(edges, [KEY, "src"]).select(KEY, F.col("dst").alias("node"), "label")
+            came = dealt.join(now.withColumnRenamed("node", "src")).select(KEY, F.col("dst").alias("node"), "label")
             now = now.unionByName(came).groupBy(KEY, "node").agg(F.min("label").alias("label"))
         now = _cut(now)
         moved = now.join(labels.withColumnRenamed("label", "old"), [KEY, "node"]).where("label <> old")
@@ -83,7 +113,11 @@ def _trimmed(edges: DataFrame, trims: int) -> DataFrame:
         now = edges
         for _ in range(trims):
             into, out = now.select(KEY, F.col("dst").alias("src")).distinct(), now.select(KEY, F.col("src").alias("dst")).distinct()
-            now = now.join(into, [KEY, "src"], "left_semi").join(out, [KEY, "dst"], "left_semi")
+            if left > HUB:  # each step from written tables: a hub's edges go in parts from either end
+                entered = _cut(Dealt(now).join(into, "left_semi").select(KEY, "src", "dst"))
+                now = _cut(_turned(Dealt(_turned(entered)).join(out.withColumnRenamed("dst", "src"), "left_semi")))
+            else:
+                now = now.join(into, [KEY, "src"], "left_semi").join(out, [KEY, "dst"], "left_semi")
         edges = _cut(now.select(KEY, "src", "dst"))
         before, left = left, edges.count()
         if left > 0.9 * before:
@@ -111,7 +145,7 @@ def scc(nodes: DataFrame, edges: DataFrame, hops: int = 4, trims: int = 4) -> Da
     walks back from each colour's root; what the walk meets is the root's component.  All scans go through the rounds
     together.
     """
-    nodes = nodes.select(KEY, "node").distinct()
+    nodes = _cut(nodes.select(KEY, "node").distinct())  # a written side: adaptive execution splits the joins for a hub
     known = edges.select(KEY, "src", "dst").distinct()
     for end in ("src", "dst"):
         known = known.join(nodes.withColumnRenamed("node", end), [KEY, end], "left_semi")

@@ -55,3 +55,27 @@ def test_small_scans_are_closed_together(spark, monkeypatch):
 def test_no_edges(spark):
     df = spark.createDataFrame([], "scan_id string, src string, dst string")
     assert G.edge_cycles(df, G.scc(G.participating(df), df)).count() == 0
+
+
+def test_hubs_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "HUB", 40)
+    monkeypatch.setattr(G, "SMALL_CORE", 10)
+    rnd = random.Random(4)
+    out = [("s", "hub", f"n{i:03d}") for i in range(300)] + [("s", f"n{i:03d}", "sink") for i in range(200, 290)]
+    out += [("s", f"n{i:03d}", "hub") for i in range(0, 120, 3)] + [("s", f"n{i:03d}", f"n{rnd.randrange(i, 300):03d}") for i in range(150, 300)]
+    out += [("s", f"m{i}", f"m{(i + 1) % 15}") for i in range(15)] + [("t", "hub", "x"), ("t", "x", "hub")]
+    edges = sorted(set(out))
+    df = materialise(spark.createDataFrame(edges, "scan_id string, src string, dst string"), "e")
+    dealt = G.Dealt(df)
+    sizes = {(r.src, r.part): r["count"] for r in dealt.edges.groupBy("scan_id", "src", "part").count().collect()}
+    assert len([1 for s, _ in sizes if s == "hub"]) >= 8 and max(sizes.values()) <= 2 * G.HUB
+    ends = spark.createDataFrame([("s", "hub"), ("s", "n201"), ("t", "x")], "scan_id string, src string")
+    assert sorted(map(tuple, dealt.join(ends).select("scan_id", "src", "dst").collect())) == [e for e in edges if e[:2] in {("s", "hub"), ("s", "n201"), ("t", "x")}]
+    assert dealt.join(ends.where("src = 'hub'"), "left_semi").count() == 300
+    full = reach(edges)
+    nodes = {(s, x) for s, a, b in edges for x in (a, b)}
+    want = {(s, x): min([x, *(b for t, a, b in full if (t, a) == (s, x) and (s, b, x) in full)]) for s, x in nodes}
+    rows = G.scc(spark.createDataFrame(sorted(nodes), "scan_id string, node string"), df, hops=2, trims=2).collect()
+    assert {(r.scan_id, r.node): r.component for r in rows} == want
+    found = G.reachable(spark.createDataFrame([("s", "n150")], "scan_id string, node string"), df).collect()
+    assert {r.node for r in found} == {"n150"} | {b for t, a, b in full if (t, a) == ("s", "n150")}
