@@ -49,7 +49,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     else:
         both = links
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    tied = both.join(least, "u")
+    tied = both.join(materialise(least, "least"), "u")  # written, so that the join can split a node of many links
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -63,7 +63,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Tasks first reduce LINKS_PER_TASK links each to stars.  When one task was enough these are the components; else
     alternating large and small stars join them: the number of links never grows, and each round is two joins whose
-    keys are nodes, so a node of many links is split by adaptive execution.  Each round is written to the shared folder.
+    keys are nodes.  Both sides of each join come from the shared folder by shuffles of their own, so adaptive execution
+    splits a node of very many links.  Each round is written there.
     Null ends are ignored; an empty table gives an empty table.
     """
     ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -44,6 +44,8 @@ WINDOW = 8
 FIRST_TREES = 3
 #: Share of equal hashes below which a pair can't reach the threshold: this many standard deviations off.
 DEVIATIONS = 5.0
+#: Rows of the sorted orders for a task.
+ORDER_ROWS = 1_000_000
 #: Members of a crowded region that are compared in one task, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 1000, 32_000_000
 
@@ -105,8 +107,8 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(orders: DataFrame, partitions: int, threshold: float) -> DataFrame:
-    """a < b, tree: candidate pairs from each sorted order.  The orders are dealt by ranges of (tree, key), so a
-    crowded region is cut between its keys.  Pairs whose sketches differ in more bits than DEVIATIONS allow at the
+    """a < b, tree: candidate pairs from each sorted order.  The orders are dealt by ranges of (tree, key, cls), so a
+    crowded region is cut also inside one key.  Pairs whose sketches differ in more bits than DEVIATIONS allow at the
     threshold (a bit differs with probability (1 - similarity) / 2) leave at once."""
     differ = (1 - threshold) / 2
     most = int(HASHES * differ + DEVIATIONS * (HASHES * differ * (1 - differ)) ** 0.5)
@@ -130,7 +132,7 @@ def neighbours(orders: DataFrame, partitions: int, threshold: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(t)], schema=_PAIRS)
             kept = tree[-WINDOW:], prefix[-WINDOW:], sketch[-WINDOW:], cls[-WINDOW:]
 
-    dealt = orders.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key", "cls")
+    dealt = orders.repartitionByRange(partitions, "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls")
     return dealt.mapInArrow(pairs, "a long, b long, tree int")
 
 
@@ -225,11 +227,11 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs, k, lower, id_col, text_col), "signatures")
     keyed = signed.where("doc_id is not null and set_key is not null")
     one = keyed.groupBy("set_key").agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("c"))
     classes = materialise(one.select(F.col("c.doc_id").alias("cls"), "set_key", "c.signature", "c.sketch"), "classes")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * TREES // ORDER_ROWS))
     orders = forest(classes)
     pairs = neighbours(orders, partitions, threshold).groupBy("a", "b").agg(F.min("tree").alias("tree"))
     pairs = materialise(pairs, "pairs")
@@ -247,7 +249,7 @@ def near_duplicates(
     if not late.isEmpty():
         found = components(links.unionByName(late))
     # an identifier that stands for several sets (repeated rows) ties their classes together
-    own = signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    own = materialise(signed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if not own.isEmpty():
         twice = keyed.join(own, "doc_id").join(classes.select("set_key", "cls"), "set_key").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
         ends = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
