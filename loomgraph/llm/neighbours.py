@@ -12,9 +12,10 @@ the vectors of these cells are ranked by exact cosine.
 3. The share to visit is measured: PROBES query classes are held against all classes by brute force, and the least
    share that finds TARGET of their neighbours is taken (the data decide: without structure it is large).
 4. Queries and classes meet by bundles: small cells in a row are packed to about SLICE classes, larger ones are dealt to
-   several bundles.  A query goes to each bundle of its cells once, with the cells' numbers; queries of a bundle are
-   dealt to parts of about QUERIES, so no task holds more than a bundle and a part.  Scores are a matrix product, and
-   each query keeps its best few of its cells.
+   several bundles.  A query goes to each bundle of its cells once, with the cells' numbers; the queries of a bundle are
+   dealt to parts of about QUERIES, so no task holds more than a bundle and a part.  A bundle is sent once for each of
+   its parts and not at all where no query visits it, so copies are bounded by the bundles and a QUERIES-th of the
+   visits.  Scores are a matrix product, and each query keeps its best few of its cells.
 
 Edge cases: null vectors, zero vectors, vectors with null or non-finite components or of another length than most take
 no part, and null identifiers neither; of rows that repeat an identifier each counts; ties go to the smaller
@@ -185,31 +186,25 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, id_col: str = "vec_
 
     indexed = materialise(classes.mapInArrow(assign, "cls long, vector array<double>, ids array<long>, asks boolean, cell int"), "vector-index")
     sizes = np.zeros(len(index.books[0]) * len(index.books[1]), np.int64)
-    asked = 0
-    for r in indexed.groupBy("cell").agg(F.count("*"), F.count_if("asks")).collect():  # one row a cell
+    for r in indexed.groupBy("cell").count().collect():  # one row a cell
         sizes[r[0]] = r[1]
-        asked += r[2]
     share = tuned_share(indexed, index, sizes, n, target, padded)
-    bundles, most, parts = Bundles(sizes, SLICE), share * sizes.sum(), max(1, -(-asked // QUERIES))
+    bundles, most = Bundles(sizes, SLICE), share * sizes.sum()
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["q", "vector", "bundle", "part", "cells"]
         for b in batches:
             if not len(b):
                 continue
             d1, d2 = index.distances(padded(b.column(1)))
-            part = (mix64(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
-            at, bundle, cells = [], [], []
-            for i in range(len(b)):
+            q, bundle, cells = [], [], []
+            for i, cls in enumerate(b.column(0).to_pylist()):
                 for k, c in bundles.of_query(index.visited(d1[i], d2[i], sizes, most)).items():
-                    at.append(i)
+                    q.append(cls)
                     bundle.append(k)
                     cells.append(c)
-                if len(at) >= 5000 or i == len(b) - 1:
-                    t = b.take(pa.array(at, pa.int64()))
-                    columns = [t.column(0), t.column(1), pa.array(bundle, pa.int64()), pa.array(part[at].astype(np.int32), pa.int32()), pa.array(cells, pa.list_(pa.int32()))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-                    at, bundle, cells = [], [], []
+                if len(q) >= 5000 or i == len(b) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(bundle, pa.int64()), pa.array(cells, pa.list_(pa.int32()))], ["q", "bundle", "cells"])
+                    q, bundle, cells = [], [], []
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,9 +212,13 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, id_col: str = "vec_
                 own = bundles.of_classes(b.column(3).to_numpy(), b.column(0).to_numpy())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], [*b.schema.names, "bundle"])
 
-    questions = indexed.where("asks").select("cls", "vector").mapInArrow(visit, "q long, vector array<double>, bundle long, part int, cells array<int>")
+    asking = indexed.where("asks").select("cls", "vector")
+    visits = materialise(asking.mapInArrow(visit, "q long, bundle long, cells array<int>"), "vector-visits")
+    demand = materialise(visits.groupBy("bundle").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "vector-demand")
+    part = F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part")
+    questions = visits.join(demand, "bundle").select("q", "bundle", part, "cells").join(asking.withColumnRenamed("cls", "q"), "q")
     stored = indexed.select("cls", "vector", "ids", "cell").mapInArrow(place, "cls long, vector array<double>, ids array<long>, cell int, bundle long")
-    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    stored = stored.join(demand, "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def rank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, float]] = []
@@ -242,6 +241,7 @@ def nearest(vectors: DataFrame, n: int = 5, every: int = 50, id_col: str = "vec_
     # the best of a query class, then those of each of its queries without itself
     order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "score")))
     best = found.groupBy("q").agg(F.slice(order, 1, keep).alias("best"))
+    best = materialise(best, "vector-best")  # written, so that the join can split a vector of very many queries
     rows = vectors.select(F.col(id_col).cast("long").alias("query_id"), F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vector"))
     queries = rows.where(F.col("query_id") % every == 0).join(indexed.where("asks").select("cls", "vector"), "vector").select("query_id", F.col("cls").alias("q"))
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, n)
