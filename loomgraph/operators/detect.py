@@ -20,19 +20,30 @@ LARGE_FILE_LINES = 500
 EXPORT_LIKE, TYPE_LIKE = ("exports", "nsExports"), ("types", "nsTypes")
 
 # Where a project's entry files are, and what no check looks at.
-_CODE = "{js,mjs,cjs,jsx,ts,tsx,mts,cts}"
 ENTRY_GLOBS = (
-    f"{{index,cli,main}}.{_CODE}",
-    f"src/{{index,cli,main}}.{_CODE}",
-    f"**/scripts/**/*.{_CODE}",
+    "{index,cli,main}.{js,mjs,cjs,jsx,ts,tsx,mts,cts}",
+    "src/{index,cli,main}.{js,mjs,cjs,jsx,ts,tsx,mts,cts}",
+    "**/scripts/**/*.{js,mjs,cjs,jsx,ts,tsx,mts,cts}",
     "bin/**/*.{js,mjs,cjs,ts,mts,cts}",
     "*.config.{js,mjs,cjs,ts,mts,cts}",
     "**/*.config.{js,mjs,cjs,ts,mts,cts}",
 )
 TEST_GLOBS = ("**/*.{test,spec}.{js,jsx,ts,tsx,mjs,cjs,mts,cts}", "**/__tests__/**/*.{js,jsx,ts,tsx}")
-IGNORE_GLOBS = tuple(
-    f"**/{d}/**" for d in "node_modules dist build coverage .next .turbo generated __generated__ test-fixtures fixtures __mocks__ __fixtures__".split()
-) + ("**/*.d.ts",)
+IGNORE_GLOBS = (
+    "**/node_modules/**",
+    "**/dist/**",
+    "**/build/**",
+    "**/coverage/**",
+    "**/.next/**",
+    "**/.turbo/**",
+    "**/generated/**",
+    "**/__generated__/**",
+    "**/test-fixtures/**",
+    "**/fixtures/**",
+    "**/__mocks__/**",
+    "**/__fixtures__/**",
+    "**/*.d.ts",
+)
 
 
 @dataclass(frozen=True)
