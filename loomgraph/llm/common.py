@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import materialise, shared_dir  # noqa: F401  the operators take them from here
+from ..shared import bucketed, materialise, shared_dir  # noqa: F401  the operators take them from here
 
 #: Words are runs of anything but space and the control characters 9 to 13.
 WORD = re.compile("[^\x20\x09-\x0d]+")

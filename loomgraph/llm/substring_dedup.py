@@ -9,11 +9,12 @@ shards such that equal windows meet:
 
 1. Anchors.  Each window is named by its least hash of GRAM consecutive words (the first of equal ones), so equal
    windows have equal anchors and each window one anchor; one place in ten or so is an anchor.
-2. Anchors that occur once in the corpus can't name a repeated window; the others are joined back to their documents.
+2. Anchors that occur once in the corpus can't name a repeated window; the others are joined back to their texts, which
+   are written in buckets, equal ones once with their number, so that no later step shuffles texts.
 3. Passages.  The windows of one occurrence of an anchor are consecutive, and their words make a passage.  Equal
-   passages are counted and go on as one.  A shard holds all passages of its anchors, so equal windows meet in one
-   shard; anchors of more than CROWD different passages (a line that is in a third of all documents) are judged by
-   counts of ever smaller groups of their windows instead.
+   passages are counted by digests and go on as one, which takes its words from the text of one occurrence.  A shard
+   holds all passages of its anchors, so equal windows meet in one shard; anchors of more than CROWD different passages
+   (a line that is in a third of all documents) are judged by counts of ever smaller groups of their windows instead.
 4. A task reads its passages in the order of their anchors, SHARD_WORDS at a time (never parting an anchor), builds a
    suffix automaton with counts of occurrences and streams the passages through it.
 5. What it found goes back to the occurrences and the documents.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD_CLASS, Runs, batches_of, bounded_batches, gram_hashes, map_rows, materialise, take_runs
+from .common import SPACE, WORD_CLASS, Runs, batches_of, bounded_batches, bucketed, gram_hashes, map_rows, materialise, take_runs
 
 GRAM = 8
 SHARD_WORDS = 20_000
@@ -176,19 +177,23 @@ class Words:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, row: a 128-bit name of both; rows that repeat share it."""
+    """doc_id, text, row: a 128-bit name of the text; equal texts share it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("row", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))))
+    return rows.withColumn("row", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
 
 
 _SCANNED = pa.schema(
     [("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
 )
 _ANCHORED = pa.schema([*_SCANNED, ("anchors", pa.list_(pa.int64()))])
+_PLACES = pa.schema(
+    [("row", pa.binary()), ("copies", pa.int64()), ("anchor", pa.int64()), ("at", pa.int32()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("key", pa.binary())]
+)
 _PASSAGES = pa.schema(
-    [("row", pa.binary()), ("anchor", pa.int64()), ("at", pa.int32()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("key", pa.binary()), ("words", pa.binary())]
+    [("key", pa.binary()), ("anchor", pa.int64()), ("anchor_at", pa.int32()), ("n", pa.int32()), ("times", pa.int64()), ("words", pa.binary())]
 )
 _FLAGS = pa.schema([("key", pa.binary()), ("flags", pa.binary())])
+_CHANGED = pa.schema([("row", pa.binary()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 _RESULT = "doc_id long, row binary, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -212,13 +217,13 @@ def _scanned(rows: DataFrame, least: int, texts: bool) -> DataFrame:
     return map_rows(rows.select("doc_id", "text", "row"), _RESULT + ", anchors array<long>", _ANCHORED, per_task, 500)
 
 
-def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
-    """row, anchor, at (first word), anchor_at (of the anchor, from there), n (words), key (digest of the words), words
-    (joined by a space), for each passage of a repeated anchor; rows: row, text, anchors (the repeated ones)."""
+def _passage_rows(touched: DataFrame, least: int) -> DataFrame:
+    """row, copies, anchor, at (first word), anchor_at (of the anchor, from there), n (words), key (digest of the words
+    joined by a space), for each passage of a repeated anchor; touched: row, text, copies, anchors (the repeated ones)."""
 
     def per_task():
         def each(batch):
-            row, wanted, at = batch.column(0).to_pylist(), batch.column(2), 0
+            row, copies, wanted, at = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), 0
             for some in take_runs(batch.column(1)):
                 own = Words(some, least)
                 for a, b in own:
@@ -230,14 +235,37 @@ def _passage_rows(rows: DataFrame, least: int) -> DataFrame:
                     first, last = first[mine], last[mine]
                     n, begin, finish = last - first + least - 1, start[first], end[last + least - 2]
                     for anchor, x, p, k, i, j in zip(low[first].tolist(), first.tolist(), (place[first] - first).tolist(), n.tolist(), begin.tolist(), finish.tolist(), strict=True):
-                        words = data[i:j]
-                        yield row[at], anchor, x, p, k, hashlib.blake2b(words, digest_size=16).digest(), words
+                        yield row[at], copies[at], anchor, x, p, k, hashlib.blake2b(data[i:j], digest_size=16).digest()
+                    at += 1
+
+        return each
+
+    schema = "row binary, copies long, anchor long, at int, anchor_at int, n int, key binary"
+    return map_rows(touched.select("row", "text", "copies", "anchors"), schema, _PLACES, per_task, 4000)
+
+
+def _with_words(passages: DataFrame, touched: DataFrame) -> DataFrame:
+    """key, anchor, anchor_at, n, times, words (joined by a space); passages: the same without the words, and the place
+    (row, at) of one occurrence.  Only places are shuffled: the texts lie in buckets by row."""
+
+    def per_task():
+        def each(batch):
+            lists, at = batch.column(1), 0
+            bound = lists.offsets.to_pylist()
+            key, anchor, anchor_at, n, times, first = (lists.values.field(i).to_pylist() for i in range(6))
+            for some in take_runs(batch.column(0)):
+                own = Words(some)
+                for a, b in own:
+                    data, start, end = own.joined(a, b)
+                    for i in range(bound[at], bound[at + 1]):
+                        yield key[i], anchor[i], anchor_at[i], n[i], times[i], data[start[first[i]] : end[first[i] + n[i] - 1]]
                     at += 1
 
         return each
 
-    schema = "row binary, anchor long, at int, anchor_at int, n int, key binary, words binary"
-    return map_rows(rows.select("row", "text", "anchors"), schema, _PASSAGES, per_task, 2000)
+    asked = passages.groupBy("place.row").agg(F.collect_list(F.struct("key", "anchor", "anchor_at", "n", "times", "place.at")).alias("asked"))
+    schema = "key binary, anchor long, anchor_at int, n int, times long, words binary"
+    return map_rows(touched.select("row", "text").join(asked, "row").select("text", "asked"), schema, _PASSAGES, per_task, 2000)
 
 
 def judge(held: list[tuple[bytes, bytes, int]], least: int) -> Iterator[tuple[bytes, bytes]]:
@@ -255,10 +283,10 @@ def judge(held: list[tuple[bytes, bytes, int]], least: int) -> Iterator[tuple[by
             yield key, flags.astype(np.uint8).tobytes()
 
 
-def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
-    """key, flags: which windows of a passage occur twice; passages: key, anchor, anchor_at, n, words, times.  Passages
-    without a repeated window are left out.  The only passage of an anchor needs no automaton: all of it is repeated
-    when it occurs twice, and nothing of it otherwise."""
+def repeated_windows(passages: DataFrame, touched: DataFrame, least: int) -> DataFrame:
+    """key, flags: which windows of a passage occur twice; passages: key, anchor, anchor_at, n, times, place (row and at
+    of one occurrence); touched: row, text.  Passages without a repeated window are left out.  The only passage of an
+    anchor needs no automaton: all of it is repeated when it occurs twice, and nothing of it otherwise."""
     groups = passages.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("anchor")
     crowd = materialise(groups, "crowded-anchors")
 
@@ -296,9 +324,9 @@ def repeated_windows(passages: DataFrame, least: int) -> DataFrame:
         if out:
             yield batches_of(out, _FLAGS)
 
-    calm = passages.join(crowd, "anchor", "left_anti").select("key", "anchor", "words", "times")
+    calm = _with_words(passages.join(crowd, "anchor", "left_anti"), touched).select("key", "anchor", "words", "times")
     judged = calm.repartition("anchor").sortWithinPartitions("anchor", "key").mapInArrow(shards, "key binary, flags binary")
-    crowded = passages.join(crowd, "anchor", "left_semi")
+    crowded = _with_words(passages.join(crowd, "anchor", "left_semi"), touched)
     return judged.unionByName(_descend(_with_ends(crowded), least))
 
 
@@ -378,28 +406,30 @@ def remove_repeats(docs: DataFrame, least: int = 35, id_col: str = "doc_id", tex
     anchors = scanned.select("row", F.explode("anchors").alias("anchor"))
     twice = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     wanted = anchors.join(twice, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
-    touched = materialise(rows.join(wanted, "row"), "touched")
+    once = rows.groupBy("row").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    touched = bucketed(once.join(wanted, "row"), "touched", "row")
     occurrences = materialise(_passage_rows(touched, least), "passages")
-    first = [F.first(c).alias(c) for c in ("anchor", "anchor_at", "n", "words")]
-    passages = occurrences.groupBy("key").agg(*first, F.count("*").alias("times"))
-    flags = materialise(repeated_windows(materialise(passages, "distinct-passages"), least), "flags")
+    first = [F.first(c).alias(c) for c in ("anchor", "anchor_at", "n")]
+    passages = occurrences.groupBy("key").agg(*first, F.sum("copies").alias("times"), F.first(F.struct("row", "at")).alias("place"))
+    flags = materialise(repeated_windows(materialise(passages, "distinct-passages"), touched, least), "flags")
     found = occurrences.select("row", "at", "key").join(flags, "key").groupBy("row").agg(F.collect_set(F.struct("at", "flags")).alias("found"))
-    hit = touched.select("doc_id", "row", "text").join(found, "row")
+    hit = touched.select("row", "text").join(found, "row")
 
     def per_task():
         def each(batch):
-            ids, row, hits, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), 0
-            for some in take_runs(batch.column(2)):
+            row, hits, at = batch.column(0).to_pylist(), batch.column(2), 0
+            for some in take_runs(batch.column(1)):
                 own = Words(some)
                 for a, b in own:
                     gone = _removed(b - a, hits[at].as_py(), least)
                     kept = _without(*own.joined(a, b), gone)
-                    yield ids[at], row[at], b - a, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None
+                    yield row[at], int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8") if texts else None
                     at += 1
 
         return each
 
-    changed = materialise(map_rows(hit.select("doc_id", "row", "text", "found"), _RESULT, _SCANNED, per_task, 500), "changed")
-    rest = scanned.drop("anchors").join(changed.select("row").distinct(), "row", "left_anti")
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
-    return rest.unionByName(changed).select(columns)
+    result = "row binary, n_removed long, kept_sha256 string, kept string"
+    changed = materialise(map_rows(hit.select("row", "text", "found"), result, _CHANGED, per_task, 500), "changed")
+    both = scanned.drop("anchors").alias("s").join(changed.alias("c"), "row", "left")
+    new = [F.coalesce(f"c.{c}", f"s.{c}").alias(c) for c in ("n_removed", "kept_sha256", *(["kept"] if texts else []))]
+    return both.select("s.doc_id", "s.n_words", *new)
