@@ -20,6 +20,7 @@ empty table; columns other than the two named are ignored.
 from __future__ import annotations
 
 import bisect
+import functools
 import os
 import struct
 import unicodedata
@@ -28,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdTable, Runs, batches_of, bounded_batches, materialise, shared_dir, take_runs
+from .common import LOWER, IdTable, Runs, batches_of, bounded_batches, materialise, shared_dir, take_runs
 
 MAGIC = b"LGSST001"
 FOOTER = struct.Struct("<QQQQQQB7s8s")
@@ -196,16 +198,64 @@ def _open(uri: str):
     return fs, path
 
 
+#: ASCII marks that the pre-tokenizer parts from letters before them; an apostrophe may belong to what follows.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one stretch after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _texts(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[str]:
+    return [raw[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def _column(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Stretches of bytes as a column of texts, unchecked."""
+    offsets = np.append(0, np.cumsum(size)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(raw.take(_places(start, size))))
+
+
+def _settled(words: list[str]) -> bool:
+    """Whether lower case keeps words of letters so (it makes a letter and a mark of some) and composing (NFC) changes none."""
+    text = " ".join(words)
+    return unicodedata.is_normalized("NFC", text) and text.lower().replace(" ", "").isalpha()
+
+
+def _letters(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words are letters alone, and stay so through normalisation; broken UTF-8 is none.  size: at least 1."""
+    flat = raw.take(_places(start, size))
+    first = np.cumsum(size) - size
+    found = np.logical_and.reduceat(_LETTER.take(flat), first)
+    other = np.flatnonzero(np.maximum.reduceat(flat, first) > 127)
+    if len(other):
+        some = _column(raw, start[other], size[other])
+        try:
+            some.validate(full=True)
+        except pa.ArrowInvalid:
+            some = pa.array(_texts(raw, start[other], size[other]), pa.large_string())
+        other, words = other[np.asarray(alpha := pc.utf8_is_alpha(some))], some.filter(alpha).to_pylist()
+        found[other] = _settled(words) or [_settled([w]) for w in words]
+    return found
+
+
 class WordEncoder:
     """Texts -> ids, for tokenizers that drop white space and mark the ends of words: the tokenizers library encodes
     each new word once, and words that come again are looked up (by a hash, confirmed on their bytes).
 
     A word's ids don't depend on its neighbours, for normalisation works on characters and the pre-tokenizer splits
-    at white space.  It also splits between letters and . or , so such words are encoded without the mark.  New
-    words of letters go to the library many in one text; the word-end marks tell their ids apart.
+    at white space.  It also splits between letters and ASCII marks (but the apostrophe), so words of letters with a
+    tail of marks are encoded without it, and the tail by itself.  New words of letters go to the library many in one
+    text; the word-end marks tell their ids apart.
     """
 
     GROUP = 256
+    WORDS = 1_000_000  # at most in each of two tables, about 80 bytes a word
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on each core
@@ -214,52 +264,67 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.zeros(max((i for i in self.tokenizer.get_vocab().values()), default=0) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words, self.parts = IdTable(), IdTable()
-        self.marks = {m: self._one(m) for m in ".,"}
-
-    def _one(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def _encode(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each part; in groups where the library splits as expected, one by one elsewhere."""
-        found: list = [None] * len(parts)
-        plain = [i for i, p in enumerate(parts) if p.isalpha() and (p.isascii() or (p.lower().isalpha() and unicodedata.is_normalized("NFC", p)))]
-        for g in range(0, len(plain), self.GROUP):
-            group = plain[g : g + self.GROUP]
-            ids = self.tokenizer.encode_batch_fast([" ".join([parts[i] for i in group])], add_special_tokens=False)[0].ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(group):
-                for i, a, b in zip(group, [0, *cuts], cuts, strict=False):
-                    found[i] = ids[a:b]
-        rest = [i for i, x in enumerate(found) if x is None]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts, self.tails = IdTable(self.WORDS), IdTable(self.WORDS), IdTable(self.WORDS // 10)
+
+    def _grouped(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, flat, and how many each has: many words in a text, one by one where the library
+        doesn't split as expected."""
+        first = np.cumsum(size + 1) - size - 1
+        spaced = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        spaced[_places(first, size)] = raw.take(_places(start, size))
+        cuts = [*first[:: self.GROUP].tolist(), len(spaced)]
+        texts = [spaced[a:b].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        flat, sizes = [], []
+        for text, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            each = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(each) != text.count(" "):
+                ids, each = self._singly(text.split(" ")[:-1])
+            flat.append(ids)
+            sizes.append(each)
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _parts(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, flat and in order, and how many each has; plain: those of letters alone."""
+        rest = np.flatnonzero(~plain)
+        found = [self._grouped(raw, start[plain], size[plain])] if plain.any() else []
         for g in range(0, len(rest), self.GROUP):
             some = rest[g : g + self.GROUP]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = e.ids
-        return found
+            found.append(self._singly(_texts(raw, start[some], size[some])))
+        flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        back = np.argsort(np.concatenate([np.flatnonzero(plain), rest]))
+        begin = (np.cumsum(sizes) - sizes)[back]
+        return flat.take(_places(begin, sizes[back])), sizes[back]
+
+    def _known(self, table: IdTable, raw: np.ndarray, start: np.ndarray, size: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs = Runs(_column(raw, start, size))
+        return table.ids(runs.raw, runs.start, runs.end, runs.hash, lambda new: self._parts(raw, start[new], size[new], plain[new]))
 
     def _new_words(self, runs: Runs, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw, parts, marks = runs.raw.tobytes(), [], []
-        for a, b in zip(runs.start[at].tolist(), runs.end[at].tolist(), strict=True):
-            part, mark = raw[a:b].decode("utf-8", "replace"), ""
-            if part[-1] in ".," and part[:-1].isalpha():
-                part, mark = part[:-1], part[-1]
-            parts.append(part.lower() if part.isascii() and part.isalpha() else part)
-            marks.append(mark)
-        own = Runs(pa.array(parts, pa.large_string()))
-
-        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ids = self._encode([parts[i] for i in new.tolist()])
-            return np.array([i for x in ids for i in x], np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
-
-        flat, size = self.parts.ids(own.raw, own.start, own.end, own.hash, make)
-        more = np.array([len(self.marks[m]) if m else 0 for m in marks], np.int64)
-        if more.any():  # the marks' ids go in behind their parts
-            behind = np.repeat(np.cumsum(size), more)
-            flat = np.insert(flat, behind, [i for m in marks if m for i in self.marks[m]])
-        return flat, size + more
+        size = runs.end[at] - runs.start[at]
+        raw = runs.raw.take(_places(runs.start[at], size))
+        start = np.cumsum(size) - size
+        tail = size + start - np.maximum.reduceat(np.where(_MARK.take(raw), 0, np.arange(1, len(raw) + 1)), start)
+        tail = np.where(tail < size, tail, 0)
+        plain = _letters(raw, start, size - tail)
+        tail[~plain] = 0
+        own = _places(start[plain], (size - tail)[plain])
+        lower = raw.copy()
+        lower[own] = LOWER.take(raw[own])
+        flat, sizes = self._known(self.parts, lower, start, size - tail, plain)
+        marked = np.flatnonzero(tail)
+        if len(marked):  # the tails' ids go in behind their parts
+            more, each = self._known(self.tails, raw, (start + size - tail)[marked], tail[marked], np.zeros(len(marked), bool))
+            flat = np.insert(flat, np.repeat(np.cumsum(sizes)[marked], each), more)
+            sizes[marked] += each
+        return flat, sizes
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -271,6 +336,12 @@ class WordEncoder:
                 yield flat[a:b]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str) -> WordEncoder:
+    """One for all tasks that run in a worker process: what one task has encoded, later ones look up."""
+    return WordEncoder(tokenizer_path)
+
+
 def write_token_shards(
     docs: DataFrame,
     tokenizer_path: str,
@@ -293,7 +364,7 @@ def write_token_shards(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        encoder, writer, end = WordEncoder(tokenizer_path), None, end_id.to_bytes(width, "little")
+        encoder, writer, end = _encoder(tokenizer_path), None, end_id.to_bytes(width, "little")
         fs, folder = _open(out_dir)
         path = f"{folder}/shard-{context.partitionId():06d}-{context.taskAttemptId()}.sst"
         for batch in batches:

@@ -77,6 +77,46 @@ def test_tokenizers_on_all_documents(spark, name):
         assert got == {d: (len(x), sha(",".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for d, x in ids.items()}
 
 
+def test_new_words_go_to_the_library_many_at_once():
+    from tokenizers import Tokenizer
+
+    path, given = tokenizer_path("word_bpe_49k.json"), []
+    library, encoder = Tokenizer.from_file(path), token_shards.WordEncoder(path)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    names = [a + b + c for a in ("ra", "É", "\u00fcn", "Lo") for b in ("ti", "\u00e7o", "men", "sca") for c in ("d", "\u00e9", "ng", "Ra", "\u4e2d")]
+    texts = [" ".join(w + tail for w in names) for tail in ("", ".", "$$$", ".###", "),")]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for least in (1, 0):  # words that came before don't go there again
+        given.clear()
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == want
+        assert least <= len(given) <= 8 * least
+
+
+def test_one_encoder_serves_the_tasks_of_a_process():
+    path = tokenizer_path("word_bpe_49k.json")
+    assert token_shards._encoder(path) is token_shards._encoder(path)
+
+
+def test_words_beside_marks_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    odd = "\u0130 \u0958 \u09dc \u212a H\u0331 a\u0301 \u1112\u1161\u11ab \u03a3 \ufb01 \u01c5 1 \u0663 \u2026 \u0338 a\u00a0 a\u0085 x<|endoftext|> <|endoftext|> it's x' 's A.b $ \U00010e80".split(" ")
+    texts = [w + tail for w in odd for tail in ("", ".", "$$", "='", "=\u0338", "'s.", "e!?", "<|endoftext|>")]
+    encoder = token_shards.WordEncoder(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == want
+    whole = " ".join(texts)
+    assert [x.tolist() for x in encoder.encode(pa.array([whole, None, ""]))] == [library.encode(whole, add_special_tokens=False).ids, [], []]
+
+
 def test_every_text_goes_through_a_transducer(monkeypatch):
     from tokenizers import Tokenizer
 
