@@ -235,3 +235,32 @@ def test_extraction_of_declarations_over_several_lines(spark):
     assert [p.name for p in c.properties] == ["size"] and [m.name for m in methods.collect()] == ["get"]
     (top,) = X.extract_top_level_references(src, X.extract_functions(src), classes).collect()
     assert sorted(top.names) == ["add", "use"]
+
+
+def test_connections_of_slices_are_those_of_all_files(spark, monkeypatch):
+    tables = sample_tables(spark)
+    whole = sorted(map(tuple, J.build_connections(*tables).collect()))
+    monkeypatch.setattr(J, "SLICE", 2)
+    assert sorted(map(tuple, J.build_connections(*tables).collect())) == whole and len(whole) > 3
+
+
+def test_bases_lead_to_the_first_file_that_fits(spark):
+    from loomgraph.functions.paths import EXTENSIONS
+
+    paths = ["a/x.ts", "a/x.js", "a/x", "b/y.tsx", "b/y/index.ts", "c/index.js", "c.jsx", "d/z.ts.ts", "e/index/index.ts"]
+    files = spark.createDataFrame([("s", f"file:{p}", p, n) for n, p in enumerate(paths)], "scan_id string, file_id string, file_path string, file_ord int")
+    index = J.file_path_index(files)
+    known = {r.key: r.file_id for r in index.collect()}
+    bases = ["a/x", "b/y", "c", "d/z.ts", "d/z", "e", "e/index", "gone"]
+    want = {b: next((known[k] for k in (b, *(b + e for e in EXTENSIONS), b + "/index") if k in known), None) for b in bases}
+    got = {r.base: r.target_file_id for r in J._stems(index).collect()}
+    assert {b: got.get(b) for b in bases} == want
+
+
+def test_a_written_step_leaves_no_shuffle(spark):
+    from loomgraph.shared import materialise
+
+    sizes = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size
+    before, table = sizes(), materialise(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "step")
+    assert sizes() <= before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
