@@ -42,6 +42,9 @@ def test_components_and_ways_in_tasks(spark, monkeypatch):
     df = materialise(spark.createDataFrame(edges, KIND), "e")
     nodes = spark.createDataFrame(sorted({(s, x) for s, a, b in edges for x in (a, b)} | {("r3", "alone")}), "scan_id string, node string")
     seeds = spark.createDataFrame([(f"r{s}", f"n{s % 12}") for s in range(0, 12, 2)] + [("wide", "m05"), ("gone", "x"), ("r0", None)], "scan_id string, node string")
+    monkeypatch.setattr(G, "PIVOTS", 2)
+    monkeypatch.setattr(G, "WIDE", 30)
+    monkeypatch.setattr(G, "SMALL_CORE", 5)
     found = {}
     for most in (10**6, 50, 0):
         monkeypatch.setattr(G, "TASK_EDGES", most)
@@ -50,6 +53,15 @@ def test_components_and_ways_in_tasks(spark, monkeypatch):
     assert ("gone", "x") in found[0][1] and len(found[0][1]) > 20
 
 
+def test_numbers_rise_with_fewer_edges(spark):
+    edges = sorted({("s", f"n{a}", f"n{b}") for a in range(9) for b in range(9) if a != b and (a < 3 or b < 2)} | {("t", "n1", "n2"), ("t", "n2", "n1")})
+    numbers, e = G._numbered(materialise(spark.createDataFrame(edges, KIND), "e"))
+    by = {r.n: (r.scan_id, r.node) for r in numbers.collect()}
+    least = {x: min(sum((s, a) == x for s, a, _ in edges), sum((s, b) == x for s, _, b in edges)) for x in by.values()}
+    assert len(least) == len(by) == 11 and [-least[by[n]] for n in sorted(by)] == sorted(-v for v in least.values())
+    assert sorted((by[r.src][0], by[r.src][1], by[r.dst][1]) for r in e.collect()) == edges
+
+
 def test_long_ways_need_no_recursion():
     n = 3000
     ring = [(f"n{i:04d}", f"n{(i + 1) % n:04d}") for i in range(n)]
